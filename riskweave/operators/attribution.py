@@ -74,8 +74,8 @@ def sampled_attribution(
     # The score after a step counts for that step's feature and against the next one's.
     gains = F.array(
         F.struct(F.get(F.col("order"), F.col("step") - 1).alias("j"), value.alias("gain")),
-        F.struct(F.get(F.col("order"), F.col("step")), -value),
-        F.struct(F.when(F.col("step") == 0, F.lit(-1)), value),
+        F.struct(F.get(F.col("order"), F.col("step")).alias("j"), (-value).alias("gain")),
+        F.struct(F.when(F.col("step") == 0, F.lit(-1)).alias("j"), value.alias("gain")),
     )
     n = F.count_distinct("b")
     parts = scored.select("id", "b", F.inline(gains)).where("j is not null")

@@ -50,7 +50,12 @@ def class_counts(preds: DataFrame, by=()) -> DataFrame:
                     F.col("n").alias("support"),
                     F.lit(0).cast("bigint").alias("predicted"),
                 ),
-                F.struct(F.col("y_pred"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.col("n")),
+                F.struct(
+                    F.col("y_pred").alias("label"),
+                    F.lit(0).cast("bigint").alias("tp"),
+                    F.lit(0).cast("bigint").alias("support"),
+                    F.col("n").alias("predicted"),
+                ),
             )
         ),
     )
@@ -114,14 +119,22 @@ def report(preds: DataFrame, names=None) -> DataFrame:
         *[F.avg(s).alias(f"m_{s}") for s in ("precision", "recall", "f1")],
         *[_ratio(F.sum(F.col(s) * F.col("support")), total).alias(f"w_{s}") for s in ("precision", "recall", "f1")],
         total.alias("total"),
-    ).select(
+    )
+    parts = {
+        "accuracy": ["accuracy"] * 3,
+        "macro avg": ["m_precision", "m_recall", "m_f1"],
+        "weighted avg": ["w_precision", "w_recall", "w_f1"],
+    }
+    averages = averages.select(
         F.inline(
             F.array(
-                F.struct(F.lit("accuracy").alias("class"), F.col("accuracy").alias("precision"),
-                         F.col("accuracy").alias("recall"), F.col("accuracy").alias("f1"),
-                         F.col("total").alias("support")),
-                F.struct(F.lit("macro avg"), F.col("m_precision"), F.col("m_recall"), F.col("m_f1"), F.col("total")),
-                F.struct(F.lit("weighted avg"), F.col("w_precision"), F.col("w_recall"), F.col("w_f1"), F.col("total")),
+                *[
+                    F.struct(
+                        F.lit(name).alias("class"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+                        F.col(f).alias("f1"), F.col("total").alias("support"),
+                    )
+                    for name, (p, r, f) in parts.items()
+                ]
             )
         )
     )

@@ -66,6 +66,16 @@ def encode_labels(df: DataFrame, column: str, output: str) -> DataFrame:
     return indexer.fit(df).transform(df).withColumn(output, F.col(output).cast("int"))
 
 
+def _grams(n: int):
+    """Runs of ``n`` neighbours in ``w``; a run that would pass the end is dropped."""
+
+    def run(x, i):
+        following = [F.get(F.col("w"), i + k) for k in range(1, n)]
+        return F.when(i <= F.size("w") - n, F.concat_ws(" ", x, *following))
+
+    return F.array_compact(F.transform("w", run))
+
+
 def tf_idf(
     documents: DataFrame, id_col: str, text_col: str, max_features: int = 1000, longest: int = 3
 ) -> DataFrame:
@@ -78,12 +88,7 @@ def tf_idf(
     words = documents.select(
         F.col(id_col), F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\b\w\w+\b"), 0).alias("w")
     )
-    grams = [F.col("w")]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice("w", i, n), " ")))
+    grams = [F.col("w")] + [_grams(n) for n in range(2, longest + 1)]
     terms = words.select(id_col, F.explode(F.concat(*grams)).alias("term"))
     kept = (
         terms.groupBy("term").agg(F.count("*").alias("total"))

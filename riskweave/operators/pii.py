@@ -39,27 +39,24 @@ def pii_map(text: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
 
 
+def _hits(text: Column, kind: str) -> Column:
+    """The matches of one type as structs; null on texts that cannot match."""
+    groups = [_matches(text, kind, g) for g in range(1, PII_GROUPS.get(kind, 0) + 1)]
+
+    def hit(match, i):
+        captured = F.array(*[F.get(g, i) for g in groups]) if groups else F.array().cast("array<string>")
+        return F.struct(
+            F.lit(kind).alias("pii_type"), (i + 1).alias("match_no"), match.alias("match"), captured.alias("groups")
+        )
+
+    found = F.transform(_matches(text, kind), hit)
+    return F.when(F.contains(text, F.lit(PII_NEEDS[kind])), found) if kind in PII_NEEDS else found
+
+
 def detect(rows: DataFrame, text: str = "text") -> DataFrame:
     """``pii_type, match_no, match, groups`` for every match; ``groups`` as the pattern captures."""
     carried = [c for c in rows.columns if c != text]
-    per_type = []
-    for kind in PII_PATTERNS:
-        n = PII_GROUPS.get(kind, 0)
-        whole = _matches(F.col(text), kind)
-        groups = [_matches(F.col(text), kind, g) for g in range(1, n + 1)]
-
-        def row(match, i, groups=groups, kind=kind):
-            return F.struct(
-                F.lit(kind).alias("pii_type"),
-                (i + 1).alias("match_no"),
-                match.alias("match"),
-                (F.array(*[F.get(g, i) for g in groups]) if groups else F.array().cast("array<string>")).alias("groups"),
-            )
-
-        found = F.transform(whole, row)
-        if kind in PII_NEEDS:
-            found = F.when(F.contains(text, F.lit(PII_NEEDS[kind])), found)
-        per_type.append(found)
+    per_type = [_hits(F.col(text), kind) for kind in PII_PATTERNS]
     empty = F.filter(per_type[1], lambda x: F.lit(False))
     everything = F.concat(*[F.coalesce(p, empty) for p in per_type])
     # The outer form keeps the optimizer from running every pattern once more as a filter.

@@ -113,7 +113,7 @@ def labelled_stats(rows: DataFrame, features, label: str = "label") -> DataFrame
         F.inline(
             F.array(
                 F.struct(F.lit("samples").alias("metric"), F.lit("").alias("key"), F.col("n").cast("double").alias("value")),
-                F.struct(F.lit("features"), F.lit(""), F.lit(float(len(features)))),
+                F.struct(F.lit("features").alias("metric"), F.lit("").alias("key"), F.lit(float(len(features))).alias("value")),
             )
         )
     )

@@ -12,6 +12,7 @@ from riskweave.plans.golden import FEATURES, literal, values
 from riskweave.plans.oracle import STRIP, case_of, features_cte, features_frame_cte, findings_cte, with_features
 from riskweave.plans.registry import query
 from riskweave.operators.rules import SEVERITY_LABEL
+from riskweave.session import materialise
 from riskweave.sources.corpus import CONTEXTS, SEVERITY_BY_TYPE, corpus_table, table
 
 DOUBLES = {
@@ -124,6 +125,7 @@ def _z(name, source="feats", fitted="feats"):
 @query("f28_zscore", with_features("SELECT file_id, " + ", ".join(_z(n) for n in ALL_FEATURES) + " FROM feats"))
 def _(spark, folder):
     found = features.all_features(corpus_table(spark, folder)).select("file_id", *ALL_FEATURES)
+    found = materialise(found, "features")
     scaled = matrix.scale_apply(found, matrix.scale_fit(found, ALL_FEATURES), ALL_FEATURES)
     return rounded(scaled, ALL_FEATURES, 5).select(
         "file_id", *[F.when(F.col(n) == 0, F.lit(0.0)).otherwise(F.col(n)).alias(n) for n in ALL_FEATURES]
@@ -189,11 +191,13 @@ def _(spark, folder):
 
 @query(
     "f33_tf_idf",
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
+    r"""WITH lists AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
+      words AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS pos FROM lists),
+      runs AS (SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
       grams AS (
-        SELECT doc_id, unnest(w) AS term FROM w
-        UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
-        UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+        SELECT doc_id, a AS term FROM runs
+        UNION ALL SELECT doc_id, a || ' ' || b FROM runs WHERE b IS NOT NULL
+        UNION ALL SELECT doc_id, a || ' ' || b || ' ' || c FROM runs WHERE c IS NOT NULL),
       kept AS (SELECT term FROM grams GROUP BY term ORDER BY count(*) DESC, term LIMIT 1000),
       counts AS (SELECT doc_id, term, count(*) AS tf FROM grams JOIN kept USING (term) GROUP BY ALL),
       idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM counts GROUP BY term),
@@ -231,7 +235,8 @@ def _labelled_oracle():
 
 @query("a10_labelled_stats", _labelled_oracle)
 def _(spark, folder):
-    rows = matrix.labelled(corpus_table(spark, folder))
+    # Several aggregates read the features: parse once, keep the table.
+    rows = materialise(matrix.labelled(corpus_table(spark, folder)).select("label", *ALL_FEATURES), "features")
     return rounded(summary.labelled_stats(rows, ALL_FEATURES), ["value"], 5)
 
 
