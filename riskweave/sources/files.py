@@ -158,7 +158,7 @@ def within_limits(
 def decode(contents: DataFrame) -> DataFrame:
     """Add ``code``: UTF-8 text with line ends as ``\\n``; null with a ``problem`` if it is not text."""
     valid = F.is_valid_utf8(F.col("content"))
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r\n?", "\n")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
     problem = F.coalesce("problem", F.when(~valid, F.lit("UnicodeDecodeError: not valid UTF-8")))
     return contents.withColumns({"code": F.when(valid, text), "problem": problem})
 
