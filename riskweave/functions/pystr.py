@@ -70,10 +70,6 @@ def split_lines(col: Column) -> Column:
     return F.split(col, "\n", -1)
 
 
-def newline_count(col: Column) -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit("\n"), F.lit("")))
-
-
 def bind(col: Column, body) -> Column:
     """``body(x)`` with ``x`` evaluated once, however often ``body`` names it."""
     return F.get(F.transform(F.array(col), body), F.lit(0))

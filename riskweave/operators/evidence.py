@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.pystr import bind, java_regex, literal_map, newline_count, py_strip
+from riskweave.functions.pystr import bind, java_regex, literal_map, py_strip, split_lines
 from riskweave.operators.rules import FINDING_COLUMNS, scan
 
 # Evidence patterns, templates and explanation texts by type.
@@ -27,36 +27,40 @@ EXPLANATIONS = {
 }
 DEFAULT_EXPLANATION = "Security vulnerability detected."
 
+# Private-use characters: a mark before each match, and what a mark already in the text becomes.
+# Neither is a letter, a blank or a quote, so the swap changes no match.
+MARK, SPARE = "\ue000", "\ue001"
+
 
 def _no_text() -> Column:
     return F.array().cast("array<string>")
 
 
 def evidence_of(code: Column, kind: str) -> Column:
-    """``Line n: text`` for every match of one type's pattern in the whole text."""
+    """``Line n: text`` for every match of one type's pattern in the whole text.
+
+    Matches may span lines, so they are taken from the text; a mark put before each match then
+    gives the lines they start on.
+    """
     pattern, template = EVIDENCE_RULES[kind]
     regex = java_regex(pattern)
-    before, _, after = template.partition("{match}")
-
-    def texts(x):
-        matches = F.regexp_extract_all(x, F.lit(regex), 0)
-        pieces = F.split(x, regex, -1)
-        # Line ends up to each match: those in the pieces before it and in earlier matches.
-        steps = F.transform(
-            matches,
-            lambda m, i: F.struct(newline_count(F.get(pieces, i)).alias("gap"), newline_count(m).alias("own")),
-        )
+    before, has_match, after = template.partition("{match}")
 
-        def line_of(i):
-            gaps = F.aggregate(F.slice(steps, 1, i + 1), F.lit(0), lambda t, s: t + s["gap"])
-            own = F.aggregate(F.slice(steps, 1, i), F.lit(0), lambda t, s: t + s["own"])
-            return gaps + own + 1
+    def text(match):
+        return F.concat(F.lit(before), py_strip(match), F.lit(after)) if has_match else F.lit(template)
 
-        def text(m):
-            return F.concat(F.lit(before), py_strip(m), F.lit(after)) if "{match}" in template else F.lit(template)
+    def marks_in(line):
+        return F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))
 
-        return F.transform(
-            matches, lambda m, i: F.concat(F.lit("Line "), line_of(i).cast("string"), F.lit(": "), text(m))
+    def texts(x):
+        marked = F.regexp_replace(F.replace(x, F.lit(MARK), F.lit(SPARE)), F.lit(regex), F.lit(MARK + "$0"))
+        starts = F.flatten(
+            F.transform(split_lines(marked), lambda line, i: F.array_repeat(i + 1, marks_in(line)))
+        )
+        return F.zip_with(
+            starts,
+            F.regexp_extract_all(x, F.lit(regex), 0),
+            lambda n, m: F.concat(F.lit("Line "), n.cast("string"), F.lit(": "), text(m)),
         )
 
     return F.when(F.rlike(code, F.lit(regex)), bind(code, texts)).otherwise(_no_text())

@@ -28,6 +28,8 @@ DETECTOR_CONFIG = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "r
 RANKER_CONFIG = {"n_estimators": 50, "learning_rate": 0.05, "max_depth": 4, "random_state": 42}
 CV_FOLDS = 5
 
+MAX_CLASSES = 1000
+
 _MODELS = {
     "gradient_boosting": GBTClassificationModel,
     "random_forest": RandomForestClassificationModel,
@@ -68,8 +70,11 @@ class VulnerabilityDetector:
         )
 
     def fit(self, rows: DataFrame, feature_names=None) -> "VulnerabilityDetector":
-        # The distinct labels are the classes, a handful.
-        self.classes = sorted(r[0] for r in rows.select(F.col("label").cast("int")).distinct().collect())
+        # The distinct labels are the classes; a column with more is not a label.
+        seen = rows.select(F.col("label").cast("int")).distinct().limit(MAX_CLASSES + 1).collect()
+        if len(seen) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
+        self.classes = sorted(r[0] for r in seen)
         if not self.classes:
             raise ValueError("no rows to fit")
         n_features = len(rows.select("features").first()[0])

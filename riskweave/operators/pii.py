@@ -41,23 +41,30 @@ def pii_map(text: Column) -> Column:
 
 def _hits(text: Column, kind: str) -> Column:
     """The matches of one type as structs; null on texts that cannot match."""
-    groups = [_matches(text, kind, g) for g in range(1, PII_GROUPS.get(kind, 0) + 1)]
+    n = PII_GROUPS.get(kind, 0)
+    # Whole matches and groups side by side, so the lambda looks nothing up.
+    zipped = F.arrays_zip(
+        _matches(text, kind).alias("m"), *[_matches(text, kind, g).alias(f"g{g}") for g in range(1, n + 1)]
+    )
 
-    def hit(match, i):
-        captured = F.array(*[F.get(g, i) for g in groups]) if groups else F.array().cast("array<string>")
+    def hit(z, i):
+        captured = F.array(*[z[f"g{g}"] for g in range(1, n + 1)]) if n else F.array().cast("array<string>")
         return F.struct(
-            F.lit(kind).alias("pii_type"), (i + 1).alias("match_no"), match.alias("match"), captured.alias("groups")
+            F.lit(kind).alias("pii_type"), (i + 1).alias("match_no"), z["m"].alias("match"), captured.alias("groups")
         )
 
-    found = F.transform(_matches(text, kind), hit)
-    return F.when(F.contains(text, F.lit(PII_NEEDS[kind])), found) if kind in PII_NEEDS else found
+    found = F.transform(zipped, hit)
+    search = F.rlike(text, F.lit(java_regex(PII_PATTERNS[kind])))
+    if kind in PII_NEEDS:
+        search = F.contains(text, F.lit(PII_NEEDS[kind])) & search
+    return F.when(search, found)
 
 
 def detect(rows: DataFrame, text: str = "text") -> DataFrame:
     """``pii_type, match_no, match, groups`` for every match; ``groups`` as the pattern captures."""
     carried = [c for c in rows.columns if c != text]
     per_type = [_hits(F.col(text), kind) for kind in PII_PATTERNS]
-    empty = F.filter(per_type[1], lambda x: F.lit(False))
+    empty = F.array().cast("array<struct<pii_type:string,match_no:int,match:string,groups:array<string>>>")
     everything = F.concat(*[F.coalesce(p, empty) for p in per_type])
     # The outer form keeps the optimizer from running every pattern once more as a filter.
     return (
@@ -88,8 +95,11 @@ def redact(text: Column, char: str = "*") -> Column:
         def rewrite(x):
             masked = F.transform(F.regexp_extract_all(x, pattern, 0), lambda m: _mask(m, char))
             pieces = F.split(x, java_regex(PII_PATTERNS[kind]), -1)
-            woven = F.transform(
-                pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(masked, i), F.lit("")))
+            woven = bind(
+                masked,
+                lambda ready: F.transform(
+                    pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(ready, i), F.lit("")))
+                ),
             )
             return F.when(F.rlike(x, pattern), F.array_join(woven, "")).otherwise(x)
 

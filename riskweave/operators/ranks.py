@@ -43,8 +43,13 @@ def shuffled_rank(df: DataFrame, groups, seed, id_col: str, hex_digits: int = 3)
     )
 
 
+def _bucket_count(df: DataFrame) -> int:
+    """As many buckets as the session shuffles into, within bounds that keep the search short."""
+    return min(512, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def running_sums(
-    df: DataFrame, groups, order: str, sums: dict[str, Column], buckets: int = 64
+    df: DataFrame, groups, order: str, sums: dict[str, Column], buckets: int | None = None
 ) -> DataFrame:
     """One row per (group, distinct ``order``) with sums, running sums and totals, ascending.
 
@@ -57,9 +62,10 @@ def running_sums(
     """
     groups = list(groups)
     names = list(sums)
+    buckets = buckets or _bucket_count(df)
     keys = df.groupBy(*groups, order).agg(*[sums[n].alias(n) for n in names])
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = keys.groupBy(*groups).agg(F.percentile_approx(order, shares, 2000).alias("_bounds"))
+    bounds = keys.groupBy(*groups).agg(F.percentile_approx(order, shares, 20 * buckets).alias("_bounds"))
     # One row per group, a closed set, so the broadcast does not grow with the data.
     placed = (
         keys.join(F.broadcast(bounds), groups) if groups else keys.crossJoin(F.broadcast(bounds))
@@ -148,7 +154,7 @@ def top_per_group(df: DataFrame, groups, order, limit: int, salt_by: str, salts:
     )
 
 
-def chunks(df: DataFrame, order: str, size: int, buckets: int = 64) -> DataFrame:
+def chunks(df: DataFrame, order: str, size: int, buckets: int | None = None) -> DataFrame:
     """Consecutive runs of ``size`` rows in the order of a unique numeric column.
 
     ``chunk, members``: each chunk collects at most ``size`` values.

@@ -9,13 +9,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Whole source files travel as rows, so an Arrow batch is bounded by bytes as well as by rows.
+# Whole source files travel as rows, so an Arrow batch is bounded by bytes as well as by rows; a
+# tree takes many times the room of its text.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.session.timeZone": "UTC",
 }
 
