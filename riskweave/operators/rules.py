@@ -118,7 +118,7 @@ def _line_findings(rule: LineRule, order: int) -> Column:
           transform(lines, (line, i) -> named_struct('n', i + 1, 'line', line)),
           x -> rlike(x.line, {sql_text(java_regex(rule.pattern))})),
         x -> {finding})""")
-    return F.when(_may_match(rule), found) if rule.literals else found
+    return F.when(F.col(f"_may_match_{order}"), found) if rule.literals else found
 
 
 def _raw_line(number: str) -> str:
@@ -168,7 +168,9 @@ def scan(
         for rule in line_rules:
             hit = hit | _may_match(rule)
         files = files.where(hit)
-    parsed = with_tree(files, RULE_NODES).withColumn("lines", split_lines(F.col("code")))
+    # Columns of their own, so that the text is folded once for all rules.
+    may_match = {f"_may_match_{i}": _may_match(rule) for i, rule in enumerate(line_rules) if rule.literals}
+    parsed = with_tree(files, RULE_NODES).withColumns({"lines": split_lines(F.col("code")), **may_match})
     parts = [_line_findings(rule, i) for i, rule in enumerate(line_rules)]
     parts += [_tree_findings(rule) for rule in tree_rules]
     none = F.slice(_syntax_findings(), 1, 0)

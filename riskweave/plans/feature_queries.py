@@ -12,7 +12,7 @@ from riskweave.plans.golden import FEATURES, literal, values
 from riskweave.plans.oracle import STRIP, case_of, features_cte, features_frame_cte, findings_cte, with_features
 from riskweave.plans.registry import query
 from riskweave.operators.rules import SEVERITY_LABEL
-from riskweave.session import materialise
+from riskweave.session import materialise, spread
 from riskweave.sources.corpus import CONTEXTS, SEVERITY_BY_TYPE, corpus_table, table
 
 DOUBLES = {
@@ -76,7 +76,7 @@ def _text_oracle(source, key):
 
 def _text_features(spark, folder, source, keys):
     rows = table(spark, folder, source).select(*keys, F.col("text").alias("code"))
-    found = features.text_measures(rows).select(
+    found = features.text_measures(spread(rows, *keys)).select(
         *keys, "line_count", "char_count", "max_line_length", "empty_lines", "avg_line_length"
     )
     return rounded(found, ["avg_line_length"])
@@ -99,7 +99,7 @@ _SECRETS = " + ".join(
 
 @query("f26_secrets_in_text", f"SELECT doc_id, source, ({_SECRETS})::INTEGER AS secrets FROM documents WHERE ({_SECRETS}) > 0")
 def _(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
     return documents.select("doc_id", "source", features.secret_count(F.col("text")).alias("secrets")).where("secrets > 0")
 
 
@@ -205,7 +205,7 @@ def _(spark, folder):
       SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw""",
 )
 def _(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return rounded(matrix.tf_idf(documents, "doc_id", "text"), ["weight"])
 
 
