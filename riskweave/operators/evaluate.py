@@ -96,11 +96,11 @@ def per_class(preds: DataFrame, names=None, by=()) -> DataFrame:
 def confusion_matrix(preds: DataFrame, by=()) -> DataFrame:
     """Every (true, predicted) pair of occurring labels with its count, zeros included."""
     counts = confusion(preds, by)
-    labels = class_counts(preds, by).select(*by, "label")
-    left = labels.withColumnRenamed("label", "y_true")
-    right = labels.withColumnRenamed("label", "y_pred")
+    labels = counts.groupBy(*by).agg(
+        F.array_union(F.collect_set("y_true"), F.collect_set("y_pred")).alias("labels")
+    )
     # A grid of classes by classes; rows of data play no part in its size.
-    grid = left.join(right, list(by)) if by else left.crossJoin(right)
+    grid = labels.withColumn("y_true", F.explode("labels")).select(*by, "y_true", F.explode("labels").alias("y_pred"))
     return grid.join(counts, [*by, "y_true", "y_pred"], "left").na.fill(0, ["n"])
 
 
@@ -276,11 +276,12 @@ def recall_by_type(preds: DataFrame, names=None) -> DataFrame:
 
 def false_positive_rate(preds: DataFrame, target_tpr: float = TARGET_TPR) -> DataFrame:
     """``metric, value``: rates of the higher of two labels, or mean and spread over classes."""
-    counts = class_counts(preds)
-    total = counts.agg(F.sum("support").alias("total"), F.count("*").alias("classes"))
-    rates = counts.crossJoin(F.broadcast(total)).withColumn(
-        "fpr", _ratio(F.col("predicted") - F.col("tp"), F.col("total") - F.col("support"))
+    # Windows over one row per class.
+    every = Window.partitionBy()
+    counts = class_counts(preds).withColumns(
+        {"total": F.sum("support").over(every), "classes": F.count("*").over(every)}
     )
+    rates = counts.withColumn("fpr", _ratio(F.col("predicted") - F.col("tp"), F.col("total") - F.col("support")))
     wide = rates.agg(
         F.max("classes").alias("classes"),
         F.max_by("fpr", "label").alias("fpr"),
@@ -305,10 +306,9 @@ def false_positive_rate(preds: DataFrame, target_tpr: float = TARGET_TPR) -> Dat
 def alert_volume(preds: DataFrame, names=None) -> DataFrame:
     """``type, count, percentage`` of the predicted labels."""
     counts = preds.groupBy("y_pred").agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        class_name(F.col("y_pred"), names, "type_").alias("type"), "count",
-        (F.col("count") / F.col("total") * 100).alias("percentage"),
+    share = F.col("count") / F.sum("count").over(Window.partitionBy()) * 100
+    return counts.select(
+        class_name(F.col("y_pred"), names, "type_").alias("type"), "count", share.alias("percentage")
     )
 
 
@@ -365,8 +365,9 @@ def robustness(model, rows: DataFrame, epsilons=EPSILONS, seed=42, id_col: str =
     accuracy = scored.groupBy("epsilon").agg(
         F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")
     )
-    baseline = accuracy.where("epsilon = 0").select(F.col("accuracy").alias("baseline_accuracy"))
-    return accuracy.where("epsilon > 0").crossJoin(F.broadcast(baseline)).select(
+    # One row per noise level; level zero is the baseline.
+    clean = F.max(F.when(F.col("epsilon") == 0, F.col("accuracy"))).over(Window.partitionBy())
+    return accuracy.withColumn("baseline_accuracy", clean).where("epsilon > 0").select(
         "epsilon", "baseline_accuracy", "accuracy",
         (F.col("baseline_accuracy") - F.col("accuracy")).alias("accuracy_drop"),
         _ratio(F.col("accuracy"), F.col("baseline_accuracy")).alias("robustness_ratio"),

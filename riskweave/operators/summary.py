@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskweave.operators.ranks import exact_quantiles
 
@@ -53,11 +54,9 @@ def headline(found: DataFrame) -> DataFrame:
 def distribution(found: DataFrame, column: str) -> DataFrame:
     """Count and percentage share of each value."""
     counts = found.groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    # The total is one row.
-    return counts.crossJoin(F.broadcast(total)).select(
-        column, "n", (F.col("n") * 100.0 / F.col("total")).alias("share")
-    )
+    # The window runs over one row per value, not over the findings.
+    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())
+    return counts.withColumn("share", share)
 
 
 def histogram(found: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
