@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from riskweave.operators import attribution, evaluate, evidence, features, matrix, models, rules
+from riskweave.plans.flows import materialise_vectors
 from riskweave.plans.registry import query
 from riskweave.session import materialise, scratch_dir, spread
 from riskweave.sources.corpus import corpus_table, table
@@ -29,14 +30,6 @@ def vectors(spark, folder):
     return materialise_vectors(split)
 
 
-def materialise_vectors(rows):
-    """Training and test rows are read many times; keep them as a table."""
-    from pyspark.ml.functions import vector_to_array
-
-    kept = materialise(rows.withColumn("features", vector_to_array("features")), "vectors")
-    return kept.withColumn("features", array_to_vector("features"))
-
-
 def code_vectors(spark, folder):
     """``id, features, label, part``: code features against the template's severity."""
     samples = corpus_table(spark, folder)
