@@ -67,15 +67,35 @@ def encode_labels(df: DataFrame, column: str, output: str) -> DataFrame:
 
 
 def _grams(n: int):
-    """Runs of ``n`` neighbours in ``w``; a run that would pass the end is dropped."""
+    """Runs of ``n`` neighbours in ``w``; a run past the end or over a null word is dropped."""
 
     def run(x, i):
-        following = [F.get(F.col("w"), i + k) for k in range(1, n)]
-        return F.when(i <= F.size("w") - n, F.concat_ws(" ", x, *following))
+        parts = [x]
+        for k in range(1, n):
+            parts += [F.lit(" "), F.get(F.col("w"), i + k)]
+        return F.concat(*parts)
 
     return F.array_compact(F.transform("w", run))
 
 
+def _frequent_words(words: DataFrame, max_features: int):
+    """The words a kept run can be made of, or None where that would spare nothing.
+
+    A run is no more frequent than its words, and the last kept term is at least as frequent as
+    the ``max_features``-th word, so words below that one only occur in runs that are not kept.
+    The list is held only up to a fixed size; beyond it, every run is counted.
+    """
+    limit = 10 * max_features
+    counts = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n")).limit(limit).collect()
+    if len(top) < max_features:
+        return None
+    least = top[max_features - 1].n
+    if len(top) == limit and top[-1].n >= least:
+        return None
+    return [r.word for r in top if r.n >= least]
+
+
 def tf_idf(
     documents: DataFrame, id_col: str, text_col: str, max_features: int = 1000, longest: int = 3
 ) -> DataFrame:
@@ -88,7 +108,11 @@ def tf_idf(
     words = documents.select(
         F.col(id_col), F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\b\w\w+\b"), 0).alias("w")
     )
-    grams = [F.col("w")] + [_grams(n) for n in range(2, longest + 1)]
+    frequent = _frequent_words(words, max_features)
+    if frequent:
+        # Other words become gaps that no run may cross.
+        words = words.withColumn("w", F.transform("w", lambda x: F.when(x.isin(frequent), x)))
+    grams = [F.array_compact("w")] + [_grams(n) for n in range(2, longest + 1)]
     terms = words.select(id_col, F.explode(F.concat(*grams)).alias("term"))
     kept = (
         terms.groupBy("term").agg(F.count("*").alias("total"))

@@ -9,7 +9,7 @@ from riskweave.operators import features, matrix, rules, summary, synth
 from riskweave.operators.features import ALL_FEATURES
 from riskweave.plans import golden
 from riskweave.plans.golden import FEATURES, literal, values
-from riskweave.plans.oracle import STRIP, case_of, features_cte, features_frame_cte, findings_cte, with_features
+from riskweave.plans.oracle import STRIP, case_of, features_frame_cte, findings_cte, with_features
 from riskweave.plans.registry import query
 from riskweave.operators.rules import SEVERITY_LABEL
 from riskweave.session import materialise, spread

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import lines, nodes, rules, summary
 from riskweave.plans import golden
 from riskweave.plans.golden import values
-from riskweave.plans.oracle import LINES_CTE, STRIP, corpus_cte, with_corpus, with_findings
+from riskweave.plans.oracle import STRIP, corpus_cte, with_corpus, with_findings
 from riskweave.plans.registry import query
 from riskweave.sources.corpus import corpus_table
 

@@ -151,3 +151,20 @@ def test_tf_idf_rows_have_unit_length(spark):
     for key in {r.id for r in got}:
         assert sum(r.weight**2 for r in got if r.id == key) == pytest.approx(1.0)
     assert {r.term for r in got} == {"aa", "bb", "aa bb", "aa bb aa"}
+
+
+def test_tf_idf_keeps_the_most_frequent_runs(spark):
+    """Counting only runs of frequent words keeps the same terms as counting every run."""
+    from collections import Counter
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(v)}" for v in rng.geometric(0.25, 60)) for _ in range(40)]
+    counts = Counter()
+    for text in texts:
+        words = text.split()
+        for n in (1, 2, 3):
+            counts.update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for size in (5, 12):
+        kept = sorted(counts, key=lambda t: (-counts[t], t))[:size]
+        assert {r.term for r in matrix.tf_idf(docs, "id", "text", size).collect()} == set(kept)

@@ -2,7 +2,6 @@ import hashlib
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from riskweave.operators import audit, rules, synth
 from riskweave.session import materialise, scratch_dir, tune
