@@ -33,7 +33,7 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", (("redistribution and use in source and binary forms",),)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", (("for any purpose with or without fee is hereby granted",),)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", (("mozilla public license",),)),
-    ("cc-by", "licensed under cc by 4 0", (("cc by",),)),
+    ("cc-by", "licensed under cc by 4 0", (("cc by 4",),)),
     ("cc-by-nc", "licensed under cc by nc 4 0", (("cc by nc",),)),
     ("unlicense", "this is free and unencumbered software released into the public domain", (("free and unencumbered software",),)),
 )
