@@ -87,7 +87,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan_group(docs: DataFrame, held, text: str) -> DataFrame:
-    schema = docs.schema
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
 
     def run(batches):
         known = held.value
@@ -139,7 +139,6 @@ def find(
         F.array().cast(SPANS).alias("spans"),
         F.array().cast("array<string>").alias("item_ids"),
     )
-    out = out.sparkSession.createDataFrame([], _nullable(out.schema)).unionByName(out)
     for g in range(groups):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(groups)) == g) if groups > 1 else items
         held = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.i, r.t) for r in part.collect()], n))
@@ -147,10 +146,6 @@ def find(
     return out
 
 
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-
-
 def remove(found: DataFrame, text: str = "text", min_share: float = 0.0) -> DataFrame:
     """Drop documents of which more than ``min_share`` of the words is hit (by default, any word)."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])
