@@ -7,14 +7,16 @@ filled, also for a set of one shingle. Equal coordinates estimate Jaccard simila
 of sampling without replacement.
 
 Plan: sketches are written once (narrow rows); equal shingle sets become one class; bands link every class to
-the least class of its bucket; links are confirmed on full sets; then members of one bucket that are still in
-different components are compared too. So each candidate pair of the bands is either confirmed, refuted or
-already connected, without emitting the pairs inside a group of copies.
+the least class of its bucket; links are confirmed on full sets. Members of one bucket that are still in
+different components are compared inside blocks of the bucket, by sketches and then on full sets, and each two
+components that prove similar give one link. So each candidate pair of the bands is confirmed, refuted or already
+connected, and the pairs inside a group of copies are never rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,13 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 #: Pairs whose sketches agree on fewer coordinates than this far below the threshold aren't compared in full:
-#: six standard deviations of the estimate.
-SLACK = 0.22
+#: four and a half standard deviations of the estimate.
+SLACK = 0.16
+#: Members of a bucket, and their shingles, that one group holds on either side.
+BLOCK = 2048
+BLOCK_SHINGLES = 500_000
+#: Shingles compared in one matrix product.
+COLUMNS = 4096
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -97,22 +104,110 @@ def sketch_table(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
     )
 
 
+def _least(percent: int) -> float:
+    return (percent / 100 - SLACK) * BINS
+
+
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and sketches leave the threshold open."""
 
     def run(batches):
-        least = (percent / 100 - SLACK) * BINS
         for batch in batches:
             if not len(batch):
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in ("mark_a", "mark_b"))
-            keep = (x == y).sum(axis=1) >= least
+            keep = (x == y).sum(axis=1) >= _least(percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     sized = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     return sized.select("a", "b", "mark_a", "mark_b").mapInArrow(run, "a long, b long")
 
 
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Members of the two blocks that a group compares (the same twice within one block)."""
+    block = group["block"].to_numpy()
+    return np.flatnonzero(block == group["i"].iat[0]), np.flatnonzero(block == group["j"].iat[0])
+
+
+def _hopeful(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Members that may be similar to one of another component, by size and sketch."""
+    comp, size = group["c"].to_numpy(), group["n"].to_numpy()
+    marks = np.frombuffer(b"".join(group["mark"]), np.uint8).reshape(-1, BINS)
+    left, right = _sides(group)
+    some = np.zeros(len(group), bool)
+    for x in left:
+        y = right[(comp[right] != comp[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
+        y = y[(marks[y] == marks[x]).sum(axis=1) >= _least(percent)]
+        some[y] = True
+        some[x] |= len(y) > 0
+    return group.loc[some, ["id", "c", "block", *BLOCK_KEYS]]
+
+
+def _block_links(group: pd.DataFrame, percent: int, n: int) -> pd.DataFrame:
+    """One link for each two components of the group that have similar members, on full sets."""
+    values, bounds = textbytes.shingles(pa.array(group["text"], pa.string()), n)
+    size, owner = np.diff(bounds), np.repeat(np.arange(len(group)), np.diff(bounds))
+    left, right = _sides(group)
+    _, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1  # only shared shingles can be in an intersection
+    shared = counts[place] > 1
+    owner, column = owner[shared], column[place[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        dense = np.zeros((len(group), COLUMNS), np.float32)
+        dense[owner[a:b], column[a:b] - first] = 1
+        both += dense[left] @ dense[right].T
+    union = size[left][:, None] + size[right][None, :] - both
+    comp, ids = group["c"].to_numpy(), group["id"].to_numpy()
+    x, y = np.nonzero((100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+    x, y = left[x], right[y]
+    ends = np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])], axis=1)
+    _, one = np.unique(ends, axis=0, return_index=True)
+    return pd.DataFrame({"a": ids[x[one]], "b": ids[y[one]]})
+
+
+BUCKET = ["band", "value"]
+BLOCK_KEYS = [*BUCKET, "i", "j"]
+
+
+def _by_block(rows: DataFrame, function, schema: str) -> DataFrame:
+    """``function`` of each group of equal block keys, many small groups to a call from Spark."""
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(held):
+                continue
+            key = held[BLOCK_KEYS].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+            for a, b in zip(starts[:-1], starts[1:]):
+                yield function(held.iloc[a:b])
+            held = held.iloc[starts[-1] :]
+        if held is not None and len(held):
+            yield function(held)
+
+    return rows.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInPandas(run, schema)
+
+
+def _across(placed: DataFrame, narrow: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links between components of ``placed`` (id, band, value, c) that share a bucket."""
+    sized = placed.join(narrow, "id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = sized.groupBy(*BUCKET).agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks.alias("blocks")).where("low <> high")
+    rows = sized.join(mixed, BUCKET).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("id", "c", "n", "mark", "block", *BUCKET, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    schema = "id long, c long, block int, band int, value long, i int, j int"
+    hopeful = materialise(_by_block(rows, lambda g: _hopeful(g, percent), schema), "hopeful")
+    wanted = materialise(hopeful.select("id").distinct(), "wanted")
+    kept = materialise(texts.join(small_side(wanted, 8), "id", "left_semi"), "texts")
+    return _by_block(hopeful.join(kept, "id"), lambda g: _block_links(g, percent, n), "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs that hold on their full shingle sets: 100 * intersection >= percent * union."""
 
@@ -162,24 +257,15 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     leaders = buckets.groupBy("band", "value").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     buckets = materialise(buckets.join(leaders, ["band", "value"]).select("id", "band", "value", "leader"), "buckets")
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda k: narrow.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("mark").alias(f"mark_{k}"))
-        open_ = materialise(_similar(pairs.join(side("a"), "a").join(side("b"), "b"), percent), name)
-        texts = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-        return _confirmed(open_, texts, n, percent)
-
+    texts = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    first = materialise(links(star, "pairs"), "links")
-    parts = materialise(components(first), "parts")
-    placed = buckets.join(parts, buckets.id == parts.node, "left").select("id", "band", "value", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    placed = materialise(placed.join(mixed, ["band", "value"]).select("id", "band", "value", "c"), "mixed")
-    x = placed.select(F.col("id").alias("a"), "band", "value", F.col("c").alias("ca"))
-    y = placed.select(F.col("id").alias("b"), "band", "value", F.col("c").alias("cb"))
-    rest = x.join(y, ["band", "value"]).where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    second = materialise(links(rest, "pairs"), "links")
-    merged = components(first.unionByName(second))
-    merged = materialise(merged, "parts")
+    side = lambda k: narrow.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("mark").alias(f"mark_{k}"))
+    pairs = materialise(_similar(star.join(side("a"), "a").join(side("b"), "b"), percent), "pairs")
+    merged = materialise(components(materialise(_confirmed(pairs, texts, n, percent), "links")), "parts")
+    placed = buckets.join(merged, buckets.id == merged.node, "left").select("id", "band", "value", F.coalesce("component", "id").alias("c"))
+    more = materialise(_across(placed, narrow, texts, percent, n), "links")
+    known = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    merged = materialise(components(known.unionByName(more)), "parts")
     of_class = classes.join(merged, classes.id == merged.node, "left").select(
         "h1", "h2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("class_component")
     )
