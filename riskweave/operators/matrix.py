@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.operators.features import ALL_FEATURES, all_features
 from riskweave.operators.ranks import shuffled_rank
 from riskweave.operators.rules import severity_label
+from riskweave.session import materialise
 
 
 def fill_missing(df: DataFrame, columns) -> DataFrame:
@@ -50,7 +51,12 @@ def from_findings(found: DataFrame, names=ALL_FEATURES) -> DataFrame:
 def stratified_split(
     df: DataFrame, label: str = "label", id_col: str = "id", test_size: float = 0.2, seed=42
 ) -> DataFrame:
-    """Add ``part``: ``test`` for the first share of each label in hash order, else ``train``."""
+    """Add ``part``: ``test`` for the first share of each label in hash order, else ``train``.
+
+    Rows without a label are a class of their own.  An empty set raises ``ValueError``.
+    """
+    if df.isEmpty():
+        raise ValueError("no rows to split")
     ranked = shuffled_rank(df, [label], seed, id_col)
     test = F.col("rank") <= F.floor(F.lit(test_size) * F.col("group_size"))
     return ranked.withColumn("part", F.when(test, "test").otherwise("train")).drop("rank", "group_size")
@@ -78,52 +84,36 @@ def _grams(n: int):
     return F.array_compact(F.transform("w", run))
 
 
-def _frequent_words(words: DataFrame, max_features: int):
-    """The words a kept run can be made of, or None where that would spare nothing.
-
-    A run is no more frequent than its words, and the last kept term is at least as frequent as
-    the ``max_features``-th word, so words below that one only occur in runs that are not kept.
-    The list is held only up to a fixed size; beyond it, every run is counted.
-    """
-    limit = 10 * max_features
-    counts = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n")).limit(limit).collect()
-    if len(top) < max_features:
-        return None
-    least = top[max_features - 1].n
-    if len(top) == limit and top[-1].n >= least:
-        return None
-    return [r.word for r in top if r.n >= least]
-
-
 def tf_idf(
     documents: DataFrame, id_col: str, text_col: str, max_features: int = 1000, longest: int = 3
 ) -> DataFrame:
     """``id, term, weight`` for word 1- to ``longest``-grams: the most frequent terms, smoothed
     idf, rows of unit length.
 
-    Only rows of kept terms are shuffled by document; the kept terms are at most ``max_features``
-    rows, which is the bound of the broadcast.
+    Texts are cut into words once and written.  Runs are counted once to choose the kept terms, at most
+    ``max_features`` rows, which is the bound of the broadcast; only counts of kept terms are shuffled by
+    document.
     """
-    words = documents.select(
-        F.col(id_col), F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\b\w\w+\b"), 0).alias("w")
+    words = materialise(
+        documents.select(
+            F.col(id_col), F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\b\w\w+\b"), 0).alias("w")
+        ),
+        "words",
     )
-    frequent = _frequent_words(words, max_features)
-    if frequent:
-        # Other words become gaps that no run may cross.
-        words = words.withColumn("w", F.transform("w", lambda x: F.when(x.isin(frequent), x)))
-    grams = [F.array_compact("w")] + [_grams(n) for n in range(2, longest + 1)]
+    grams = [F.col("w")] + [_grams(n) for n in range(2, longest + 1)]
     terms = words.select(id_col, F.explode(F.concat(*grams)).alias("term"))
     kept = (
         terms.groupBy("term").agg(F.count("*").alias("total"))
         .orderBy(F.desc("total"), "term").limit(max_features).select("term")
     )
-    counts = terms.join(F.broadcast(kept), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    size = documents.agg(F.count("*").alias("n"))
-    spread_of = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = spread_of.crossJoin(F.broadcast(size)).select(
-        "term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")
+    kept = materialise(kept, "terms")
+    counted = materialise(terms.join(F.broadcast(kept), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf")), "counts")
+    total = documents.agg(F.count("*")).first()[0]
+    spread_of = counted.groupBy("term").agg(F.count("*").alias("df"))
+    idf = spread_of.select("term", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    raw = counted.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    rows = raw.groupBy(id_col).agg(F.collect_list(F.struct("term", "raw")).alias("row"))
+    norm = F.sqrt(F.aggregate("row", F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"]))
+    return rows.withColumn("norm", norm).select(
+        id_col, F.inline(F.transform("row", lambda x: F.struct(x["term"].alias("term"), (x["raw"] / F.col("norm")).alias("weight"))))
     )
-    raw = counts.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("raw") / F.col("norm")).alias("weight"))

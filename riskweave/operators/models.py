@@ -24,12 +24,10 @@ from riskweave.operators.rules import severity_label
 
 # Model names, defaults of detector and ranker, folds.
 MODEL_TYPES = ("gradient_boosting", "random_forest", "logistic_regression", "neural_network")
-DETECTOR_CONFIG = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "random_state": 42}
+DETECTOR_CONFIG = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "random_state": 42, "max_classes": 1000}
 RANKER_CONFIG = {"n_estimators": 50, "learning_rate": 0.05, "max_depth": 4, "random_state": 42}
 CV_FOLDS = 5
 
-MAX_CLASSES = 1000
-
 _MODELS = {
     "gradient_boosting": GBTClassificationModel,
     "random_forest": RandomForestClassificationModel,
@@ -51,6 +49,7 @@ class VulnerabilityDetector:
         self.feature_names: list[str] = []
         self.models: list = []
         self._importance: dict[str, float] | None = None
+        self._fitted_on: DataFrame | None = None
 
     # -- fitting -----------------------------------------------------------------------------
 
@@ -70,10 +69,11 @@ class VulnerabilityDetector:
         )
 
     def fit(self, rows: DataFrame, feature_names=None) -> "VulnerabilityDetector":
-        # The distinct labels are the classes; a column with more is not a label.
-        seen = rows.select(F.col("label").cast("int")).distinct().limit(MAX_CLASSES + 1).collect()
-        if len(seen) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes")
+        # The distinct labels are the classes, held by the driver; config ``max_classes`` is how many may be.
+        most = self.config["max_classes"]
+        seen = rows.select(F.col("label").cast("int")).distinct().limit(most + 1).collect()
+        if len(seen) > most:
+            raise ValueError(f"more than {most} classes")
         self.classes = sorted(r[0] for r in seen)
         if not self.classes:
             raise ValueError("no rows to fit")
@@ -90,8 +90,7 @@ class VulnerabilityDetector:
         finally:
             data.unpersist()
         self._importance = None
-        if self.model_type == "neural_network":
-            self._importance = self._permutation_importance(rows)
+        self._fitted_on = rows if self.model_type == "neural_network" else None
         self.is_fitted = True
         return self
 
@@ -182,11 +181,14 @@ class VulnerabilityDetector:
     def get_feature_importance(self) -> dict[str, float]:
         """Feature to score, best first."""
         if self._importance is None:
-            if self.model_type == "logistic_regression":
+            if self.model_type == "neural_network":
+                self._importance = self._permutation_importance(self._fitted_on)
+            elif self.model_type == "logistic_regression":
                 weights = abs(self.models[0].coefficientMatrix.toArray()).mean(axis=0)
             else:
                 weights = sum(m.featureImportances.toArray() for m in self.models) / len(self.models)
-            self._importance = dict(zip(self.feature_names, (float(w) for w in weights)))
+            if self._importance is None:
+                self._importance = dict(zip(self.feature_names, (float(w) for w in weights)))
         return dict(sorted(self._importance.items(), key=lambda kv: (-kv[1], kv[0])))
 
     def importance_table(self, spark: SparkSession) -> DataFrame:
@@ -197,10 +199,10 @@ class VulnerabilityDetector:
         """Accuracy lost when a feature's values are dealt out anew among the rows.
 
         Two hash orders of the rows, joined by rank, give every row a donor row; each feature is
-        then swapped for the donor's in its own copy of the row.
+        then swapped for the donor's in its own copy of the row.  The rows fitted on need an ``id``.
         """
         if "id" not in rows.columns:
-            rows = rows.withColumn("id", F.monotonically_increasing_id())
+            raise ValueError("permutation importance needs rows with an id")
         plain = rows.select("id", "label", vector_to_array("features").alias("x"))
         takers = shuffled_rank(plain, [], "taker", "id").select("rank", "label", "x")
         donors = shuffled_rank(plain, [], "donor", "id").select("rank", F.col("x").alias("z"))
@@ -278,7 +280,10 @@ class VulnerabilityRanker:
         return self
 
     def rank_vulnerabilities(self, found: DataFrame) -> DataFrame:
-        """Findings with ``priority_score`` and ``priority_confidence``, best first."""
+        """Findings with ``priority_score`` and ``priority_confidence``, best first, equal ones by file and number.
+
+        Equal scores are common, so only the whole key lets the range sort spread them over tasks.
+        """
         scored = self.detector.transform(self._features(found)).drop("features")
         classes = F.array(*[F.lit(float(k)) for k in self.detector.classes])
         expected = F.aggregate(
@@ -286,7 +291,7 @@ class VulnerabilityRanker:
         )
         return scored.withColumns(
             {"priority_score": expected, "priority_confidence": F.array_max("proba")}
-        ).orderBy(F.desc("priority_score"), F.desc("priority_confidence"))
+        ).orderBy(F.desc("priority_score"), F.desc("priority_confidence"), *[c for c in ("file_id", "file_path", "finding_no") if c in found.columns])
 
     def save_model(self, spark: SparkSession, path: str) -> None:
         self.types.write().overwrite().save(f"{path}/types")

@@ -2,7 +2,7 @@
 
 A window over a hot group sorts it in one task.  Here each group is cut into buckets of its
 sort key, windows run per (group, bucket), and the totals of earlier buckets, a table of at most
-``buckets`` rows per group, are added.
+``buckets`` rows per group, are added.  The number of buckets follows the session's shuffle partitions.
 """
 
 from __future__ import annotations
@@ -11,17 +11,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskweave.session import materialise
 
-def shuffled_rank(df: DataFrame, groups, seed, id_col: str, hex_digits: int = 3) -> DataFrame:
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null; the keys come from ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
+def _parts(df: DataFrame) -> int:
+    """As many parts as the session shuffles into, which is how a cluster states its size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shuffled_rank(df: DataFrame, groups, seed, id_col: str, buckets: int | None = None) -> DataFrame:
     """Add ``rank`` (1-based, exact) and ``group_size`` in the order of md5(seed | id).
 
-    The hash is uniform, so its leading digits are evenly filled buckets for every group.
+    The hash is uniform, so equal slices of its range are evenly filled buckets for every group.  The input
+    is written once, since its ranks need it twice.  A null group is a group.
     """
     groups = list(groups)
+    buckets = buckets or 4 * _parts(df)
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+    # The leading 32 bits of the hash, scaled to the number of buckets.
+    lead = F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint")
     keyed = df.withColumn("_order", order).withColumn(
-        "_bucket", F.conv(F.substring("_order", 1, hex_digits), 16, 10).cast("int")
+        "_bucket", F.shiftright(lead * F.lit(buckets).cast("bigint"), 32).cast("int")
     )
+    keyed = materialise(keyed, "ranked")
     whole = Window.partitionBy(*groups)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -36,18 +57,12 @@ def shuffled_rank(df: DataFrame, groups, seed, id_col: str, hex_digits: int = 3)
     )
     inside = Window.partitionBy(*groups, "_bucket").orderBy("_order", id_col)
     return (
-        keyed.withColumn("_place", F.row_number().over(inside))
-        .join(offsets, [*groups, "_bucket"])
+        join_null_safe(keyed.withColumn("_place", F.row_number().over(inside)), offsets, [*groups, "_bucket"])
         .withColumn("rank", F.col("_before") + F.col("_place"))
         .drop("_order", "_bucket", "_before", "_place")
     )
 
 
-def _bucket_count(df: DataFrame) -> int:
-    """As many buckets as the session shuffles into, within bounds that keep the search short."""
-    return min(512, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def running_sums(
     df: DataFrame, groups, order: str, sums: dict[str, Column], buckets: int | None = None
 ) -> DataFrame:
@@ -55,31 +70,22 @@ def running_sums(
 
     For each name in ``sums``: ``name``, ``name_upto`` (this key included), ``name_total`` and
     ``name_next`` (the value at the next key, null at the last).  Equal keys collapse before any
-    window, so a key holding a third of all rows is one row here.  Bucket bounds are approximate
-    quantiles of the distinct keys; they decide only where rows go, not the result.
-
-    ``groups`` are closed sets such as models, classes or features: the bounds are one row each.
+    window, so a key holding a third of all rows is one row here.  The collapsed keys are dealt by
+    range into ``buckets`` parts (the session's shuffle partitions) and written once with the number
+    of their part, so every later step sees the same cuts.  A null group is a group.
     """
     groups = list(groups)
     names = list(sums)
-    buckets = buckets or _bucket_count(df)
     keys = df.groupBy(*groups, order).agg(*[sums[n].alias(n) for n in names])
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = keys.groupBy(*groups).agg(F.percentile_approx(order, shares, 20 * buckets).alias("_bounds"))
-    # One row per group, a closed set, so the broadcast does not grow with the data.
-    placed = (
-        keys.join(F.broadcast(bounds), groups) if groups else keys.crossJoin(F.broadcast(bounds))
-    )
-    placed = placed.withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
-    ).drop("_bounds")
+    dealt = keys.repartitionByRange(buckets or _parts(df), *groups, order)
+    placed = materialise(dealt.withColumn("_bucket", F.spark_partition_id()), "placed")
 
     whole = Window.partitionBy(*groups)
     ordered = whole.orderBy("_bucket")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*groups, "_bucket").agg(
         *[F.sum(n).alias(n) for n in names],
-        F.min_by(F.struct(*names), order).alias("_first"),
+        F.min_by(F.struct(*names), F.struct(order)).alias("_first"),
     )
     offsets = totals.select(
         *groups,
@@ -99,7 +105,7 @@ def running_sums(
         F.lead(F.struct(*names)).over(inside).alias("_next"),
     )
     following = F.coalesce(F.col("_next"), F.col("_following"))
-    return local.join(offsets, [*groups, "_bucket"]).select(
+    return join_null_safe(local, offsets, [*groups, "_bucket"]).select(
         *groups,
         order,
         *names,
@@ -139,9 +145,9 @@ def exact_quantiles(df: DataFrame, groups, value: str, shares) -> DataFrame:
     )
 
 
-def top_per_group(df: DataFrame, groups, order, limit: int, salt_by: str, salts: int = 64) -> DataFrame:
+def top_per_group(df: DataFrame, groups, order, limit: int, salt_by: str, salts: int | None = None) -> DataFrame:
     """The first ``limit`` rows of every group, exact, with a hot group cut into salted parts first."""
-    salt = F.pmod(F.xxhash64(salt_by), F.lit(salts))
+    salt = F.pmod(F.xxhash64(salt_by), F.lit(salts or _parts(df)))
     part = Window.partitionBy(*groups, "_salt").orderBy(*order)
     whole = Window.partitionBy(*groups).orderBy(*order)
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.pystr import hash_bits, hash_unit, literal_map, py_strip, split_lines
 from riskweave.operators.ranks import shuffled_rank
-from riskweave.sources.corpus import CONTEXTS, DEFAULT_SEVERITY, SEVERITY_BY_TYPE, TEMPLATES, combine
+from riskweave.sources.corpus import DEFAULT_SEVERITY, SEVERITY_BY_TYPE, combine
 
 # Sample descriptions and confidence ranges.
 DESCRIPTION_BY_TYPE = {
@@ -23,10 +23,81 @@ DEFAULT_DESCRIPTION = "Security vulnerability detected"
 VULNERABLE_CONFIDENCE = (0.7, 1.0)
 SAFE_CONFIDENCE = (0.8, 1.0)
 
+# This library's own statements.  Each vulnerable one is what its type says, and the scan finds it;
+# the scan finds nothing in the safe ones.  Every context takes statements of any number of lines.
+CONTEXTS = (
+    "import os\nimport sys\n",
+    "def handle(request):\n    ",
+    "if ready:\n    ",
+    "async def worker():\n    ",
+    "# generated\n",
+    "while pending:\n    ",
+    "class Settings:\n    ",
+    "with lock:\n    ",
+)
 VULNERABLE_TEMPLATES = {
-    kind: tuple(text for k, text in TEMPLATES if k == kind) for kind in DESCRIPTION_BY_TYPE
+    "hardcoded_password": (
+        "password = 'hunter2'",
+        'db_password = "pa55-w0rd"',
+        "admin_password='letmein!'",
+        "login(user='root', password='toor')",
+        "smtp_password = \"mail4ever\"",
+    ),
+    "eval_usage": (
+        "total = eval(expr)",
+        "rows = [eval(cell) for cell in cells]",
+        "exec(source)",
+        "exec(open(path).read())",
+        "answer = eval(sys.argv[1], {})",
+    ),
+    "sql_injection": (
+        'cur.execute("select * from t where id = %s" % uid)',
+        "db.execute('delete from t where name = \"%s\"' % name)",
+        'cur.execute("update t set a = %d where b = %s" % (a, b))',
+        "conn.execute('insert into t values (%s)' % value)",
+        'cur.execute("select count(*) from %s" % table)',
+    ),
+    "shell_injection": (
+        "os.system('ls ' + folder)",
+        "os.system(f'tar xf {archive}')",
+        "subprocess.call(command, shell=True)",
+        "code = subprocess.call('ping ' + host, shell=True)",
+        "os.system(input_line)",
+    ),
+    "weak_crypto": (
+        "h = hashlib.md5(blob).hexdigest()",
+        "digest = hashlib.sha1(data).digest()",
+        "key = md5(secret)",
+        "token = hashlib.sha1(user.encode()).hexdigest()",
+        "tag = hmac.new(k, m, hashlib.md5(m).name)",
+    ),
+    "insecure_random": (
+        "token = random.random()",
+        "pin = random.randint(1000, 9999)",
+        "session = str(random.random())[2:]",
+        "salt = [random.randint(0, 255) for _ in range(8)]",
+        "otp = '%06d' % random.randint(0, 999999)",
+    ),
+    "exception_handling": (
+        "try:\n    work()\nexcept:\n    pass",
+        "try: send(data)\nexcept: pass",
+        "try:\n    load(path)\nexcept:\n    result = None",
+        "try:\n    a = 1 / b\nexcept ZeroDivisionError:\n    a = 0\nexcept:\n    a = None",
+        "try:\n    close()\nexcept:\n    log('failed')\nfinally:\n    done()",
+    ),
 }
-SAFE_TEMPLATES = tuple(text for kind, text in TEMPLATES if kind == "safe")
+SAFE_TEMPLATES = (
+    "total = sum(values)",
+    "for item in items: print(item)",
+    "digest = hashlib.sha256(blob).hexdigest()",
+    "pin = secrets.randbelow(10000)",
+    'cur.execute("select * from t where id = ?", (uid,))',
+    "subprocess.run(['ls', '-l', folder], check=True)",
+    "value = ast.literal_eval(text)",
+    "secret = os.environ['APP_SECRET']",
+    "try:\n    load(path)\nexcept OSError as error:\n    log(error)",
+    "def area(width, height):\n    return width * height",
+)
 SPLITS = ("train", "validation", "test")
 
 
@@ -49,7 +120,7 @@ def template_line(code, template):
 
 
 def vulnerable_samples(
-    ids: DataFrame, seed=42, templates=VULNERABLE_TEMPLATES, contexts=CONTEXTS, indent_all=False
+    ids: DataFrame, seed=42, templates=VULNERABLE_TEMPLATES, contexts=CONTEXTS, indent_all=True
 ) -> DataFrame:
     """One sample per ``id``: a uniform type, then a uniform template of it."""
     picked = ids.select("id").withColumn("vulnerability_type", _pick(templates, seed, "type"))
@@ -72,7 +143,7 @@ def vulnerable_samples(
 
 
 def safe_samples(
-    ids: DataFrame, seed=42, templates=SAFE_TEMPLATES, contexts=CONTEXTS, indent_all=False
+    ids: DataFrame, seed=42, templates=SAFE_TEMPLATES, contexts=CONTEXTS, indent_all=True
 ) -> DataFrame:
     return ids.select("id").select(
         "id",
@@ -101,10 +172,15 @@ def split_samples(samples: DataFrame, ratios=(0.7, 0.15, 0.15), seed=42) -> Data
 
 
 def dataset(
-    vulnerable_ids: DataFrame, safe_ids: DataFrame, ratios=(0.7, 0.15, 0.15), seed=42
+    vulnerable_ids: DataFrame, safe_ids: DataFrame, ratios=(0.7, 0.15, 0.15), seed=42, indent_all=True
 ) -> DataFrame:
-    """Vulnerable and safe samples together, split; ids must not overlap."""
-    both = vulnerable_samples(vulnerable_ids, seed).unionByName(safe_samples(safe_ids, seed))
+    """Vulnerable and safe samples together, split; ids must not overlap.
+
+    All lines of a statement are indented by default, so that every sample parses.
+    """
+    both = vulnerable_samples(vulnerable_ids, seed, indent_all=indent_all).unionByName(
+        safe_samples(safe_ids, seed, indent_all=indent_all)
+    )
     return split_samples(both, ratios, seed)
 
 

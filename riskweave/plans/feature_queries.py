@@ -13,7 +13,8 @@ from riskweave.plans.oracle import STRIP, case_of, features_frame_cte, findings_
 from riskweave.plans.registry import query
 from riskweave.operators.rules import SEVERITY_LABEL
 from riskweave.session import materialise, spread
-from riskweave.sources.corpus import CONTEXTS, SEVERITY_BY_TYPE, corpus_table, table
+from riskweave.operators.synth import CONTEXTS
+from riskweave.sources.corpus import SEVERITY_BY_TYPE, corpus_table, table
 
 DOUBLES = {
     "avg_string_length", "avg_line_length", "code_density", "complexity_ratio",
@@ -135,22 +136,24 @@ def _(spark, folder):
 _SPLIT_RANK = "row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id)"
 
 
+_DIMENSIONS = [f"e{i}" for i in range(64)]
+
+
 @query(
     "f29_transform_with_training_statistics",
-    lambda: f"""WITH src AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+    lambda: f"""WITH src AS (SELECT vec_id AS id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS {e}" for i, e in enumerate(_DIMENSIONS))} FROM embeddings),
       parts AS (SELECT *, CASE WHEN {_SPLIT_RANK} <= floor(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS part FROM src),
       train AS (SELECT * FROM parts WHERE part = 'train')
-      SELECT id, {_z("a", fitted="train")}, {_z("b", fitted="train")} FROM parts WHERE part = 'test'""",
+      SELECT id, {", ".join(_z(e, fitted="train") for e in _DIMENSIONS)} FROM parts WHERE part = 'test'""",
 )
 def _(spark, folder):
     rows = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("id"), "label",
-        F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"),
+        F.col("vec_id").alias("id"), "label", *[F.get("embedding", F.lit(i)).cast("double").alias(e) for i, e in enumerate(_DIMENSIONS)]
     )
     parts = matrix.stratified_split(rows, seed=42)
-    fitted = matrix.scale_fit(parts.where("part = 'train'"), ["a", "b"])
-    scaled = matrix.scale_apply(parts.where("part = 'test'"), fitted, ["a", "b"])
-    return rounded(scaled.select("id", "a", "b"), ["a", "b"], 5)
+    fitted = matrix.scale_fit(parts.where("part = 'train'"), _DIMENSIONS)
+    scaled = matrix.scale_apply(parts.where("part = 'test'"), fitted, _DIMENSIONS)
+    return rounded(scaled.select("id", *_DIMENSIONS), _DIMENSIONS, 5)
 
 
 @query("f30_severity_label", with_features(f"SELECT file_id, severity, {case_of('severity', SEVERITY_LABEL, 0)}::INTEGER AS label FROM feats"))
@@ -165,18 +168,21 @@ def _snippet_oracle():
             for text in (line, line.strip(PY_SPACE)):
                 snippets[text] = golden.features_of(text)
     rows = [(text, *[float(v) for v in found.values()]) for text, found in snippets.items()]
-    names = ["ast_nodes", "dangerous_calls", "string_count", "cyclomatic_complexity"]
+    # A snippet is one line, or none.
+    lead = STRIP.format("code_snippet")
     return f"""WITH {findings_cte()}, {values("snippets", ["code_snippet", *FEATURES], rows)}
       SELECT file_id, finding_no, {case_of("severity", SEVERITY_LABEL, 0)}::INTEGER AS label,
-        {", ".join(f"{n}::INTEGER AS {n}" for n in names)}, length(code_snippet)::INTEGER AS char_count
+        {", ".join(f"round({n}::DOUBLE, 5) AS {n}" for n in FEATURES)}, 1::DOUBLE AS line_count, length(code_snippet)::DOUBLE AS char_count,
+        length(code_snippet)::DOUBLE AS avg_line_length, length(code_snippet)::DOUBLE AS max_line_length,
+        ({lead} = '')::INTEGER::DOUBLE AS empty_lines, ({lead} LIKE '#%')::INTEGER::DOUBLE AS comment_lines,
+        length(code_snippet)::DOUBLE AS code_density, round((cyclomatic_complexity / greatest(function_count, 1))::DOUBLE, 5) AS complexity_ratio
       FROM found JOIN snippets USING (code_snippet)"""
 
 
 @query("f31_features_from_findings", _snippet_oracle)
 def _(spark, folder):
-    names = ["ast_nodes", "dangerous_calls", "string_count", "cyclomatic_complexity", "char_count"]
-    found = matrix.from_findings(rules.findings(corpus_table(spark, folder)), names)
-    return found.select("file_id", "finding_no", "label", *names)
+    found = matrix.from_findings(rules.findings(corpus_table(spark, folder)))
+    return found.select("file_id", "finding_no", "label", *[F.round(F.col(n).cast("double"), 5).alias(n) for n in ALL_FEATURES])
 
 
 @query(
@@ -258,14 +264,15 @@ def _samples_cte() -> str:
         for j, text in enumerate(texts)
     ]
     per_type = len(vulnerable) // len(synth.VULNERABLE_TEMPLATES)
-    opens = "CASE WHEN rtrim(prefix, ' ' || chr(10)) LIKE '%:' THEN chr(10) || '    ' ELSE chr(10) END"
+    opens = """CASE WHEN rtrim(prefix, ' ' || chr(10)) LIKE '%:'
+      THEN chr(10) || '    ' || replace(body, chr(10), chr(10) || '    ') ELSE chr(10) || body END"""
     first = "list_position(list_transform(string_split(code, chr(10)), lambda x: contains(x, body)), true)"
     return f"""
 {values("vt", ["i", "j", "kind", "body"], vulnerable)},
 {values("st", ["i", "body"], list(enumerate(synth.SAFE_TEMPLATES)))},
 {values("cx", ["c", "prefix"], list(enumerate(CONTEXTS)))},
 vulnerable0 AS (
-  SELECT id, body, kind, prefix || {opens} || body AS code FROM (SELECT doc_id * 2 AS id FROM documents)
+  SELECT id, body, kind, prefix || {opens} AS code FROM (SELECT doc_id * 2 AS id FROM documents)
   JOIN vt ON i = {_hash_sql("type", len(synth.VULNERABLE_TEMPLATES))} AND j = {_hash_sql("template", per_type)}
   JOIN cx ON c = {_hash_sql("context", len(CONTEXTS))}),
 vulnerable AS (
@@ -274,7 +281,7 @@ vulnerable AS (
     {case_of("kind", synth.DESCRIPTION_BY_TYPE, synth.DEFAULT_DESCRIPTION)} AS description,
     0.7::DOUBLE + {literal(1.0 - 0.7)} * {_unit_sql("confidence")} AS confidence, upper(kind) || '_RULE' AS rule_id FROM vulnerable0),
 safe AS (
-  SELECT id, prefix || {opens} || body AS code, 'safe' AS vulnerability_type, 'info' AS severity, 1 AS line_number,
+  SELECT id, prefix || {opens} AS code, 'safe' AS vulnerability_type, 'info' AS severity, 1 AS line_number,
     'No vulnerabilities detected' AS description,
     0.8::DOUBLE + {literal(1.0 - 0.8)} * {_unit_sql("confidence")} AS confidence, 'SAFE_CODE' AS rule_id
   FROM (SELECT doc_id * 2 + 1 AS id FROM documents)
@@ -318,10 +325,12 @@ def _(spark, folder):
                  + _hash_sql("context", len(CONTEXTS)) + " GROUP BY c"),
 )
 def _(spark, folder):
-    from riskweave.functions.pystr import hash_bits
-
-    chosen = (hash_bits(42, "context", "id") % len(CONTEXTS)).cast("int")
-    return ids(spark, folder, 0).groupBy(chosen.alias("c")).agg(F.count("*").alias("n"))
+    # Read back from the samples: no context begins as another does.
+    samples = synth.vulnerable_samples(ids(spark, folder, 0))
+    chosen = F.lit(None).cast("int")
+    for c, context in enumerate(CONTEXTS):
+        chosen = F.when(F.startswith(F.col("code"), F.lit(context)), F.lit(c)).otherwise(chosen)
+    return samples.groupBy(chosen.alias("c")).agg(F.count("*").alias("n"))
 
 
 @query("g04_combine", with_features("SELECT file_id, code FROM corpus"))

@@ -9,6 +9,7 @@ from riskweave.plans import golden
 from riskweave.plans.golden import values
 from riskweave.plans.oracle import STRIP, corpus_cte, with_corpus, with_findings
 from riskweave.plans.registry import query
+from riskweave.session import materialise
 from riskweave.sources.corpus import corpus_table
 
 FINDING = "file_id, line_number, column_number, vulnerability_type, severity, description, code_snippet, confidence, rule_id"
@@ -180,12 +181,15 @@ def _(spark, folder):
 @query(
     "a07_line_histogram",
     with_findings(
-        "SELECT (line_number + 1)::BIGINT AS bin, line_number::DOUBLE AS bin_start, count(*) AS n FROM found WHERE line_number < 20 GROUP BY 1, 2 "
-        "UNION ALL SELECT 21, 20.0, count(*) FROM found WHERE line_number >= 20 HAVING count(*) > 0"
+        """SELECT bin, round(low + (bin - 1) * ((high - low) / 20), 6) AS bin_start, count(*) AS n
+        FROM (SELECT low, high, floor((line_number - low) / ((high - low) / 20))::BIGINT + 1 AS bin
+          FROM found, (SELECT min(line_number)::DOUBLE AS low, max(line_number)::DOUBLE + 1 AS high FROM found)) GROUP BY 1, 2"""
     ),
 )
 def _(spark, folder):
-    return summary.histogram(_found(spark, folder), "line_number", 0, 20, 20)
+    found = materialise(_found(spark, folder).select("line_number"), "lines")
+    low, high = found.agg(F.min("line_number"), F.max("line_number") + 1).first()
+    return summary.histogram(found, "line_number", low or 0, high or 1, 20).withColumn("bin_start", F.round("bin_start", 6))
 
 
 @query("a08_findings_per_file", with_findings("SELECT file_path, count(*) AS n_findings FROM found GROUP BY file_path"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.text import content_hash
 from riskweave.operators import audit, rules
-from riskweave.plans.evaluation_queries import _BINARY, _BOARD, _CLASSES, _long, _sql, ACCURACY, BOARD_SELECT, MACRO, binary, leaderboard
+from riskweave.plans.evaluation_queries import _BINARY, _BOARD, _CLASSES, _long, _sql, ACCURACY, BOARD_SELECT, MACRO, WEIGHTED, binary, leaderboard
 from riskweave.operators import evaluate
 from riskweave.plans.feature_queries import SAMPLE, dataset, rounded, with_samples
 from riskweave.plans.oracle import with_findings
@@ -144,9 +144,9 @@ def _(spark, folder):
     return datasets.read_csv(spark, path, _finding_schema(found))
 
 
-@query("s10_results_json", _sql(_BINARY, _CLASSES, f"SELECT 'performance' AS section, metric, value FROM ({_long({**ACCURACY, **MACRO})})"))
+@query("s10_results_json", _sql(_BINARY, _CLASSES, f"SELECT 'performance' AS section, metric, value FROM ({_long({**ACCURACY, **MACRO, **WEIGHTED})})"))
 def _(spark, folder):
-    wanted = [*ACCURACY, *MACRO]
+    wanted = [*ACCURACY, *MACRO, *WEIGHTED]
     metrics = evaluate.overall(binary(spark, folder)).where(F.col("metric").isin(wanted))
     path = scratch_dir(spark, "results")
     datasets.write_results(metrics.withColumn("section", F.lit("performance")), path)

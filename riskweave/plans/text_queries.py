@@ -76,11 +76,15 @@ def _(spark, folder):
 
 @query(
     "xp4_protect_output",
-    f"WITH {_detected_cte()} SELECT doc_id, string_agg(DISTINCT pii_type, ',' ORDER BY pii_type) AS pii_types FROM detected GROUP BY doc_id",
+    lambda: f"""WITH {_detected_cte()}, red AS ({_redact_oracle()})
+      SELECT doc_id, string_agg(DISTINCT pii_type, ',' ORDER BY pii_type) AS pii_types, md5(any_value(redacted)) AS protected_md5
+      FROM detected JOIN red USING (doc_id) GROUP BY doc_id""",
 )
 def _(spark, folder):
     protected = pii.protect(documents(spark, folder, "text")).where(F.size("pii_types") > 0)
-    return protected.select("doc_id", F.array_join(F.array_sort("pii_types"), ",").alias("pii_types"))
+    return protected.select(
+        "doc_id", F.array_join(F.array_sort("pii_types"), ",").alias("pii_types"), F.md5("protected_text").alias("protected_md5")
+    )
 
 
 @query(

@@ -47,10 +47,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a local folder.
+    Only a session on one machine may lack that setting; it gets a local folder.  Elsewhere executors
+    would each write to a disk of their own, so the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="riskweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.session import materialise
+
 logger = logging.getLogger(__name__)
 
 # Split names, the sample schema, the renamed columns of a findings download.
@@ -48,7 +50,8 @@ def write_json(df: DataFrame, path: str) -> str:
 
 
 def write_dataset(samples: DataFrame, folder: str) -> None:
-    """A CSV and a JSON folder per split; the samples are written once each way."""
+    """A CSV and a JSON folder per split, from one computation of the samples."""
+    samples = materialise(samples, "samples")
     columns = [c for c in samples.columns if c != "split"]
     for kind in ("csv", "json"):
         writer = samples.select(*columns, "split").write.mode("overwrite").partitionBy("split")
@@ -65,7 +68,9 @@ def read_dataset(spark: SparkSession, folder: str, schema: str = SAMPLE_SCHEMA)
         path = f"{folder}/csv/split={split}"
         try:
             parts.append(read_csv(spark, path, schema).withColumn("split", F.lit(split)))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             logger.warning("split not found: %s", path)
     if not parts:
         return spark.createDataFrame([], schema + ", split string")
@@ -81,6 +86,7 @@ def write_findings(found: DataFrame, path: str, kind: str = "json") -> str | Non
         return write_json(found, path)
     if kind != "csv":
         raise ValueError(f"unknown format: {kind}")
+    found = materialise(found, "findings")
     if found.isEmpty():
         logger.warning("no findings to save")
         return None

@@ -20,8 +20,11 @@ from riskweave.session import materialise
 # Fixed value: the suffix of files that are scanned.
 SOURCE_SUFFIX = ".py"
 
-_ENTRY = "path string, is_dir boolean, size bigint"
-_ENTRY_ARROW = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())])
+# Files read into one Arrow batch, in bytes.
+READ_BYTES = 8 << 20
+
+_ENTRY = "path string, is_dir boolean, size bigint, problem string"
+_ENTRY_ARROW = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("problem", pa.string())])
 
 
 def _is_remote(path: str) -> bool:
@@ -47,7 +50,15 @@ def _entries(folder: str):
             if entry.is_dir(follow_symlinks=False):
                 yield entry.path, True, 0
             elif entry.is_file():
-                yield entry.path, False, entry.stat().st_size
+                yield entry.path, False, _size(entry)
+
+
+def _size(entry) -> int:
+    """Bytes of a file; 0 if it has gone meanwhile, which reading it will tell."""
+    try:
+        return entry.stat().st_size
+    except FileNotFoundError:
+        return 0
 
 
 def _batches(rows, schema, limit=10_000):
@@ -70,9 +81,9 @@ def _list_folders(batches):
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 try:
-                    yield from _entries(folder)
-                except PermissionError:
-                    continue
+                    yield from ((*entry, None) for entry in _entries(folder))
+                except OSError as error:  # no permission, or gone since its parent was listed
+                    yield folder, False, 0, f"{type(error).__name__}: {error}"
 
     yield from _batches(rows(), _ENTRY_ARROW)
 
@@ -87,7 +98,15 @@ def _exists(path: str) -> bool:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, size`` of every file below ``root``.  A missing root raises."""
+    """``path, size`` of every file below ``root``.  A missing root raises.
+
+    One call lists one folder, so a flat folder is listed by one task.
+    """
+    return _listing(spark, root).where("problem is null").select("path", "size")
+
+
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size, problem``: files, and folders that could not be listed with the reason."""
     if not _exists(root):
         raise FileNotFoundError(f"directory not found: {root}")
     level = spark.createDataFrame([(root,)], "path string")
@@ -97,7 +116,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         listed = materialise(
             level.repartition(width, "path").mapInArrow(_list_folders, _ENTRY), "listing"
         )
-        found.append(listed.where("not is_dir").select("path", "size"))
+        found.append(listed.where("not is_dir").select("path", "size", "problem"))
         level = listed.where("is_dir").select("path")
         if level.isEmpty():
             break
@@ -118,8 +137,15 @@ def _read_paths(batches):
                 except OSError as error:
                     yield path, None, f"{type(error).__name__}: {error}"
 
-    # Files are whole rows, so few of them make a batch.
-    yield from _batches(rows(), schema, limit=64)
+    pending, held = [], 0
+    for row in rows():
+        pending.append(row)
+        held += len(row[1] or b"")
+        if held >= READ_BYTES or len(pending) >= 10_000:
+            yield _batch(pending, schema)
+            pending, held = [], 0
+    if pending:
+        yield _batch(pending, schema)
 
 
 def _content(path: str) -> bytes:
@@ -197,7 +223,10 @@ def scan_file(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
-    return source_files(spark, root).where("problem is not null").select("file_path", "problem")
+    """``file_path, problem``: files that are not text or cannot be read, folders that cannot be listed."""
+    files = source_files(spark, root).where("problem is not null").select("file_path", "problem")
+    folders = _listing(spark, root).where("problem is not null").select(F.col("path").alias("file_path"), "problem")
+    return files.unionByName(folders)
 
 
 def file_hashes(contents: DataFrame, algorithm: str = "sha256") -> DataFrame:

@@ -118,3 +118,44 @@ def test_scratch_follows_the_session(spark):
     path = scratch_dir(spark, "x")
     assert path.startswith(base or spark.conf.get("spark.checkpoint.dir"))
     assert materialise(spark.range(3), "t").count() == 3
+
+
+def test_scan_finds_each_vulnerable_statement_and_no_safe_one(spark):
+    """In every context; the type of a finding is the statement's own."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"{kind}/{i}/{c}", kind, context, text) for kind, texts in {**synth.VULNERABLE_TEMPLATES, "safe": synth.SAFE_TEMPLATES}.items()
+            for i, text in enumerate(texts) for c, context in enumerate(synth.CONTEXTS)]
+    frame = spark.createDataFrame(rows, "file_id string, kind string, context string, template string")
+    code = frame.select("file_id", F.col("file_id").alias("file_path"), synth.combine(F.col("context"), F.col("template"), True).alias("code"))
+    found = {}
+    for r in rules.findings(code).collect():
+        found.setdefault(r.file_id, set()).add(r.rule_id)
+    wanted = {
+        "hardcoded_password": {"HARDCODED_PASSWORD"}, "eval_usage": {"EVAL_USAGE", "EXEC_USAGE"}, "sql_injection": {"SQL_INJECTION"},
+        "shell_injection": {"SHELL_INJECTION"}, "weak_crypto": {"WEAK_CRYPTO"}, "insecure_random": {"INSECURE_RANDOM"}, "exception_handling": {"BARE_EXCEPT"},
+    }
+    for file_id, kind, _, _ in rows:
+        got = found.get(file_id, set())
+        assert "SYNTAX_ERROR" not in got, file_id
+        assert got == set() if kind == "safe" else got & wanted[kind], (file_id, got)
+    assert all(len(t) == 5 for t in synth.VULNERABLE_TEMPLATES.values()) and len(synth.SAFE_TEMPLATES) == 10 and len(synth.CONTEXTS) == 8
+
+
+def test_unlisted_folder_is_reported(spark, tmp_path, monkeypatch):
+    assert files._list_folders is not None
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([str(tmp_path / "gone")])], names=["path"])
+    rows = [r for b in files._list_folders([batch]) for r in b.to_pylist()]
+    assert len(rows) == 1 and rows[0]["problem"].startswith("FileNotFoundError") and not rows[0]["is_dir"]
+
+
+def test_other_errors_than_a_missing_split_are_raised(spark, tmp_path):
+    from riskweave.sources import datasets
+
+    import pytest
+
+    datasets.write_dataset(synth.generate(spark, 5, 5), str(tmp_path))
+    with pytest.raises(Exception):
+        datasets.read_dataset(spark, str(tmp_path), "id nonsense").collect()
