@@ -6,8 +6,8 @@ By the pigeonhole principle a code within Hamming radius r has a substring withi
 query's; so a query probes, for each substring, the cells that close, and finds every code within r. Each hit
 is reported by the first substring that proves it, then ranked by its float distance.
 
-Cells are Spark groups. Large cells are cut into blocks on both sides, so a task never holds more than
-``BLOCK`` codes against ``BLOCK`` queries.
+Cells with the same first bits are a Spark group, as many groups as the codes fill blocks; fuller groups are cut
+into blocks on both sides, so a task never holds more than about ``BLOCK`` codes against ``BLOCK`` queries.
 """
 
 from __future__ import annotations
@@ -147,33 +147,34 @@ def _flips(width: int, most: int) -> np.ndarray:
 
 
 def _probe(classes: DataFrame, queries: DataFrame, parts: int, radius: int, k: int) -> DataFrame:
-    """``(query, id, ids, distance)``: the ``k + 1`` nearest classes of each query and cell, of all within the radius.
+    """``(query, id, ids, distance)``: the ``k + 1`` nearest classes of each query and group, of all within the radius.
 
     With one part the cells are the values of the first bits and all of them are probed: the exact search.
     """
     everything = parts == 1
     sizes = [(0, 6)] if everything else _sizes(BITS, parts)
     near = 6 if everything else radius // parts
+    # Cells that share their first bits make a group, of about a block of codes.
+    lead = max(0, min(6 if everything else min(w for _, w in sizes), math.ceil(math.log2(max(classes.count(), 1) / BLOCK))))
 
-    def cells(codes: pd.Series) -> np.ndarray:
-        c = codes.to_numpy().view(np.uint64)
-        return np.stack([((c >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64) for at, w in sizes], axis=1)
+    def values_of(codes: np.ndarray) -> np.ndarray:
+        return np.stack([((codes >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64) for at, w in sizes], axis=1)
 
     def of_codes(frames):
         for f in frames:
             if len(f):
-                values = cells(f["code"])
-                for part in range(len(sizes)):
-                    yield f.assign(part=part, cell=values[:, part])
+                values = values_of(f["code"].to_numpy().view(np.uint64))
+                for part, (_, w) in enumerate(sizes):
+                    yield f.assign(part=part, cell=values[:, part] >> (w - lead))
 
     def of_queries(frames):
         for f in frames:
             if len(f):
-                values = cells(f["code"])
+                values = values_of(f["code"].to_numpy().view(np.uint64))
                 for part, (_, w) in enumerate(sizes):
-                    masks = _flips(w, near)
-                    cell = values[:, part][:, None] ^ masks[None, :]
-                    picked = f.loc[f.index.repeat(len(masks))]
+                    firsts = np.unique(_flips(w, near) >> (w - lead))
+                    cell = (values[:, part] >> (w - lead))[:, None] ^ firsts[None, :]
+                    picked = f.loc[f.index.repeat(len(firsts))]
                     yield picked.assign(part=part, cell=cell.reshape(-1))
 
     vec = "v array<double>"
@@ -191,17 +192,29 @@ def _probe(classes: DataFrame, queries: DataFrame, parts: int, radius: int, k: i
     )
 
     def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        part = int(key[0])
+        part, first = int(key[0]), int(key[1])
         out = []
         if len(left) and len(right):
+            at, w = sizes[part]
+            value = values_of(left["code"].to_numpy().view(np.uint64))[:, part]
+            left = left.iloc[np.argsort(value, kind="stable")]
+            value = np.sort(value)
+            starts = np.searchsorted(value, np.arange((1 << w) + 1))
             x, cx, ids = _vectors(left["v"]), left["code"].to_numpy().view(np.uint64), left["id"].to_numpy()
             members = left["ids"].to_numpy()
-            for query, v, code in zip(right["query"], right["v"], right["code"].to_numpy().view(np.uint64)):
-                diff = cx ^ code
+            masks = _flips(w, near)
+            asked_codes = right["code"].to_numpy().view(np.uint64)
+            own = values_of(asked_codes)[:, part]
+            for query, v, code, cell in zip(right["query"], right["v"], asked_codes, own):
+                probes = masks ^ cell
+                probes = probes[probes >> (w - lead) == first]
+                low, size = starts[probes], starts[probes + 1] - starts[probes]
+                hit = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                diff = cx[hit] ^ code
                 ok = np.bitwise_count(diff) <= radius
-                for at, w in sizes[:part]:  # an earlier part has reported it
-                    ok &= np.bitwise_count((diff >> np.uint64(at)) & np.uint64((1 << w) - 1)) > near
-                hit = np.flatnonzero(ok)
+                for start, width in sizes[:part]:  # an earlier part has reported it
+                    ok &= np.bitwise_count((diff >> np.uint64(start)) & np.uint64((1 << width) - 1)) > near
+                hit = hit[ok]
                 if len(hit):
                     d = np.sqrt(((x[hit] - np.asarray(v, np.float64)) ** 2).sum(axis=1))
                     for i in np.lexsort((ids[hit], d))[: k + 1]:
