@@ -26,7 +26,7 @@ HEADLINE = (
     "xe3_explain_finding", "e05_roc_auc", "e07_roc_curve", "e09_auc_one_vs_rest", "e19_leaderboard",
     "u2_analysis_complete", "s01_directory_scan", "l01c_logistic_regression",
 )
-COPIES = int(os.environ.get("BENCH_COPIES", "20"))
+COPIES = int(os.environ.get("BENCH_COPIES", "60"))
 
 
 def run(df) -> None:
