@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from riskweave.llm.tables import small_side, text_key
+from riskweave.llm.tables import literal_rows, small_side, text_key
 from riskweave.session import materialise
 
 #: Base phrases and their labels.
@@ -124,8 +124,8 @@ def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", rarest: in
 
     weight = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) + 1 for w in vocabulary()}
     postings = [(t.number, t.label, w, at) for t in templates() for at, w in enumerate(t.words) if w in weight]
-    posting_table = spark.createDataFrame(postings, "template int, label string, word string, place int")
-    weights = spark.createDataFrame(sorted(weight.items()), "word string, weight double")
+    posting_table = literal_rows(spark, ["template", "label", "word", "place"], postings)
+    weights = literal_rows(spark, ["word", "weight"], sorted(weight.items()))
 
     hits = table.where(F.size("phrases") > 0).select("id", "key", "phrases", F.explode("places").alias("p")).select("id", "key", "phrases", "p.word", "p.at").distinct()
     own = hits.select("id", "key", "word").distinct().join(F.broadcast(weights), "word")
@@ -141,7 +141,7 @@ def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", rarest: in
     best = aligned.groupBy("id", "key", "template").agg(F.max("found").alias("found"), F.first("phrases").alias("phrases"))
     # What a template could have reached: its own rarest words, as many as were looked up.
     reach = {t.number: sum(sorted((weight[w] for w in set(t.words) if w in weight), reverse=True)[:rarest]) for t in templates()}
-    numbers = spark.createDataFrame([(t.number, t.label, reach[t.number]) for t in templates()], "template int, label string, reach double")
+    numbers = literal_rows(spark, ["template", "label", "reach"], [(t.number, t.label, reach[t.number]) for t in templates()])
     verified = F.lit(False)
     for t in templates():
         ok = F.lit(True)

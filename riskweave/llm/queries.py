@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import chat, decontaminate, hashing_index, html_main, language, licenses, line_dedup, minhash, packing, sharding, sql
+from riskweave.llm.tables import literal_rows
 from riskweave.session import tune
 
 SHARDS = 40
@@ -42,7 +43,8 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and conversation -7, read back from their formatted text."""
     rows = _table(spark, folder, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     says = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    extra = literal_rows(spark, ["conv_id", "turn", "role", "text"], [(-7, 0, "user", says), (-7, 1, "assistant", says)])
+    extra = extra.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     records = rows.unionByName(extra).select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
     formatted = chat.format_turns(chat.canonical_turns(records, "conv_id", "turn", "record"))
     read = formatted.select(
