@@ -65,11 +65,14 @@ def sampled_attribution(
         F.array_sort(F.transform(every, lambda j: F.struct(F.xxhash64(F.lit(seed), F.col("id"), F.col("b"), j), j.alias("j")))),
         lambda s: s["j"],
     )
-    steps = pairs.withColumn("order", order).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(width))))
-    mixed = F.transform(
-        "x", lambda v, i: F.when(F.array_position("order", i) <= F.col("step"), v).otherwise(F.get(F.col("z"), i))
+    # Each feature's step, once per pair: the order turned round.
+    turned = F.transform(
+        F.array_sort(F.transform("order", lambda j, i: F.struct(j.alias("j"), (i + 1).alias("at")))), lambda s: s["at"]
     )
-    scored = detector.transform(steps.withColumn("features", array_to_vector(mixed)).drop("x", "z"))
+    ordered = pairs.withColumn("order", order).withColumn("place", turned)
+    steps = ordered.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(width))))
+    mixed = F.transform("x", lambda v, i: F.when(F.get(F.col("place"), i) <= F.col("step"), v).otherwise(F.get(F.col("z"), i)))
+    scored = detector.transform(steps.withColumn("features", array_to_vector(mixed)).drop("x", "z", "place"))
     value = F.get(F.col("proba"), F.lit(k))
     # The score after a step counts for that step's feature and against the next one's.
     gains = F.array(
@@ -77,7 +80,7 @@ def sampled_attribution(
         F.struct(F.get(F.col("order"), F.col("step")).alias("j"), (-value).alias("gain")),
         F.struct(F.when(F.col("step") == 0, F.lit(-1)).alias("j"), value.alias("gain")),
     )
-    n = F.count_distinct("b")
+    n = background.count()
     parts = scored.select("id", "b", F.inline(gains)).where("j is not null")
     means = parts.groupBy("id", "j").agg((F.sum("gain") / n).alias("mean"))
     wide = means.groupBy("id").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.pystr import bind, java_regex, literal_map, py_strip, split_lines
+from riskweave.operators.audit import model_prediction
 from riskweave.operators.rules import FINDING_COLUMNS, scan
 
 # Evidence patterns, templates and explanation texts by type.
@@ -124,6 +125,12 @@ def explain(files: DataFrame, scope: str = "snippet", attributions: DataFrame |
     )
 
 
+def explanation_events(explained: DataFrame, user=None, at=None) -> DataFrame:
+    """The audit event of each explanation: what was explained, and with what confidence."""
+    rows = explained.withColumns({"prediction": F.col("vulnerability_type"), "confidence": F.col("confidence_score")})
+    return model_prediction(rows, "explainability_engine", user, at)
+
+
 def explanation_summary(explained: DataFrame, top: int = 10) -> DataFrame:
     """``metric, key, value``: count, mean confidence, evidence count, strongest features.
 

@@ -65,6 +65,22 @@ def _(spark, folder):
     return found.select(number.alias("file_id"), "rule_id", "line_number", "code_snippet")
 
 
+@query(
+    "s02b_scan_file",
+    with_findings(
+        "SELECT rule_id, line_number, code_snippet FROM found WHERE file_path = "
+        "(SELECT min(file_path) FROM found WHERE rule_id <> 'SYNTAX_ERROR')"
+    ),
+)
+def _(spark, folder):
+    """The first file that has findings, scanned on its own."""
+    found = rules.findings(corpus_table(spark, folder)).where("rule_id <> 'SYNTAX_ERROR'")
+    path = found.agg(F.min("file_path")).first()[0]
+    root = scratch_dir(spark, "one_file")
+    files.export_files(corpus_table(spark, folder).where(F.col("file_path") == path), root)
+    return files.scan_file(spark, f"{root}/{path}").select("rule_id", "line_number", "code_snippet")
+
+
 _PATHS = "'src/' || source || '/f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.PY' WHEN 2 THEN '.txt' WHEN 3 THEN '.tar.gz' ELSE '' END"
 
 

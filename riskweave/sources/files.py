@@ -35,12 +35,29 @@ def _local(path: str) -> str:
     return path[len("file://"):] if path.startswith("file://") else path.removeprefix("file:")
 
 
+def _store(path: str):
+    """File system and inner path of a remote path; Hadoop's name for the object store is known too."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme as Spark understands it: in the default file system, which may be a store."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    default = hadoop.FileSystem.get(conf)
+    return path if default.getScheme() == "file" else default.makeQualified(hadoop.Path(path)).toString()
+
+
 def _entries(folder: str):
     """(path, is_dir, size) of one folder; links to folders are not followed."""
     if _is_remote(folder):
         from pyarrow import fs
 
-        system, inner = fs.FileSystem.from_uri(folder)
+        system, inner = _store(folder)
         scheme = folder[: len(folder) - len(inner)]
         for info in system.get_file_info(fs.FileSelector(inner)):
             yield scheme + info.path, info.type == fs.FileType.Directory, info.size or 0
@@ -92,7 +109,7 @@ def _exists(path: str) -> bool:
     if _is_remote(path):
         from pyarrow import fs
 
-        system, inner = fs.FileSystem.from_uri(path)
+        system, inner = _store(path)
         return system.get_file_info(inner).type != fs.FileType.NotFound
     return os.path.exists(_local(path))
 
@@ -107,6 +124,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _listing(spark: SparkSession, root: str) -> DataFrame:
     """``path, size, problem``: files, and folders that could not be listed with the reason."""
+    root = qualified(spark, root)
     if not _exists(root):
         raise FileNotFoundError(f"directory not found: {root}")
     level = spark.createDataFrame([(root,)], "path string")
@@ -150,9 +168,7 @@ def _read_paths(batches):
 
 def _content(path: str) -> bytes:
     if _is_remote(path):
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
+        system, inner = _store(path)
         with system.open_input_file(inner) as handle:
             return handle.read()
     with open(_local(path), "rb") as handle:
@@ -215,6 +231,7 @@ def scan_file(spark: SparkSession, path: str, **options) -> DataFrame:
     """Findings of one file; a missing file raises, another suffix has no findings."""
     from riskweave.operators.rules import findings
 
+    path = qualified(spark, path)
     if not _exists(path):
         raise FileNotFoundError(f"file not found: {path}")
     one = spark.createDataFrame([(path,)], "path string").where(F.rlike("path", F.lit(r"[^/]\.py$")))
@@ -249,9 +266,7 @@ def _write_texts(batches):
         for name, text in zip(names, texts):
             data = text.encode("utf-8")
             if _is_remote(name):
-                from pyarrow import fs
-
-                system, inner = fs.FileSystem.from_uri(name)
+                system, inner = _store(name)
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(inner) as handle:
                     handle.write(data)
@@ -266,5 +281,6 @@ def _write_texts(batches):
 
 def export_files(files: DataFrame, root: str) -> int:
     """Write ``file_path, code`` rows as files below ``root``; returns how many."""
+    root = qualified(files.sparkSession, root)
     rows = files.select(F.concat(F.lit(root.rstrip("/") + "/"), "file_path").alias("path"), "code")
     return rows.mapInArrow(_write_texts, "path string, size bigint").count()

@@ -159,3 +159,19 @@ def test_other_errors_than_a_missing_split_are_raised(spark, tmp_path):
     datasets.write_dataset(synth.generate(spark, 5, 5), str(tmp_path))
     with pytest.raises(Exception):
         datasets.read_dataset(spark, str(tmp_path), "id nonsense").collect()
+
+
+def test_paths_are_qualified_by_the_default_file_system(spark, tmp_path):
+    assert files.qualified(spark, str(tmp_path)) == str(tmp_path)
+    assert files.qualified(spark, "s3a://bucket/x") == "s3a://bucket/x"
+
+
+def test_explanations_leave_audit_events(spark):
+    from riskweave.operators import evidence
+
+    table = spark.createDataFrame([("a", "a.py", "eval(x)\npassword = 'x1'")], "file_id string, file_path string, code string")
+    explained = evidence.explain(table)
+    events = evidence.explanation_events(explained, "ana").collect()
+    assert len(events) == explained.count() > 1
+    assert {e.event_type for e in events} == {"MODEL_PREDICTION"} and {e.user_id for e in events} == {"ana"}
+    assert {e.fields["Prediction"] for e in events} >= {"eval_usage", "hardcoded_password"}
