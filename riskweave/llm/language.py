@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm import textbytes
+from riskweave.llm.tables import free_name
 
 #: log2 of the number of buckets.
 BITS = 15
@@ -136,8 +136,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return pd.DataFrame([held.value.score(t) for t in texts], columns=["lang_pred", "score"])
 
-    scored = docs.select(*kept, F.col(text).alias("_scored_text")).withColumn("_scored", run("_scored_text"))
-    return scored.select(*kept, "_scored.lang_pred", "_scored.score")
+    answer = free_name(docs.columns, "_answer")
+    scored = docs.withColumn(answer, run(F.col(text)))
+    return scored.select(*kept, F.col(f"{answer}.lang_pred"), F.col(f"{answer}.score"))
 
 
 def in_training(doc_id) -> F.Column:

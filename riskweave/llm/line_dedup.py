@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.tables import small_side, text_key
+from riskweave.llm.tables import free_name, small_side, text_key
 from riskweave.llm.textbytes import mix, powers
 from riskweave.session import materialise
 
@@ -146,9 +146,10 @@ def find(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_chars:
     gone = materialise(gone, "gone")
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "exact", "near") or c in (row_id, text)]
     none = F.array().cast("array<int>")
-    given = docs.select(*kept, F.struct(F.col(row_id).cast("long").alias("d"), text_key(F.col(text)).alias("t")).alias("_at"))
-    gone = gone.select(F.struct("d", "t").alias("_gone"), "exact", "near")
-    joined = given.join(small_side(gone, 256), F.col("_at").eqNullSafe(F.col("_gone")), "left")
+    at, other = free_name(docs.columns, "_at"), free_name(docs.columns, "_gone")
+    given = docs.select(*kept, F.struct(F.col(row_id).cast("long").alias("d"), text_key(F.col(text)).alias("t")).alias(at))
+    gone = gone.select(F.struct("d", "t").alias(other), "exact", "near")
+    joined = given.join(small_side(gone, 256), F.col(at).eqNullSafe(F.col(other)), "left")
     return joined.select(
         *kept,
         F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("n_lines"),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm import textbytes
+from riskweave.llm.tables import free_name
 
 #: Words whose ids a worker remembers.
 KNOWN_WORDS = 2_000_000
@@ -170,7 +171,8 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", longest: int = 40
     new = ["start", "length", "ids", "doc_tokens"]
     taken = {*new, "bucket", "sequence_id", "offset", text.lower()}
     kept = [c for c in docs.columns if c.lower() not in taken]
-    frame = docs.select(*kept, F.col(text).alias("packed_text"))
+    given = free_name(kept, "packed_text")
+    frame = docs.select(*kept, F.col(text).alias(given))
     at_text = len(kept)
 
     def run(batches):
@@ -194,7 +196,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", longest: int = 40
                 columns = [*(rest.columns if rest is not None else []), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary()), pa.array(whole, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    schema = frame.drop("packed_text").withColumns({"start": F.lit(0).cast("long"), "length": F.lit(0).cast("long"), "ids": F.lit(b""), "doc_tokens": F.lit(0).cast("long")}).schema
+    schema = frame.drop(given).withColumns({"start": F.lit(0).cast("long"), "length": F.lit(0).cast("long"), "ids": F.lit(b""), "doc_tokens": F.lit(0).cast("long")}).schema
     pieces = frame.mapInArrow(run, schema)
     return pieces.select(
         "*",

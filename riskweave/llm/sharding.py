@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from riskweave.llm.tables import free_name
 from riskweave.session import materialise
 
 LOW = -(1 << 63)
@@ -159,8 +160,9 @@ def shard(
         return pd.DataFrame({"bin": at, "shard": shard_of[at].astype("int32"), "start": start[at]})
 
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    placed = docs.withColumn("_place", place(value(key), value(tie)))
-    in_bin = W.partitionBy("_place.bin").orderBy(value(key), value(tie), value(size))
-    return placed.withColumn("_nr", F.row_number().over(in_bin)).select(
-        *kept, F.col("_place.shard").alias("shard"), (F.col("_place.start") + F.col("_nr") - 1).alias("slot")
+    at, nr = free_name(docs.columns, "_place"), free_name(docs.columns, "_nr")
+    placed = docs.withColumn(at, place(value(key), value(tie)))
+    in_bin = W.partitionBy(f"{at}.bin").orderBy(value(key), value(tie), value(size))
+    return placed.withColumn(nr, F.row_number().over(in_bin)).select(
+        *kept, F.col(f"{at}.shard").alias("shard"), (F.col(f"{at}.start") + F.col(nr) - 1).alias("slot")
     )

@@ -383,3 +383,17 @@ def test_language_without_lessons(spark, nothing, docs):
 def test_hash_of_ids_is_little_endian(spark, vocabulary):
     row = packing.pack(spark.createDataFrame([(1, "", 0, "")], SCHEMA), vocabulary).select("ids", F.crc32("ids").alias("c")).first()
     assert bytes(row.ids) == (2).to_bytes(4, "little") and row.c == zlib.crc32(bytes(row.ids)) and hashlib.md5(row.ids).digest()
+
+
+def test_clashing_columns_pass_through(spark, vocabulary):
+    """Extra columns with names that the operators use inside, or give to results."""
+    names = ["packed_text", "_at", "_gone", "_place", "_nr", "_answer", "key_", "Score", "SLOT", "spans", "start", "n_lines"]
+    frame = spark.createDataFrame([(i, f"text number {i} " * 5, *range(len(names))) for i in range(20)], ["doc_id", "text", *names])
+    same = lambda df, gone: all(r[n] == names.index(n) for r in df.collect() for n in names if n not in gone)
+    assert same(packing.pack(frame, vocabulary), {"start"})
+    assert same(line_dedup.find(frame), {"n_lines"})
+    assert same(shards_of(frame, 3), {"SLOT"})
+    model = language.train(frame.withColumn("lang", F.lit("aa")))
+    assert same(language.predict(frame, model), {"Score"})
+    assert same(decontaminate.find(frame, spark.createDataFrame([(1, "text")], "item_id long, text string")), {"spans"})
+    assert minhash.near_duplicates(frame).count() == licenses.scan(frame).count() == 20
