@@ -107,6 +107,15 @@ def _may_match(rule: LineRule) -> Column:
     return ignore_case_contains(F.col("code"), rule.literals) & F.rlike("code", pattern)
 
 
+def _may_hold(rule: TreeRule) -> Column:
+    """A test of the whole text that every file with a matching node passes.
+
+    The parser folds other letters into ASCII names, so a text with any is let through.
+    """
+    word = rule.call_name if rule.call_name is not None else "except"
+    return F.contains(F.col("code"), F.lit(word)) | F.rlike("code", F.lit(r"[^\x00-\x7F]"))
+
+
 def _line_findings(rule: LineRule, order: int) -> Column:
     snippet = f"btrim(x.line, {sql_text(PY_SPACE)})"
     finding = _finding(
@@ -158,15 +167,17 @@ def scan(
 ) -> DataFrame:
     """Add ``findings`` (ordered by severity then line) and ``error`` to each file's row.
 
-    A file that does not parse yields only its syntax error.  When neither tree rules nor
-    syntax errors are asked for, files no rule can match are dropped before the parse.
+    A file that does not parse yields only its syntax error.  When syntax errors are not asked for, files
+    that no rule can match are dropped before the parse.
     """
     line_rules, tree_rules = tuple(line_rules), tuple(tree_rules)
     carried = [name for name in files.columns if name != "code"]
-    if not tree_rules and not syntax_errors and all(r.literals for r in line_rules):
+    if not syntax_errors and all(r.literals for r in line_rules):
         hit = F.lit(False)
         for rule in line_rules:
             hit = hit | _may_match(rule)
+        for rule in tree_rules:
+            hit = hit | _may_hold(rule)
         files = files.where(hit)
     # Columns of their own, so that the text is folded once for all rules.
     may_match = {f"_may_match_{i}": _may_match(rule) for i, rule in enumerate(line_rules) if rule.literals}

@@ -130,3 +130,13 @@ def test_scan_accepts_a_stream(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert spark.table("streamed_findings").count() == 2
+
+
+def test_files_without_a_rule_s_words_need_no_parse(spark):
+    codes = ["x = 1", "eval(y)", "try: a()\nexcept: b()", "ｅｖａｌ(z)", "def broken(:\n eval(1)", "# exec", "obj.eval(1)", "input()"]
+    table = spark.createDataFrame([(str(i), f"{i}.py", c) for i, c in enumerate(codes)], "file_id string, file_path string, code string")
+    row = lambda r: (r.file_id, r.rule_id, r.line_number)
+    whole = {row(r) for r in rules.findings(table).collect() if r.rule_id != "SYNTAX_ERROR"}
+    assert {row(r) for r in rules.findings(table, syntax_errors=False).collect()} == whole
+    assert rules.scan(table, syntax_errors=False).count() < len(codes)
+    assert ("3", "DANGEROUS_FUNC_EVAL", 1) in whole
