@@ -1,8 +1,8 @@
 """Main text of pages: site templates found by counting element subtrees per host, then removed.
 
-A first pass hashes the subtrees of every page outside its article and counts, in Spark, on how many different
-pages of a host each occurs. A second pass drops the subtrees that recur, along with elements that never hold
-main text by their tag, role or class, and writes the blocks that remain.
+A first pass hashes the subtrees of every page, inside its main elements and outside, and counts, in Spark, on how
+many different pages of a host each occurs. A second pass drops the subtrees that recur, along with elements that
+never hold main text by their tag, role or class, and writes the blocks that remain.
 """
 
 from __future__ import annotations
@@ -134,6 +134,14 @@ def _walk(root: Node):
     return reversed(out)
 
 
+def hash_of(values: list[int]) -> int:
+    """A signed 64-bit hash of hashes in their order."""
+    import xxhash
+
+    value = xxhash.xxh64(b"".join(v.to_bytes(8, "little", signed=True) for v in values)).intdigest()
+    return value - (1 << 64) if value >> 63 else value
+
+
 def subtree_hashes(root: Node) -> dict[int, int]:
     """A 64-bit hash of each subtree (tag, folded text and children), by the node's ``id``; raw elements too."""
     import xxhash
@@ -151,50 +159,60 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return out
 
 
-def has_text(node: Node) -> bool:
-    stack = [node]
+def holding_text(root: Node) -> set[int]:
+    """The ``id`` of each node with text in or below it."""
+    out: set[int] = set()
+    for node in _walk(root):
+        if any(id(c) in out if isinstance(c, Node) else c.strip() for c in node.children):
+            out.add(id(node))
+    return out
+
+
+def main_elements(root: Node, texts: set[int]) -> list[Node]:
+    """The outermost main elements in page order, or none if they hold no text."""
+    mains, stack = [], [root]
     while stack:
-        for c in stack.pop().children:
-            if isinstance(c, Node):
-                stack.append(c)
-            elif c.strip():
-                return True
-    return False
+        node = stack.pop()
+        if is_dropped(node):
+            continue
+        if is_main(node):
+            mains.append(node)
+            continue
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return mains if any(id(m) in texts for m in mains) else []
 
 
-def candidates(root: Node) -> list[Node]:
-    """Subtrees that may belong to the site: with text, neither in nor around a main element, not dropped anyway."""
+def candidates(root: Node, mains: list[Node], texts: set[int]) -> list[Node]:
+    """Subtrees that may belong to the site: with text, neither a main element nor around one, not dropped anyway."""
+    tops = set(map(id, mains))
     around: set[int] = set()
     for node in _walk(root):
-        if is_main(node) or any(isinstance(c, Node) and id(c) in around for c in node.children):
+        if id(node) in tops or any(isinstance(c, Node) and id(c) in around for c in node.children):
             around.add(id(node))
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        if is_main(node) or is_dropped(node):
+        if id(node) not in around and is_dropped(node):
             continue
-        if id(node) not in around and node.tag not in ("html", "body") and has_text(node):
+        if id(node) not in around and node.tag not in ("html", "body") and id(node) in texts:
             out.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node))
     return out
 
 
 def main_text(root: Node, removed: frozenset[int] | set[int]) -> str:
-    """Blocks of text in page order, one a line.
+    """Blocks of text in page order, one a line, without the subtrees whose hashes are ``removed``.
 
-    If the page has main elements, only what is in them counts; else all that is left.
+    If the page has main elements, only what is in them counts; else all that is left. Main elements of which
+    nothing would be left keep their text.
     """
-    hashes = subtree_hashes(root) if removed else {}
-    mains, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if is_dropped(node):
-            continue
-        if is_main(node):
-            mains.append(node)
-            continue
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    in_main = bool(mains) and any(map(has_text, mains))
+    mains = main_elements(root, holding_text(root))
+    if mains and removed and (text := _blocks(mains, removed, subtree_hashes(root))):
+        return text
+    return _blocks(mains, frozenset(), {}) if mains else _blocks([root], removed, subtree_hashes(root) if removed else {})
+
+
+def _blocks(tops: list[Node], removed: frozenset[int] | set[int], hashes: dict[int, int]) -> str:
     lines, current = [], []
 
     def close():
@@ -203,7 +221,7 @@ def main_text(root: Node, removed: frozenset[int] | set[int]) -> str:
         if line:
             lines.append(line)
 
-    for top in mains if in_main else [root]:
+    for top in tops:
         close()
         todo: list = [top]
         while todo:
@@ -212,7 +230,7 @@ def main_text(root: Node, removed: frozenset[int] | set[int]) -> str:
                 close()
             elif isinstance(item, str):
                 current.append(item)
-            elif item is not top and is_dropped(item) or hashes.get(id(item)) in removed and not in_main:
+            elif item is not top and (is_dropped(item) or hashes.get(id(item)) in removed):
                 if item.tag in BLOCKS:
                     close()
             elif item.tag == "br":
@@ -235,9 +253,9 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html", min_pages: int = 8) -> DataFrame:
     """``(page_id, url, text)``, a row for each row of ``pages``.
 
-    A subtree outside the main element is the site's if it occurs on ``min_pages`` or more pages of its host
-    whose texts differ; copies of one page count once, so a page with many copies keeps its text. Null and
-    empty pages give empty text. Pages of a null or hostless URL share the empty host. Repeated rows each get
+    A subtree, in a main element or outside, is the site's if it occurs on ``min_pages`` or more pages of its host
+    whose bodies (main elements, or else the whole page) differ; copies of one body count once, so a page with many
+    copies keeps its text. Null and empty pages give empty text. Pages of a null or hostless URL share the empty host. Repeated rows each get
     their row. Extra columns are ignored.
     """
     key = F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.coalesce(F.col(html_column), F.lit("")))
@@ -249,8 +267,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_c
             for host, k, source in zip(f["host"], f["key"], f["html"]):
                 root = parse(source or "")
                 hashes = subtree_hashes(root)
-                body = hashes[id(root)]
-                rows.extend((host, k, body, hashes[id(node)]) for node in candidates(root))
+                texts = holding_text(root)
+                mains = main_elements(root, texts)
+                body = hash_of([hashes[id(m)] for m in mains]) if mains else hashes[id(root)]
+                rows.extend((host, k, body, hashes[id(node)]) for node in candidates(root, mains, texts))
             yield pd.DataFrame(rows, columns=["host", "key", "body", "subtree"])
 
     found = given.select("host", "key", "html").mapInPandas(hashed, "host string, key long, body long, subtree long")

@@ -114,6 +114,23 @@ def test_site_templates_go_and_repeated_pages_stay(spark):
     assert html_main.extract(frame.limit(0)).collect() == []
 
 
+def texts_of(spark, pages):
+    rows = html_main.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows) == len(pages)
+    return {r.page_id: r.text for r in rows}
+
+
+def test_site_parts_inside_main_elements_go_by_counts(spark):
+    box = "<div class='x1'><p>Tell your friends</p><ul><li>one<li>two</ul></div>"
+    pages = [(i, f"http://a.org/{i}", page(f"<article><h1>title {i}</h1><p>own {i}</p>{box}<p>end {i}</p></article>")) for i in range(12)]
+    pages += [(50 + i, f"http://b.org/{i}", page(f"<div>menu {i}</div><main><p>same</p>{box}</main>")) for i in range(12)]  # one body under many menus
+    pages += [(100, "http://a.org/box", page(f"<article>{box}</article>")), (101, "http://c.org/", page(f"<article><p>own</p>{box}</article>"))]
+    got = texts_of(spark, pages)
+    assert all(got[i] == f"title {i}\nown {i}\nend {i}" for i in range(12))
+    assert all(got[50 + i] == "same\nTell your friends\none\ntwo" for i in range(12))
+    assert (got[100], got[101]) == ("Tell your friends\none\ntwo", "own\nTell your friends\none\ntwo")
+
+
 def brute_nearest(rows, k=10):
     good = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = np.array(sorted(good))
