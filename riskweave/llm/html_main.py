@@ -40,6 +40,8 @@ CLOSED_BY = {
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select", "datalist"}}
 INLINE = frozenset("a abbr b big cite code em font i kbd mark q s samp small span strike strong sub sup tt u var".split())
+#: Never taken for a part of the site on their own, only with a recurring element around them.
+LONE = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot blockquote q pre caption figcaption legend summary".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLANKS = re.compile(r"\s+")
@@ -183,7 +185,10 @@ def main_elements(root: Node, texts: set[int]) -> list[Node]:
 
 
 def candidates(root: Node, mains: list[Node], texts: set[int]) -> list[Node]:
-    """Subtrees that may belong to the site: with text, neither a main element nor around one, not dropped anyway."""
+    """Subtrees that may belong to the site: with text, neither a main element nor around one, not dropped anyway.
+
+    A lone heading, paragraph, list item, quotation, cell or inline element is none; what surrounds it may be.
+    """
     tops = set(map(id, mains))
     around: set[int] = set()
     for node in _walk(root):
@@ -194,7 +199,7 @@ def candidates(root: Node, mains: list[Node], texts: set[int]) -> list[Node]:
         node = stack.pop()
         if id(node) not in around and is_dropped(node):
             continue
-        if id(node) not in around and node.tag not in ("html", "body") and id(node) in texts:
+        if id(node) not in around and node.tag not in ("html", "body") and node.tag not in LONE and id(node) in texts:
             out.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node))
     return out
@@ -250,11 +255,11 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html", min_pages: int = 8) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html", min_pages: int = 3, share: float = 0.2) -> DataFrame:
     """``(page_id, url, text)``, a row for each row of ``pages``.
 
-    A subtree, in a main element or outside, is the site's if it occurs on ``min_pages`` or more pages of its host
-    whose bodies (main elements, or else the whole page) differ; copies of one body count once, so a page with many
+    A subtree, in a main element or outside, is the site's if it occurs on ``share`` or more, and on
+    ``min_pages`` or more, of its host's pages whose bodies (main elements, or else the whole page) differ; copies of one body count once, so a page with many
     copies keeps its text. Null and empty pages give empty text. Pages of a null or hostless URL share the empty host. Repeated rows each get
     their row. Extra columns are ignored.
     """
@@ -270,15 +275,19 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_c
                 texts = holding_text(root)
                 mains = main_elements(root, texts)
                 body = hash_of([hashes[id(m)] for m in mains]) if mains else hashes[id(root)]
-                rows.extend((host, k, body, hashes[id(node)]) for node in candidates(root, mains, texts))
-            yield pd.DataFrame(rows, columns=["host", "key", "body", "subtree"])
+                found = {hashes[id(node)] for node in candidates(root, mains, texts)}
+                rows.extend((host, k, body, subtree) for subtree in (None, *found))
+            # As objects: pandas makes floats of integers beside None.
+            yield pd.DataFrame(rows, columns=["host", "key", "body", "subtree"], dtype=object).astype({"key": "int64", "body": "int64", "subtree": "Int64"})
 
     found = given.select("host", "key", "html").mapInPandas(hashed, "host string, key long, body long, subtree long")
     found = materialise(found, "subtrees")
-    recurring = (
-        found.select("host", "subtree", "body").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
-    )
-    removed = found.select("host", "subtree", "key").distinct().join(recurring, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("removed"))
+    # The row without a subtree counts the page itself.
+    counted = found.select("host", "subtree", "body").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counted = materialise(counted, "counted")
+    sizes = counted.where("subtree is null").select("host", F.col("n").alias("pages"))
+    recurring = counted.where("subtree is not null").join(small_side(sizes, 64), "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
+    removed = found.where("subtree is not null").select("host", "subtree", "key").distinct().join(recurring, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("removed"))
     removed = materialise(removed, "removed")
 
     @F.pandas_udf("string")

@@ -131,6 +131,15 @@ def test_site_parts_inside_main_elements_go_by_counts(spark):
     assert (got[100], got[101]) == ("Tell your friends\none\ntwo", "own\nTell your friends\none\ntwo")
 
 
+def test_site_parts_are_a_share_of_the_host(spark):
+    box = "<div><h2>Summary</h2><p>our offers</p></div>"
+    pages = [(i, f"http://few.org/{i}", page(f"<div><h2>Summary</h2><p>own {i}</p></div>{box}")) for i in range(4)]
+    pages += [(100 + i, f"http://many.org/{i}", page(f"<div><h2>Summary</h2><p>own {i}</p></div>{box if i < 10 else ''}")) for i in range(60)]
+    got = texts_of(spark, pages)
+    assert all(got[i] == f"Summary\nown {i}" for i in range(4))
+    assert all(got[100 + i] == f"Summary\nown {i}" + "\nSummary\nour offers" * (i < 10) for i in range(60))
+
+
 def brute_nearest(rows, k=10):
     good = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = np.array(sorted(good))
