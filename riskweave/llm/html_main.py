@@ -26,12 +26,12 @@ BLOCKS = frozenset(
 )
 DROPPED = RAW | frozenset("head nav header footer aside form button select svg canvas object template dialog menu label audio video map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
-#: Words of a class or id that name a part which is not main text.
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|sidebar|side-bar|footer|masthead|comments?|commentlist|disqus|respond|share|sharing|social|related|recommended|widget|pagination|pager|skip-link|toolbar|login)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: Names of parts that are not main text. A class or id counts if it consists of such names alone: "ad", "cookie-notice", but not "with-sidebar".
+_PART = (
+    r"(?:ad|ads|advert\w*?|adsense|banner|sponsor\w*?|promo\w*?|cookie\w*?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|"
+    r"breadcrumbs?|sidebar|side-bar|footer|masthead|comments?|commentlist|disqus|respond|share|sharing|social|related|recommended|widget|pagination|pager|skip-link|toolbar|login)"
 )
+PARTS = re.compile(rf"(?:^|(?<=\s)){_PART}(?:[_-]{_PART})*(?=$|\s)", re.IGNORECASE)
 #: An open tag is closed by one of these that follows, up to the nearest of the second set.
 CLOSED_BY = {
     "p": BLOCKS - {"body", "html", "td", "th", "tr", "li", "dd", "dt", "caption", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption"} | {"li", "dd", "dt", "td", "th", "tr"},
@@ -171,17 +171,23 @@ def holding_text(root: Node) -> set[int]:
 
 
 def main_elements(root: Node, texts: set[int]) -> list[Node]:
-    """The outermost main elements in page order, or none if they hold no text."""
-    mains, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if is_dropped(node):
-            continue
-        if is_main(node):
-            mains.append(node)
-            continue
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    return mains if any(id(m) in texts for m in mains) else []
+    """The outermost main elements in page order, or none if they hold no text.
+
+    Those that are in dropped parts, or would be dropped themselves, count if there are no others with text.
+    """
+    for strict in (True, False):
+        mains, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            if strict and is_dropped(node):
+                continue
+            if is_main(node):
+                mains.append(node)
+                continue
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        if any(id(m) in texts for m in mains):
+            return mains
+    return []
 
 
 def candidates(root: Node, mains: list[Node], texts: set[int]) -> list[Node]:

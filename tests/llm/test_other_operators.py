@@ -120,6 +120,21 @@ def texts_of(spark, pages):
     return {r.page_id: r.text for r in rows}
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (page("<div class='layout with-sidebar'><article><p>A</p></article></div>"), "A"),
+        (page("<article class='post comments-open'><p>A</p><div class='ad-banner'>b</div><div class='cookie-notice'>c</div></article>"), "A"),
+        (page("<form><nav>n</nav><article><p>A</p><form>f</form><div class=comments><article>c</article></div></article></form>"), "A"),
+        (page("<div class=sidebar><article class=promo><p>A</p></article></div>"), "A"),
+        (page("<aside><article>teaser</article></aside><article><p>A</p></article>"), "A"),
+        (page("<form><article></article></form><p>outside</p>"), "outside"),
+    ],
+)
+def test_main_elements_in_dropped_parts(source, text):
+    assert html_main.main_text(html_main.parse(source), frozenset()) == text
+
+
 def test_site_parts_inside_main_elements_go_by_counts(spark):
     box = "<div class='x1'><p>Tell your friends</p><ul><li>one<li>two</ul></div>"
     pages = [(i, f"http://a.org/{i}", page(f"<article><h1>title {i}</h1><p>own {i}</p>{box}<p>end {i}</p></article>")) for i in range(12)]
