@@ -39,8 +39,14 @@ def _class(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def _eligible(lines: DataFrame, min_chars: int) -> DataFrame:
-    return lines.where(F.length(F.trim("line")) >= min_chars)
+def _long(line: Column, min_chars: int) -> Column:
+    return F.length(F.trim(line)) >= min_chars
+
+
+def _eligible(lines: DataFrame, min_chars: int, exact_chars: int | None) -> DataFrame:
+    """Lines that are judged: for near repeats, or for exact ones only; those without a visible character never are if ``exact_chars`` is given."""
+    long = _long(F.col("line"), min_chars)
+    return lines.where(long if exact_chars is None else long | _long(F.col("line"), exact_chars) & F.col("line").rlike(r"[^\s\p{Z}]"))
 
 
 def _quarter_keys(line: Column, size: Column) -> Column:
@@ -99,10 +105,10 @@ def _frame(blocks) -> pd.DataFrame:
     return pd.DataFrame({name: np.concatenate([b[i] for b in blocks]) for i, name in enumerate(("h1", "h2", "variant", "place", "whole"))})
 
 
-def near_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_chars: int = 30) -> DataFrame:
+def near_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_chars: int = 30, exact_chars: int | None = None) -> DataFrame:
     """``(h1, h2, first, near)`` for each distinct line: its earliest occurrence, and whether an earlier line is one edit away."""
-    lines = _eligible(_lines(docs, row_id, text), min_chars).select("d", "t", "n", *_class(F.col("line")), F.length("line").alias("size"), "line")
-    keyed = lines.select("h1", "h2", F.struct("d", "t", "n").alias("first"), _quarter_keys(F.col("line"), F.col("size")).alias("keys"))
+    lines = _eligible(_lines(docs, row_id, text), min_chars, exact_chars).select("d", "t", "n", *_class(F.col("line")), F.length("line").alias("size"), "line")
+    keyed = lines.select("h1", "h2", F.struct("d", "t", "n").alias("first"), F.when(_long(F.col("line"), min_chars), _quarter_keys(F.col("line"), F.col("size"))).alias("keys"))
     classes = materialise(keyed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("keys").alias("keys")), "lines")
     exploded = classes.select("h1", "h2", F.explode("keys").alias("k")).select("h1", "h2", "k.part", "k.size", "k.value")
     shared = exploded.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
@@ -129,15 +135,15 @@ def near_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_
     return classes.select("h1", "h2", "first").join(small_side(near, 17), ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def find(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_chars: int = 30) -> DataFrame:
+def find(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_chars: int = 30, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with ``n_lines``, ``exact`` and ``near`` (numbers, from 0, of the lines that go, and why) in order.
 
-    Lines of fewer than ``min_chars`` characters between outer blanks stay, and so do blank ones. Null texts have one
-    empty line. Rows that repeat an id and a text are one document seen twice and lose the same lines; equal ids with
+    Lines of fewer than ``min_chars`` characters between outer blanks stay, and so do blank ones; with ``exact_chars``,
+    those that have so many characters at least go as exact repeats, and are never near. Null texts have one empty line. Rows that repeat an id and a text are one document seen twice and lose the same lines; equal ids with
     other texts are documents of their own; a null id comes first. Columns of the new names are replaced.
     """
-    classes = near_lines(docs, row_id, text, min_chars)
-    occurrences = _eligible(_lines(docs, row_id, text), min_chars).select("d", "t", "n", *_class(F.col("line")))
+    classes = near_lines(docs, row_id, text, min_chars, exact_chars)
+    occurrences = _eligible(_lines(docs, row_id, text), min_chars, exact_chars).select("d", "t", "n", *_class(F.col("line")))
     judged = occurrences.join(classes, ["h1", "h2"])
     gone = judged.select("d", "t", "n", "near", (F.struct("d", "t", "n") != F.col("first")).alias("exact")).where("near or exact").distinct()
     gone = gone.groupBy("d", "t").agg(

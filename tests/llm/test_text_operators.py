@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.llm import decontaminate, language, licenses, line_dedup, minhash, packing, sharding, textbytes
+from riskweave.llm import decontaminate, language, licenses, line_dedup, minhash, packing, queries, sharding, textbytes
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, Shard int, lang string"
@@ -267,6 +267,14 @@ def test_line_dedup_equals_all_pairs(spark):
             assert d not in cleaned
 
 
+def test_line_dedup_query_judges_short_lines(spark, tmp_path):
+    texts = ["Menu\n\nx\r\n\r", "Menu\n\n\t\nMenu \nown\nx\r\n\r", "Menv\n\n\t\n\u2003\n\u2003\nown\nown", None, ""]
+    spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op7_line_dedup(spark, str(tmp_path)).collect()
+    kept = ["Menu\n\nx\r\n\r", "\n\t\nMenu \nown\n\r", "Menv\n\n\t\n\u2003\n\u2003", "", ""]
+    assert {r.doc_id: (r.n_exact, r.n_near, r.kept_md5) for r in rows} == {i: (n, 0, hashlib.md5(k.encode()).hexdigest()) for i, (n, k) in enumerate(zip([0, 2, 2, 0, 0], kept))}
+
+
 def test_line_dedup_of_nothing_null_ids_and_repeated_rows(spark, nothing):
     assert line_dedup.find(nothing).collect() == []
     line = "a line that is long enough to count as one"
