@@ -1,9 +1,9 @@
 """License scan by a positional index of rare words, in DataFrame functions only.
 
 One pass over the texts keeps, for each document, the places of licence words and the key phrases it holds;
-document frequencies of those words over all documents give their weights. Each document then looks up its
-rarest licence words in the templates' postings; word places minus template places that agree mark an
-alignment, and a template counts once its mandatory phrases are there.
+document frequencies of those words over all documents give their weights. For each
+template whose mandatory phrases it holds, a document then looks up the rarest of the template's words that it has in
+the template's postings; word places minus template places that agree mark an alignment.
 """
 
 from __future__ import annotations
@@ -109,9 +109,10 @@ def evidence(docs: DataFrame, row_id: str, text: str) -> DataFrame:
 def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", rarest: int = 6, least: float = 0.6) -> DataFrame:
     """One row for each row of ``docs``: ``(row_id, n_words, n_base, first_word, last_word, base_labels, labels, score)``.
 
-    ``rarest`` words of highest IDF are looked up in each file; a template counts when the weight of its words
+    For each template whose phrase groups all occur in a file, the file's ``rarest`` words of highest IDF among the
+    template's own are looked up; a template counts when the weight of its words
     found at one offset is at least ``least`` of the weight of those of its words that were looked up or could
-    have been, and all its phrase groups occur. ``score`` is the best such share, 0 without any. Null and empty
+    have been. ``score`` is the best such share, 0 without any. Null and empty
     texts have no words, labels or places. Repeated rows each get their row; equal ids with different texts are
     kept apart. Extra columns are ignored.
     """
@@ -125,33 +126,33 @@ def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", rarest: in
     weight = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) + 1 for w in vocabulary()}
     postings = [(t.number, t.label, w, at) for t in templates() for at, w in enumerate(t.words) if w in weight]
     posting_table = literal_rows(spark, ["template", "label", "word", "place"], postings)
-    weights = literal_rows(spark, ["word", "weight"], sorted(weight.items()))
 
     hits = table.where(F.size("phrases") > 0).select("id", "key", "phrases", F.explode("places").alias("p")).select("id", "key", "phrases", "p.word", "p.at").distinct()
-    own = hits.select("id", "key", "word").distinct().join(F.broadcast(weights), "word")
-    ranked = own.withColumn("r", F.row_number().over(W.partitionBy("id", "key").orderBy(F.desc("weight"), "word"))).where(F.col("r") <= rarest)
-    looked = ranked.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("word").alias("w"), "weight")
+    verified = F.lit(False)
+    for t in templates():
+        ok = F.lit(True)
+        for group in t.phrases:
+            ok = ok & F.arrays_overlap("phrases", F.array(*map(F.lit, group)))
+        verified = F.when(F.col("template") == t.number, ok).otherwise(verified)
+    words_of = literal_rows(spark, ["template", "word", "weight"], sorted({(t, w, weight[w]) for t, _, w, _ in postings}))
+    own = hits.select("id", "key", "phrases", "word").distinct().join(F.broadcast(words_of), "word").where(verified)
+    ranked = own.withColumn("r", F.row_number().over(W.partitionBy("id", "key", "template").orderBy(F.desc("weight"), "word"))).where(F.col("r") <= rarest)
+    looked = ranked.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("word").alias("w"), "template", "weight")
     matches = (
         hits.join(looked, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("word") == F.col("w")))
-        .join(F.broadcast(posting_table), "word")
-        .select("id", "key", "phrases", "template", (F.col("at") - F.col("place")).alias("offset"), "word", "weight")
+        .join(F.broadcast(posting_table), ["word", "template"])
+        .select("id", "key", "template", (F.col("at") - F.col("place")).alias("offset"), "word", "weight")
         .distinct()
     )
-    aligned = matches.groupBy("id", "key", "template", "offset").agg(F.sum("weight").alias("found"), F.first("phrases").alias("phrases"))
-    best = aligned.groupBy("id", "key", "template").agg(F.max("found").alias("found"), F.first("phrases").alias("phrases"))
+    aligned = matches.groupBy("id", "key", "template", "offset").agg(F.sum("weight").alias("found"))
+    best = aligned.groupBy("id", "key", "template").agg(F.max("found").alias("found"))
     # What a template could have reached: its own rarest words, as many as were looked up.
     reach = {t.number: sum(sorted((weight[w] for w in set(t.words) if w in weight), reverse=True)[:rarest]) for t in templates()}
     numbers = literal_rows(spark, ["template", "label", "reach"], [(t.number, t.label, reach[t.number]) for t in templates()])
-    verified = F.lit(False)
-    for t in templates():
-        ok = F.lit(True)
-        for group in t.phrases:
-            ok = ok & F.arrays_overlap("phrases", F.array(*map(F.lit, group)))
-        verified = F.when(F.col("template") == t.number, ok).otherwise(verified)
     share = F.least(F.col("found") / F.col("reach"), F.lit(1.0))
     found = (
         best.join(F.broadcast(numbers), "template")
-        .where(verified & (share >= least))
+        .where(share >= least)
         .groupBy(F.col("id").alias("i"), F.col("key").alias("k"))
         .agg(F.collect_set("label").alias("own_labels"), F.max(share).alias("own_score"))
     )

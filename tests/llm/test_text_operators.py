@@ -308,6 +308,14 @@ def test_licence_places_equal_brute_force(spark, docs):
     assert labels[203] == "cc-by-nc" and labels[205] == "mit" and labels[206] == "" and labels[204] == ""
 
 
+def test_licences_of_files_with_several(spark):
+    ts = licenses.templates()
+    both = [(a, b) for a in ts for b in ts if a.number < b.number] + [tuple(ts)]
+    rows = [(i, " and x. ".join(" ".join(t.words) for t in pair), 0, "") for i, pair in enumerate(both)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all({t.label for t in pair} <= set(got[i].labels.split(",")) and got[i].score > 0.999 for i, pair in enumerate(both))
+
+
 def test_licences_of_nothing(nothing):
     assert licenses.scan(nothing).collect() == []
 
