@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, decontaminate, hashing_index, html_main, language, licenses, line_dedup, minhash, packing, sharding, sql
+from riskweave.llm import chat, decontaminate, hashing_index, html_main, language, licenses, line_dedup, merkle, minhash, packing, sharding, sql
 from riskweave.llm.tables import literal_rows
 from riskweave.session import tune
 
@@ -121,6 +121,17 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", (~teaches).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as leaves of a manifest, each climbed from what a tampered copy holds."""
+    docs = _table(spark, folder, "documents")
+    fields = [merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    leaf, changed = merkle.digest(*fields, merkle.field(F.col("text"))), merkle.digest(*fields, merkle.field(lower))
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(tampered, changed).otherwise(leaf).alias("now"))
+    return merkle.proofs(*merkle.manifest(leaves, "lang", "doc_id"), "doc_id", "now")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -132,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_histogram_shards, op2_power_of_two_packing, op3_chat_format, op4_main_text, op5_multi_index_hashing, op6_decontamination,
-        op7_line_dedup, op8_license_scan, op9_near_dedup, op10_language_id, pipeline,
+        op7_line_dedup, op8_license_scan, op9_near_dedup, op10_language_id, op11_merkle_manifest, pipeline,
     )
 }
 ORACLES = sql.ORACLES
