@@ -60,13 +60,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, row_bytes: int = 0) -> DataFrame:
     """Write a result that several later jobs read, and read it back.
 
-    The written table cuts the lineage and outlives lost executors, which cached blocks do not.
+    The written table cuts the lineage and outlives lost executors, which cached blocks do not.  With
+    ``row_bytes``, about what a wide row takes, few rows share a row group, which is what a reader holds.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write
+    if row_bytes:
+        writer = writer.option("parquet.block.size", 16 << 20).option("parquet.page.size.row.check.min", max(1, (4 << 20) // row_bytes))
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
