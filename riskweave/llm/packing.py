@@ -11,7 +11,6 @@ import functools
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +67,8 @@ def units(column: pa.Array) -> textbytes.Words:
 class WordTokenizer:
     """Ids of whole texts for a vocabulary that drops blanks and folds case: ids of the words, end to end.
 
-    Blanks never reach the merges of such a vocabulary, so each word is encoded once and remembered under its
-    64-bit hash. New words are encoded many at a time.
+    Blanks never reach the merges of such a vocabulary, so each word is encoded once and remembered by its bytes.
+    New words are encoded many at a time.
     """
 
     def __init__(self, path: str):
@@ -82,7 +81,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.places: dict[bytes, int] = {}
         self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,37 +105,22 @@ class WordTokenizer:
         out[~is_plain] = np.fromiter((i for c in coded for i in c), np.uint32)
         return out, sizes
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids, sizes = self._encoded(words)
-        order = np.argsort(hashes)
-        fresh = hashes[order]
-        at = np.searchsorted(self.hashes, fresh)
-        self.hashes = np.insert(self.hashes, at, fresh)
-        self.places = np.insert(self.places, at, len(self.bounds) - 1 + order)
+    def _learn(self, words: list[bytes]) -> None:
+        ids, sizes = self._encoded([w.decode() for w in words])
+        self.places.update(zip(words, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(words))))
         self.ids = np.concatenate([self.ids, ids])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return self.places[at], self.hashes[at] == hashes
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's bounds in them (null: empty)."""
         found = units(column)
-        code, unique = pd.factorize(found.hashes())
-        if len(self.hashes) + len(unique) > KNOWN_WORDS:
+        code, distinct = found.distinct()
+        if len(self.places) + len(distinct) > KNOWN_WORDS:
             self._forget()
-        _, known = self._find(unique)
-        if not known.all():
-            example = np.empty(len(unique), np.int64)
-            example[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            new = example[~known]
-            raw = found.data.tobytes()
-            words = [raw[s:e].decode() for s, e in zip(found.starts[new].tolist(), found.ends[new].tolist())]
-            self._learn(unique[~known], words)
-        place = self._find(unique)[0][code]
+        new = [w for w in distinct if w not in self.places]
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[code]
         sizes = self.bounds[place + 1] - self.bounds[place]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, decontaminate, hashing_index, html_main, language, licenses, line_dedup, merkle, minhash, packing, sharding, sql
+from riskweave.llm import chat, decontaminate, hashing_index, hmm, html_main, language, licenses, line_dedup, merkle, minhash, packing, periodic, sharding, sql
 from riskweave.llm.tables import literal_rows
 from riskweave.session import tune
 
@@ -132,6 +132,36 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.proofs(*merkle.manifest(leaves, "lang", "doc_id"), "doc_id", "now")
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents: their runs of repeated words, the strongest run, and what stays; one tail in ten repeats by contract."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    n = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumns({"n": n, "h": h, "g": F.floor(h / 10)}).withColumn("first", F.expr("CASE WHEN n > 0 THEN g % n END"))
+    period = F.floor((F.col("n") - F.col("first")) / (F.col("g") % 8 + 3)) + 1
+    tail = F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.struct("first", period.alias("period")))
+    found = periodic.collapse(docs, source=tail)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = periodic.strongest(F.col("runs"))
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents under a hidden Markov model of six folds of seven."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return hmm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -143,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_histogram_shards, op2_power_of_two_packing, op3_chat_format, op4_main_text, op5_multi_index_hashing, op6_decontamination,
-        op7_line_dedup, op8_license_scan, op9_near_dedup, op10_language_id, op11_merkle_manifest, pipeline,
+        op7_line_dedup, op8_license_scan, op9_near_dedup, op10_language_id, op11_merkle_manifest, op12_periodic_runs, op13_hidden_markov, pipeline,
     )
 }
 ORACLES = sql.ORACLES

@@ -39,7 +39,6 @@ def _blank_table() -> np.ndarray:
 LOWER = _lower_table()
 ALNUM = _alnum_table()
 NON_BLANK = _blank_table()
-_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,18 +101,37 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word among the distinct words, and those, compared byte by byte."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64), []
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts] = 1
+        edge[self.ends] -= 1
+        body = self.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        column = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        coded = column.dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
     def hashes(self) -> np.ndarray:
+        """64 bits for each word: the sum of a mixed value for each byte at each place.
+
+        Unlike powers of a base modulo 2**64, of which Thue-Morse words collide whatever the base, places share no factor.
+        """
         out = np.empty(len(self.starts), np.uint64)
         first = 0
         while first < len(out):
             last = int(np.searchsorted(self.starts, self.starts[first] + PIECE, "left"))
             last = max(last, first + 1)
             base, top = self.starts[first], self.ends[last - 1]
-            up, down = powers(int(top - base) + 1)
-            sums = np.zeros(int(top - base) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data[base:top]] * up[: top - base], dtype=np.uint64, out=sums[1:])
             s, e = self.starts[first:last] - base, self.ends[first:last] - base
-            out[first:last] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+            # Bytes before the next word count their place on; only those of a word are summed.
+            place = np.arange(int(top - base)) - np.repeat(s, np.diff(s, append=top - base))
+            value = mix((place.astype(np.uint64) << np.uint64(8) | self.data[base:top]) * BASE + STEP)
+            sums = np.zeros(int(top - base) + 1, np.uint64)
+            np.cumsum(value, dtype=np.uint64, out=sums[1:])
+            out[first:last] = mix(sums[e] - sums[s] + (e - s).astype(np.uint64))
             first = last
         return out
 
