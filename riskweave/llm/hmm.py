@@ -6,8 +6,9 @@ the end is a class of its own), and a class emits the word by its count in the t
     P(text) = P_hmm(classes) * product of (c(word) + 1) / (c(class) + distinct(class) + 1)
 
 so every word has a probability and the table of states by classes has a fixed size, while counts are kept for every
-word. Words are counted exactly: blocks of documents list their distinct words, those are summed by a shuffle, and the
-counts return to the blocks by a join; no task or driver holds the vocabulary.
+word. Words are counted exactly: blocks of documents list their distinct words in the order of a hash, slices of that
+order meet in one task for all blocks, and the counts return to the blocks; slices are as many as the listed words ask
+for, so no task and no driver holds the vocabulary.
 
 Training runs rounds of Baum-Welch. Each task adds up the expected counts of its blocks and sends one row for each
 class it met; the rows are summed by class and the driver, which holds only the bounded table, normalises them.
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +34,14 @@ from riskweave.session import materialise
 
 #: Bytes of text in a block of documents (a longer text is a block of its own).
 BLOCK = 2 << 20
-#: log2 of the number of word classes; class 0 is the end of a text.
-BITS = 15
+#: Number of word classes; class 0 is the end of a text.
+CLASSES = 1 << 15
+#: Listed words that meet in one task.
+SLICE = 1 << 20
 CHUNK = 512
-END = ""
+#: Steps between two scalings of a product; a factor of 1e-15 a step is far from the least double.
+RESCALE = 16
+END = b""
 
 
 @dataclass
@@ -95,8 +101,9 @@ def _products(model: Model, p: Packed, e: np.ndarray, rows: np.ndarray) -> np.nd
         if not n:
             break
         m = (out[:n].reshape(-1, k) @ model.move).reshape(n, k, k)
-        m *= e[p.offset[t] + rows[:n]][:, None, :]
-        out[:n] = m / m.sum(axis=(1, 2), keepdims=True)
+        np.multiply(m, e[p.offset[t] + rows[:n]][:, None, :], out=out[:n])
+        if t % RESCALE == 0:
+            out[:n] /= (out[:n].reshape(n, k * k) @ np.ones(k * k))[:, None, None]
     return out
 
 
@@ -127,13 +134,11 @@ def _messages(model: Model, p: Packed, e: np.ndarray, backward: bool) -> tuple[n
 def _forward(model: Model, p: Packed, e: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward vectors and the scale of every step, which is the step's probability after all before it."""
     alpha, scale = np.empty_like(e), np.empty(len(e))
-    prior = before
+    prior, one = before, np.ones(len(model.start))
     for t, n in enumerate(p.active):
         at = p.step(t)
-        a = prior[:n] * e[at]
-        scale[at] = a.sum(axis=1)
-        a /= scale[at][:, None]
-        alpha[at] = a
+        a = np.multiply(prior[:n], e[at], out=alpha[at])
+        a /= np.dot(a, one, out=scale[at])[:, None]
         prior = a @ model.move
     return alpha, scale
 
@@ -164,34 +169,32 @@ class Counts:
             return
         e = model.emit[p.classes]
         before, after = _messages(model, p, e, backward=True)
-        alpha, _ = _forward(model, p, e, before)
-        seen = np.empty_like(e)  # emission times backward vector
-        share = np.empty_like(e)  # posterior of the state
+        alpha, scale = _forward(model, p, e, before)
+        after /= (alpha[p.last()] * after).sum(axis=1, keepdims=True)
+        # With the forward scales, forward times backward vector is the posterior of the state.
+        e /= scale[:, None]
+        seen = np.empty_like(e)  # scaled emission times backward vector
+        back = np.ascontiguousarray(model.move.T)
         later = 0
-        v = np.zeros((0, len(model.start)))
         for t in range(len(p.active) - 1, -1, -1):
-            at, n = p.step(t), int(p.active[t])
-            beta = after[:n].copy()
+            beta = after[: p.active[t]].copy()
             if later:
-                beta[:later] = _over(v @ model.move.T)
-            share[at] = _over(alpha[at] * beta)
-            v = e[at] * beta
-            seen[at] = v
-            later = n
-        for k in range(len(model.start)):
-            self.emit[:, k] += np.bincount(p.classes, share[:, k], minlength=len(self.emit))
-        self.start += share[p.row[p.first]].sum(axis=0)
+                np.dot(v, back, out=beta[:later])
+            v = np.multiply(e[p.step(t)], beta, out=seen[p.step(t)])
+            later = len(v)
         # Neighbouring steps inside chunks, then across cuts.
-        left = [alpha[p.offset[t] : p.offset[t] + p.active[t + 1]] for t in range(len(p.active) - 1)]
-        right = [seen[p.offset[1] :]] if len(p.active) > 1 else []
+        pairs = np.zeros_like(self.move)
+        for t in range(len(p.active) - 1):
+            pairs += alpha[p.offset[t] : p.offset[t] + p.active[t + 1]].T @ seen[p.step(t + 1)]
         inner = np.ones(len(p.row), bool)
         inner[p.first] = False
         cut = np.flatnonzero(inner)
-        left.append(alpha[p.last()[p.row[cut - 1]]])
-        right.append(seen[p.row[cut]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        weight = ((a @ model.move) * b).sum(axis=1)
-        self.move += (a / weight[:, None]).T @ b * model.move
+        pairs += alpha[p.last()[p.row[cut - 1]]].T @ seen[p.row[cut]]
+        self.move += pairs * model.move
+        share = alpha * seen / e
+        self.start += share[p.row[p.first]].sum(axis=0)
+        for k in range(len(model.start)):
+            self.emit[:, k] += np.bincount(p.classes, share[:, k], minlength=len(self.emit))
 
 
 def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
@@ -200,8 +203,18 @@ def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.n
     return Model(_over(start + 0.1), _over(move + 0.1), emit / emit.sum(axis=0))
 
 
+def _one(column: pa.Array) -> pa.Array:
+    """A list array of one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+
+
+def _hash(words: pa.Array) -> np.ndarray:
+    """32 bits for each word."""
+    return (textbytes.hashes_of(words) >> np.uint64(32)).astype(np.int64)
+
+
 def _blocks(docs: DataFrame, row_id: str, text: str, teaches: Column) -> DataFrame:
-    """One row for each block of documents: ids, folds, sizes, numbered tokens, distinct tokens and their training counts."""
+    """One row for each block of documents: ids, folds, sizes, numbered tokens, distinct words by hash and their training counts."""
     frame = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"), F.coalesce(teaches, F.lit(True)).alias("teaches"))
     id_kind = frame.schema["id"].dataType.simpleString()
 
@@ -212,53 +225,89 @@ def _blocks(docs: DataFrame, row_id: str, text: str, teaches: Column) -> DataFra
                 part = batch.slice(a, b - a)
                 found = textbytes.words(part.column(1), textbytes.NON_BLANK)
                 code, distinct = found.distinct()
+                distinct = pa.concat_arrays([distinct.cast(pa.binary()), pa.array([END], pa.binary())])
+                order = np.argsort(_hash(distinct), kind="stable")
+                place = np.empty(len(order), np.uint32)
+                place[order] = np.arange(len(order))
                 sizes = found.counts + 1
-                tokens = np.full(int(sizes.sum()), len(distinct), np.uint32)
+                tokens = np.full(int(sizes.sum()), place[-1], np.uint32)
                 word = np.ones(len(tokens), bool)
                 word[np.cumsum(sizes) - 1] = False
-                tokens[word] = code
+                tokens[word] = place[code]
                 learnt = np.repeat(part.column(2).to_numpy(zero_copy_only=False), sizes)
-                taught = np.bincount(tokens[learnt], minlength=len(distinct) + 1)
-                one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number], pa.int64()), one(part.column(0)), one(part.column(2)), one(pa.array(sizes, pa.int64())), pa.array([tokens.tobytes()], pa.binary()),
-                        one(pa.array([w.decode() for w in distinct] + [END], pa.string())), one(pa.array(taught, pa.int64())),
-                    ],
-                    names=["block", "ids", "teaches", "sizes", "tokens", "words", "taught"],
-                )
+                taught = np.bincount(tokens[learnt], minlength=len(distinct))
+                words = distinct.take(pa.array(order))
+                columns = [pa.array([number], pa.int64()), _one(part.column(0)), _one(part.column(2)), _one(pa.array(sizes, pa.int64()))]
+                columns += [pa.array([tokens.tobytes()], pa.binary()), _one(words), _one(pa.array(taught, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "teaches", "sizes", "tokens", "words", "taught"])
                 number += 1
 
-    return frame.mapInArrow(run, f"block long, ids array<{id_kind}>, teaches array<boolean>, sizes array<long>, tokens binary, words array<string>, taught array<long>")
+    return frame.mapInArrow(run, f"block long, ids array<{id_kind}>, teaches array<boolean>, sizes array<long>, tokens binary, words array<binary>, taught array<long>")
+
+
+def _classes(words: pa.Array) -> np.ndarray:
+    # The bits of the hash that don't decide the slice.
+    kind = (textbytes.hashes_of(words) % np.uint64(CLASSES - 1)).astype(np.int64) + 1
+    kind[pc.binary_length(words).to_numpy() == 0] = 0
+    return kind
+
+
+def _counted(blocks: DataFrame) -> DataFrame:
+    """``(block, part, c, classes, sums, distinct)``: training counts of the block's words in one slice of the hash.
+
+    The first row of a slice also has, for the classes met there, the sum of all its words' counts and their number.
+    """
+    listed = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = -(-listed // SLICE)
+
+    def cut(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                words, taught = batch.column("words")[row].values, batch.column("taught")[row].values
+                edges = np.searchsorted(_hash(words) * parts >> 32, np.arange(parts + 1)).astype(np.int32)
+                blocks = pa.array(np.repeat(batch.column("block")[row].as_py(), parts))
+                lists = [pa.ListArray.from_arrays(pa.array(edges), column) for column in (words, taught)]
+                yield pa.RecordBatch.from_arrays([blocks, pa.array(np.arange(parts), pa.int32()), *lists], names=["block", "part", "words", "taught"])
+
+    def count(table: pa.Table) -> pa.Table:
+        lists = table.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        words = coded.dictionary
+        c = np.bincount(code, table.column("taught").combine_chunks().flatten().to_numpy(), len(words)).astype(np.int64)
+        kind = _classes(words)
+        sums, distinct = np.bincount(kind, c, CLASSES).astype(np.int64), np.bincount(kind[c > 0], minlength=CLASSES)
+        met = np.flatnonzero(distinct)
+        sizes = lists.value_lengths().to_numpy()
+        counts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(c[code], pa.int64()))
+        first = lambda column: pa.array([column.tolist()] + [None] * (len(sizes) - 1), pa.list_(pa.int64()))
+        return pa.table([table.column("block"), table.column("part"), counts, first(met), first(sums[met]), first(distinct[met])], names=["block", "part", "c", "classes", "sums", "distinct"])
+
+    slices = blocks.select("block", "words", "taught").mapInArrow(cut, "block long, part int, words array<binary>, taught array<long>")
+    return slices.groupBy("part").applyInArrow(count, "block long, part int, c array<long>, classes array<long>, sums array<long>, distinct array<long>")
 
 
 def _sequences(blocks: DataFrame, counted: DataFrame, weight: np.ndarray, total: int) -> DataFrame:
     """Blocks with each document's known tokens, base score and score inside the classes, and all tokens' classes."""
-    spark = blocks.sparkSession
-    held = spark.sparkContext.broadcast(np.log10(weight))
+    held = blocks.sparkSession.sparkContext.broadcast(np.log10(weight))
     id_kind = blocks.schema["ids"].dataType.simpleString()
-    listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    known = listed.join(counted, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "c", "class"))).alias("known"))
-    both = blocks.select("block", "ids", "teaches", "sizes", "tokens").join(known.select("block", F.col("known.c").alias("c"), F.col("known.class").alias("class")), "block")
+    known = counted.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "c"))), lambda x: x["c"])).alias("c"))
+    both = blocks.select("block", "ids", "teaches", "sizes", "tokens", "words").join(known, "block")
 
     def run(batches):
         for batch in batches:
             for row in range(len(batch)):
                 sizes = np.asarray(batch.column("sizes")[row].values)
                 tokens = np.frombuffer(batch.column("tokens")[row].as_py(), np.uint32)
-                c, kind = (np.asarray(batch.column(name)[row].values) for name in ("c", "class"))
+                c, kind = np.asarray(batch.column("c")[row].values), _classes(batch.column("words")[row].values)
                 first = np.cumsum(sizes) - sizes
                 base = np.log10((c + 1) / total)
                 inside = np.where(kind > 0, np.log10(c + 1.0) - held.value[kind], 0.0)
                 sums = [np.add.reduceat(v[tokens], first) for v in ((c > 0).astype(np.int64), base, inside)]
-                one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(name).slice(row, 1) for name in ("ids", "teaches", "sizes")),
-                        one(pa.array(sums[0], pa.int64())), one(pa.array(sums[1])), one(pa.array(sums[2])), pa.array([kind.astype(np.uint16)[tokens].tobytes()], pa.binary()),
-                    ],
-                    names=["ids", "teaches", "sizes", "known", "base", "inside", "classes"],
-                )
+                columns = [batch.column(name).slice(row, 1) for name in ("ids", "teaches", "sizes")]
+                columns += [_one(pa.array(v)) for v in sums]
+                columns.append(pa.array([kind.astype(np.uint16)[tokens].tobytes()], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "teaches", "sizes", "known", "base", "inside", "classes"])
 
     return both.mapInArrow(run, f"ids {id_kind}, teaches array<boolean>, sizes array<long>, known array<long>, base array<double>, inside array<double>, classes binary")
 
@@ -310,17 +359,15 @@ def score(docs: DataFrame, teaches: Column, row_id: str = "doc_id", text: str =
     the hidden Markov model. Rows that repeat count and are scored each on their own; a null id is an id. Without
     training rows every class is equally likely. Other columns are ignored.
     """
-    size = 1 << BITS
     blocks = materialise(_blocks(docs, row_id, text, teaches), "blocks", BLOCK)
-    words = blocks.select(F.explode(F.arrays_zip("words", "taught")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.taught").alias("c"))
-    kind = F.when(F.col("word") == END, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("word"), F.lit(size - 1))).cast("int")
-    counted = materialise(words.withColumn("class", kind), "words")
+    counted = materialise(_counted(blocks), "counts", BLOCK)
     # At most one row for each class.
-    sums = counted.where("c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("distinct")).collect()
-    weight, prior = np.ones(size), np.ones(size)
+    lists = counted.where("classes is not null").select(F.explode(F.arrays_zip("classes", "sums", "distinct")).alias("x"))
+    sums = lists.groupBy("x.classes").agg(F.sum("x.sums").alias("c"), F.sum("x.distinct").alias("distinct")).collect()
+    weight, prior = np.ones(CLASSES), np.ones(CLASSES)
     for row in sums:
-        weight[row["class"]] += row["c"] + row["distinct"]
-        prior[row["class"]] += row["c"]
+        weight[row["classes"]] += row["c"] + row["distinct"]
+        prior[row["classes"]] += row["c"]
     taught = sum(r["c"] for r in sums)
     total = taught + sum(r["distinct"] for r in sums) + 1
     sequences = materialise(_sequences(blocks, counted, weight, total), "sequences", BLOCK)

@@ -111,10 +111,11 @@ class WordTokenizer:
         self.ids = np.concatenate([self.ids, ids])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's bounds in them (null: empty)."""
-        found = units(column)
-        code, distinct = found.distinct()
+        found = units(texts)
+        code, column = found.distinct()
+        distinct = column.to_pylist()
         if len(self.places) + len(distinct) > KNOWN_WORDS:
             self._forget()
         new = [w for w in distinct if w not in self.places]

@@ -101,10 +101,10 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+    def distinct(self) -> tuple[np.ndarray, pa.Array]:
         """The number of each word among the distinct words, and those, compared byte by byte."""
         if not len(self.starts):
-            return np.zeros(0, np.int64), []
+            return np.zeros(0, np.int64), pa.array([], pa.large_binary())
         edge = np.zeros(len(self.data) + 1, np.int8)
         edge[self.starts] = 1
         edge[self.ends] -= 1
@@ -112,7 +112,7 @@ class Words:
         offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
         column = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
         coded = column.dictionary_encode()
-        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word: the sum of a mixed value for each byte at each place.
@@ -140,6 +140,17 @@ class Words:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[word : word + n], self.ends[word : word + n]))
 
 
+def hashes_of(column: pa.Array) -> np.ndarray:
+    """The same hashes for a column of single words (bytes, none null, empty ones allowed)."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return Words(raw, offsets[:-1], offsets[1:], offsets[:1], offsets[:1]).hashes()
+
+
 def words(column: pa.Array, table: np.ndarray = ALNUM) -> Words:
     data, offsets = flat(column)
     data = LOWER[data]
