@@ -90,9 +90,7 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: how many lines go as exact and as near repeats, and what stays."""
     found = line_dedup.find(_table(spark, folder, "documents").select("doc_id", "text"), exact_chars=1)
-    gone = F.array_union("exact", "near")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
+    kept = line_dedup.left_over(F.coalesce(F.col("text"), F.lit("")), F.array_union("exact", "near"))
     return found.select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),
