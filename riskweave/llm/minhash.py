@@ -15,6 +15,9 @@ connected, and the pairs inside a group of copies are never rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,15 +26,18 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import textbytes
 from riskweave.llm.graph import components
-from riskweave.llm.tables import small_side
+from riskweave.llm.tables import free_name, small_side, text_key
 from riskweave.session import materialise
 
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-#: Pairs whose sketches agree on fewer coordinates than this far below the threshold aren't compared in full:
-#: four and a half standard deviations of the estimate.
-SLACK = 0.16
+#: Pairs whose sketches agree on fewer coordinates than this far below the threshold aren't compared in full. The
+#: chance that a pair at the threshold is one of them (binomial) is below the chance that no band finds it.
+SLACK = 0.22
+#: Bytes of text sketched at once, and pairs of members compared by one task.
+SKETCH_PIECE = 256 << 10
+TASK_PAIRS = 4_000_000
 #: Members of a bucket, and their shingles, that one group holds on either side.
 BLOCK = 2048
 BLOCK_SHINGLES = 500_000
@@ -74,13 +80,13 @@ def _signed(values: np.ndarray, kind=pa.int64()) -> pa.Array:
 
 
 def sketch_table(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
-    """``(id, n_shingles, h1, h2, bands, mark)``: the set's size, 128-bit hash, band hashes and low sketch bytes."""
+    """``(id, t, n_shingles, h1, h2, bands, mark)``: text key, the set's size, 128-bit hash, band hashes and low sketch bytes."""
 
     def run(batches):
         for batch in batches:
-            for a, b in textbytes.pieces(batch.column(1)):
+            for a, b in textbytes.pieces(batch.column(2), SKETCH_PIECE):
                 part = batch.slice(a, b - a)
-                values, bounds = textbytes.shingles(part.column(1), n)
+                values, bounds = textbytes.shingles(part.column(2), n)
                 sizes = np.diff(bounds)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(textbytes.mix(values + np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]
                 h1, h2 = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
@@ -90,18 +96,22 @@ def sketch_table(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array(sizes, pa.int64()),
                         _signed(h1),
                         _signed(h2),
                         pa.ListArray.from_arrays(offsets, _signed(bands.reshape(-1))),
                         pa.array([row.tobytes() for row in sketch.astype(np.uint8)], pa.binary()),
                     ],
-                    names=["id", "n_shingles", "h1", "h2", "bands", "mark"],
+                    names=["id", "t", "n_shingles", "h1", "h2", "bands", "mark"],
                 )
+            pa.default_memory_pool().release_unused()
+
+    return _keyed(docs, row_id, text).mapInArrow(run, "id long, t long, n_shingles long, h1 long, h2 long, bands array<long>, mark binary")
 
-    return docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, n_shingles long, h1 long, h2 long, bands array<long>, mark binary"
-    )
+
+def _keyed(docs: DataFrame, row_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(row_id).cast("long").alias("id"), text_key(F.col(text)).alias("t"), F.col(text).alias("text"))
 
 
 def _least(percent: int) -> float:
@@ -173,8 +183,8 @@ BUCKET = ["band", "value"]
 BLOCK_KEYS = [*BUCKET, "i", "j"]
 
 
-def _by_block(rows: DataFrame, function, schema: str) -> DataFrame:
-    """``function`` of each group of equal block keys, many small groups to a call from Spark."""
+def _by_block(rows: DataFrame, function, schema: str, tasks: int) -> DataFrame:
+    """``function`` of each group of equal block keys, many small groups to a call from Spark, dealt to so many tasks."""
 
     def run(frames):
         held = None
@@ -190,25 +200,28 @@ def _by_block(rows: DataFrame, function, schema: str) -> DataFrame:
         if held is not None and len(held):
             yield function(held)
 
-    return rows.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInPandas(run, schema)
+    return rows.repartition(tasks, *BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInPandas(run, schema)
 
 
-def _across(placed: DataFrame, narrow: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+def _across(placed: DataFrame, narrow: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int, n: int) -> DataFrame:
     """Links between components of ``placed`` (id, band, value, c) that share a bucket."""
-    sized = placed.join(narrow, "id")
+    sized = materialise(placed.join(narrow, "id"), "placed")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    mixed = sized.groupBy(*BUCKET).agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks.alias("blocks")).where("low <> high")
-    rows = sized.join(mixed, BUCKET).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    mixed = sized.groupBy(*BUCKET).agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks.alias("blocks"), F.count("*").alias("members")).where("low <> high")
+    mixed = materialise(mixed, "mixed")
+    # Equal counts of pairs for all tasks, whatever the bytes: a task must not grow with its bucket.
+    pairs = mixed.agg(F.sum(F.col("members").cast("double") ** 2)).first()[0] or 0
+    tasks = max(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK_PAIRS))
+    rows = sized.join(small_side(mixed.drop("low", "high", "members"), 24), BUCKET).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("id", "c", "n", "mark", "block", *BUCKET, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     schema = "id long, c long, block int, band int, value long, i int, j int"
-    hopeful = materialise(_by_block(rows, lambda g: _hopeful(g, percent), schema), "hopeful")
-    wanted = materialise(hopeful.select("id").distinct(), "wanted")
-    kept = materialise(texts.join(small_side(wanted, 8), "id", "left_semi"), "texts")
-    return _by_block(hopeful.join(kept, "id"), lambda g: _block_links(g, percent, n), "a long, b long").distinct()
+    hopeful = materialise(_by_block(rows, lambda g: _hopeful(g, percent), schema, tasks), "hopeful")
+    kept = texts(hopeful.select("id").distinct())
+    return _by_block(hopeful.join(kept, "id"), lambda g: _block_links(g, percent, n), "a long, b long", tasks).distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
     """Pairs that hold on their full shingle sets: 100 * intersection >= percent * union."""
 
     def run(batches):
@@ -231,33 +244,37 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
                 yield part.select(["a", "b"]).filter(pa.array((100 * both >= percent * union) & (union > 0)))
                 first = last
 
-    wanted = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    kept = materialise(texts.join(small_side(wanted, 16), "id", "left_semi"), "texts")
+    kept = texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     with_a = pairs.join(kept.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(kept.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``(row_id, n_shingles, component_id, kept)`` for every row; ``kept`` marks the least id of each component.
+def grouped(docs: DataFrame, row_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """``(id, t, n_shingles, component_id, first)`` for every row; ``first`` marks the rows of each component's least ``(id, t)``.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. A text of fewer than ``n`` words
-    is one shingle. Rows that repeat an id each get their row, with the component of their own text. A row with
-    a null id is in no component: its ``component_id`` is null and it is kept. Extra columns are ignored.
+    Rows are known by id and text key, so an id may stand over several texts.
     """
     table = materialise(sketch_table(docs, row_id, text, n), "sketches")
     classes = (
         table.where("id is not null and n_shingles > 0")
         .groupBy("h1", "h2", "n_shingles")
-        .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("mark").alias("mark"))
+        .agg(F.min(F.struct("id", "t")).alias("least"), F.first("bands").alias("bands"), F.first("mark").alias("mark"))
     )
-    classes = materialise(classes, "classes")
+    # Numbered as they are written; the number stands for the class from here on.
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     narrow = classes.select("id", F.col("n_shingles").alias("n"), "mark")
     buckets = classes.select("id", F.posexplode("bands").alias("band", "value"))
     leaders = buckets.groupBy("band", "value").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     buckets = materialise(buckets.join(leaders, ["band", "value"]).select("id", "band", "value", "leader"), "buckets")
 
-    texts = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    def texts(wanted: DataFrame) -> DataFrame:
+        """``(id, text)`` of classes: the text of the least row."""
+        wanted = materialise(classes.select("id", "least").join(wanted, "id", "left_semi").select(F.col("id").alias("class"), "least.id", "least.t"), "wanted")
+        found = _keyed(docs, row_id, text).join(small_side(wanted, 40), ["id", "t"])
+        # A repeated row gives its text twice.
+        return materialise(found.select(F.col("class").alias("id"), "text").dropDuplicates(["id"]), "texts")
+
     star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda k: narrow.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("mark").alias(f"mark_{k}"))
     pairs = materialise(_similar(star.join(side("a"), "a").join(side("b"), "b"), percent), "pairs")
@@ -266,15 +283,38 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     more = materialise(_across(placed, narrow, texts, percent, n), "links")
     known = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
     merged = materialise(components(known.unionByName(more)), "parts")
-    of_class = classes.join(merged, classes.id == merged.node, "left").select(
-        "h1", "h2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("class_component")
-    )
-    return _answer(table, of_class, row_id)
+    placed = classes.join(merged, classes.id == merged.node, "left").select("h1", "h2", "n_shingles", "least", F.coalesce("component", "id").alias("c"))
+    leasts = placed.groupBy("c").agg(F.min("least").alias("first"))
+    of_class = placed.select("h1", "h2", "n_shingles", "c").join(leasts, "c").drop("c")
+    out = table.select("id", "t", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")
+    # Without shingles, or without an id, a row is linked with nothing.
+    alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
+    return out.select(
+        "id", "t", "n_shingles",
+        F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        (alone | (F.struct("id", "t") == F.col("first"))).alias("first"),
+    )
 
 
-def _answer(table: DataFrame, of_class: DataFrame, row_id: str) -> DataFrame:
-    ids = F.col("id")
-    component = F.when(F.col("n_shingles") == 0, ids).otherwise(F.col("class_component"))
-    out = table.select("id", "n_shingles", "h1", "h2").join(of_class.drop("class_id"), ["h1", "h2", "n_shingles"], "left")
-    out = out.withColumn("component_id", F.when(ids.isNotNull(), component))
-    return out.select(F.col("id").alias(row_id), "n_shingles", "component_id", F.coalesce(F.col("component_id") == ids, F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``(row_id, n_shingles, component_id, kept)`` for every row; ``kept`` marks the least id of each component.
+
+    Null, empty and blank texts have no shingles and are linked with nothing. A text of fewer than ``n`` words
+    is one shingle. Rows that repeat an id each get their row, with the component of their own text. A row with
+    a null id is in no component: its ``component_id`` is null and it is kept. Ids are whole numbers. Extra columns
+    are ignored.
+    """
+    out = grouped(docs, row_id, text, n, percent)
+    return out.select(F.col("id").alias(row_id), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns as they are, without the rows whose component has a row of smaller ``(id, text key)``.
+
+    A row given twice is one document: both stay or both go.
+    """
+    gone = grouped(docs, row_id, text, n, percent).where("not first").select(F.struct("id", "t").alias("row")).distinct()
+    gone = small_side(materialise(gone, "copies"), 24)
+    other = free_name(docs.columns, "_row")
+    key = F.struct(F.col(row_id).cast("long").alias("id"), text_key(F.col(text)).alias("t"))
+    return docs.join(gone.withColumnRenamed("row", other), key == F.col(other), "left_anti")
