@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURN = "struct<position:bigint,role:string,text:string>"
 #: Layouts that hold a list of messages: list field, role field, text field.
@@ -110,13 +111,50 @@ def turns_of(record: Column, layout: Column) -> Column:
         out = F.when(layout == name, F.transform(record[field], message(role, text))).otherwise(out)
     for name, spec in FIELDS.items():
         if name == "turn_row":
-            turns = F.array(F.struct(F.lit(0).cast("long").alias("position"), _role(record["role"]).alias("role"), _text(record["text"]).alias("text")))
+            # One turn of a table of turns: its role is a value of that table, kept as it is.
+            turns = F.array(F.struct(F.lit(0).cast("long").alias("position"), _text(record["role"]).alias("role"), _text(record["text"]).alias("text")))
         else:
             turns = F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.lit(r).alias("role"), _text(record[f]).alias("text")) for i, (r, f) in enumerate(spec)])
         out = F.when(layout == name, turns).otherwise(out)
     return out
 
 
+def _unfolded(parsed: DataFrame) -> DataFrame:
+    """Turns of ``(_c, _p, layout, _r)``."""
+    turns = parsed.select("_c", "_p", "layout", F.explode_outer(turns_of(F.col("_r"), F.col("layout"))).alias("t"))
+    return turns.select(
+        F.col("_c").alias("conversation"), F.col("_p").alias("record"), F.col("t.position").alias("position"), F.col("t.role").alias("role"), F.col("t.text").alias("text"), "layout"
+    )
+
+
+def _message_of(known: list[str]):
+    return lambda m: F.struct(*[(m[n] if n in known else F.lit(None)).cast("string").alias(n) for n in NESTED])
+
+
+def turns_of_columns(rows: DataFrame, conversation: str, position: str | None) -> DataFrame:
+    """The same for a table whose columns are the fields: its column names are the paths of the fingerprint.
+
+    Texts stay columns, so their length has no bound but a row's. ``messages`` columns hold arrays of structs.
+    """
+    base = F.col(position).cast("long") if position else F.lit(None).cast("long")
+    kinds = T._parse_datatype_string(RECORD)
+    paths, fields = [], []
+    for field in kinds:
+        if field.name not in rows.columns:
+            fields.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
+        given = rows.schema[field.name].dataType
+        paths.append(field.name)
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.ArrayType) and isinstance(given, T.ArrayType) and isinstance(given.elementType, T.StructType):
+            inner = [n for n in given.elementType.names if n in NESTED]
+            paths += [f"{field.name}[].{n}" for n in inner]
+            value = F.transform(value, _message_of(inner))
+        fields.append(value.cast(field.dataType).alias(field.name))
+    print_ = _hash(F.array(*map(F.lit, paths))) if paths else F.lit(None).cast("long")
+    return _unfolded(rows.select(F.col(conversation).alias("_c"), base.alias("_p"), layout_of(print_).alias("layout"), F.struct(*fields).alias("_r")))
+
+
 def canonical_turns(records: DataFrame, conversation: str, position: str | None, record: str) -> DataFrame:
     """``(conversation, position, role, text, layout)``, a row for each turn of each JSON record.
 
@@ -127,10 +165,7 @@ def canonical_turns(records: DataFrame, conversation: str, position: str | None,
     parsed = records.select(
         F.col(conversation).alias("_c"), base.alias("_p"), layout_of(fingerprint(F.col(record))).alias("layout"), F.from_json(F.col(record), RECORD).alias("_r")
     )
-    turns = parsed.select("_c", "_p", "layout", F.explode_outer(turns_of(F.col("_r"), F.col("layout"))).alias("t"))
-    return turns.select(
-        F.col("_c").alias("conversation"), F.col("_p").alias("record"), F.col("t.position").alias("position"), F.col("t.role").alias("role"), F.col("t.text").alias("text"), "layout"
-    )
+    return _unfolded(parsed)
 
 
 def escape(text: Column) -> Column:

@@ -35,8 +35,8 @@ def windows_of(text: str | None, n: int) -> list[bytes]:
 class WindowSet:
     """Windows by length: sorted hashes for numpy, and item ids by the window's own bytes."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.owners: dict[bytes, list[str]] = {}
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
+        self.owners: dict[bytes, list[str | None]] = {}
         for item, text in items:
             for window in windows_of(text, n):
                 self.owners.setdefault(window, []).append(item)
@@ -70,7 +70,7 @@ class WindowSet:
                     row = int(owner[i])
                     first = i - int(found.bounds[row])
                     spans.setdefault(row, []).append((first, first + size))
-                    items.setdefault(row, set()).update(who)
+                    items.setdefault(row, set()).update(w for w in who if w is not None)
         for row, count in enumerate(found.counts.tolist()):
             yield count, spans.get(row, []), items.get(row, set())
 
@@ -126,10 +126,10 @@ def find(
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (word spans hit, disjoint, in order) and ``item_ids`` (strings, sorted).
 
-    Null or empty texts have no words and no spans; items without words match nothing; repeated items and
-    rows are each kept; an empty benchmark hits nothing. The three new columns replace any of those names.
+    Null or empty texts have no words and no spans; items without words match nothing; an item without an id hits but is
+    not listed; repeated items and rows are each kept; an empty benchmark hits nothing. The three new columns replace any of those names.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / group_bytes))
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "spans", "item_ids") or c == text]

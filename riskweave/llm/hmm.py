@@ -197,9 +197,9 @@ class Counts:
             self.emit[:, k] += np.bincount(p.classes, share[:, k], minlength=len(self.emit))
 
 
-def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
-    """The model of expected counts; a pinch of ``prior`` keeps every class possible in every state."""
-    emit = emit + 0.1 * len(prior) * prior[:, None] / emit.shape[1]
+def maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray, pinch: float = 1.0) -> Model:
+    """The model of expected counts; so many tokens of ``prior`` keep every class possible in every state."""
+    emit = emit + pinch * prior[:, None]
     return Model(_over(start + 0.1), _over(move + 0.1), emit / emit.sum(axis=0))
 
 
@@ -317,7 +317,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield row, np.frombuffer(batch.column("classes")[row].as_py(), np.uint16).astype(np.int64), np.asarray(batch.column("sizes")[row].values)
 
 
-def _round(sequences: DataFrame, model: Model, prior: np.ndarray) -> Model:
+def _round(sequences: DataFrame, model: Model, prior: np.ndarray, pinch: float) -> Model:
     """One round of Baum-Welch over all training texts."""
     held = sequences.sparkSession.sparkContext.broadcast(model)
     k = len(model.start)
@@ -348,7 +348,7 @@ def _round(sequences: DataFrame, model: Model, prior: np.ndarray) -> Model:
     inner = keys < -1
     move[-2 - keys[inner]] = values[inner]
     emit[keys[keys >= 0]] = values[keys >= 0]
-    return maximised(start, move, emit, prior)
+    return maximised(start, move, emit, prior, pinch)
 
 
 def score(docs: DataFrame, teaches: Column, row_id: str = "doc_id", text: str = "text", states: int = 8, rounds: int = 5) -> DataFrame:
@@ -364,17 +364,19 @@ def score(docs: DataFrame, teaches: Column, row_id: str = "doc_id", text: str =
     # At most one row for each class.
     lists = counted.where("classes is not null").select(F.explode(F.arrays_zip("classes", "sums", "distinct")).alias("x"))
     sums = lists.groupBy("x.classes").agg(F.sum("x.sums").alias("c"), F.sum("x.distinct").alias("distinct")).collect()
-    weight, prior = np.ones(CLASSES), np.ones(CLASSES)
+    # Classes that no training word met share as much as there are distinct words, each of which was new once.
+    distinct = sum(r["distinct"] for r in sums)
+    weight, prior = np.ones(CLASSES), np.full(CLASSES, (distinct + 1) / CLASSES)
     for row in sums:
         weight[row["classes"]] += row["c"] + row["distinct"]
         prior[row["classes"]] += row["c"]
     taught = sum(r["c"] for r in sums)
-    total = taught + sum(r["distinct"] for r in sums) + 1
+    total = taught + distinct + 1
     sequences = materialise(_sequences(blocks, counted, weight, total), "sequences", BLOCK)
     prior /= prior.sum()
     model = initial(states, prior)
     for _ in range(rounds if taught else 0):
-        model = _round(sequences, model, prior)
+        model = _round(sequences, model, prior, (distinct + 1) / states)
     return _scored(sequences, model, row_id, taught)
 
 

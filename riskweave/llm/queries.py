@@ -45,8 +45,7 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     extra = literal_rows(spark, ["conv_id", "turn", "role", "text"], [(-7, 0, "user", says), (-7, 1, "assistant", says)])
     extra = extra.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    records = rows.unionByName(extra).select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    formatted = chat.format_turns(chat.canonical_turns(records, "conv_id", "turn", "record"))
+    formatted = chat.format_turns(chat.turns_of_columns(rows.unionByName(extra), "conv_id", "turn"))
     read = formatted.select(
         F.col("conversation").alias("conv_id"), "formatted", chat.parse_formatted(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")
     )

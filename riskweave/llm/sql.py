@@ -22,7 +22,7 @@ DECONTAMINATION = f"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents
 ), items AS (
-  SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT item_id, {WORDS} AS w FROM benchmark
 ), windows AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
@@ -37,7 +37,7 @@ WITH docs AS (
   SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS pos FROM found) GROUP BY r
 ), who AS (
   SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found) GROUP BY r
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -222,3 +222,22 @@ def test_components_of_chains_stars_and_loops(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+
+
+def test_rows_keep_their_roles_and_very_long_texts(spark):
+    """A table of turns: roles are values of that table, and no JSON parser limits the text."""
+    rows = [(1, 0, "human", "q"), (1, 1, "assistant", "a"), (2, 0, "gpt", None), (3, 0, None, "x")]
+    frame = spark.createDataFrame(rows, "c long, turn long, role string, text string")
+    frame = frame.unionByName(spark.sql("select 4L as c, 0L as turn, 'assistant' as role, repeat('0123456789', 2100000) as text"))
+    out = chat.format_turns(chat.turns_of_columns(frame, "c", "turn"))
+    read = out.select("conversation", chat.parse_formatted(F.col("formatted")).alias("t"), F.length(chat.loss_text(F.col("formatted"), F.col("loss_spans"))).alias("n"))
+    read = read.select("conversation", F.transform("t", lambda t: F.struct(t["role"], F.length(t["text"]))).alias("t"), "n").collect()
+    got = {r.conversation: ([tuple(t) for t in r.t], r.n) for r in read}
+    assert got == {1: ([("human", 1), ("assistant", 1)], 1), 2: ([("gpt", 0)], 0), 3: ([("", 1)], 0), 4: ([("assistant", 21_000_000)], 21_000_000)}
+
+
+def test_columns_choose_layouts_by_their_names(spark):
+    rows = spark.sql("select 1 as c, array(named_struct('from', 'human', 'value', 'q'), named_struct('from', 'gpt', 'value', 'a')) as conversations, 5 as other")
+    turns = chat.turns_of_columns(rows, "c", None).collect()
+    assert [(t.position, t.role, t.text, t.layout) for t in turns] == [(0, "user", "q", "conversations"), (1, "assistant", "a", "conversations")]
+    assert [t.layout for t in chat.turns_of_columns(spark.sql("select 1 as c, 2 as other"), "c", None).collect()] == [None]

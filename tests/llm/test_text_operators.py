@@ -180,7 +180,7 @@ def brute_hits(text, items, n):
         for i in range(len(words) - size + 1):
             if tuple(words[i : i + size]) in windows:
                 hit.update(range(i, i + size))
-                who.add(str(item))
+                who |= {str(item)} - {"None"}
     return len(words), hit, sorted(who)
 
 
@@ -190,10 +190,9 @@ def test_decontamination_equals_brute_force(spark, docs, group_bytes):
     items = [(1, " ".join(texts[5].split()[2:20])), (2, texts[7].upper()), (3, None), (4, "!!"), (5, "one"), (6, " ".join(texts[9].split()[:3])), (6, "one"), (None, texts[2])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find(docs, bench, group_bytes=group_bytes)
-    usable = [(i, t) for i, t in items if i is not None]
     got = {}
     for r in found.collect():
-        n, hit, who = brute_hits(r.text, usable, 10)
+        n, hit, who = brute_hits(r.text, items, 10)
         assert r.n_words == n and list(r.item_ids) == who
         assert {p for s in r.spans for p in range(s.start, s.start + s.length)} == hit
         assert all(a.start + a.length < b.start for a, b in zip(r.spans, r.spans[1:]))
@@ -201,7 +200,7 @@ def test_decontamination_equals_brute_force(spark, docs, group_bytes):
     kept = {r.doc_id for r in decontaminate.remove(found).collect()}
     assert kept == {d for d, dirty in got.items() if not dirty}
     for r in decontaminate.cut_spans(found).collect():
-        n, hit, _ = brute_hits(texts.get(r.doc_id), usable, 10)
+        n, hit, _ = brute_hits(texts.get(r.doc_id), items, 10)
         assert len(alnum(r.text)) == n - len(hit)
 
 
@@ -413,3 +412,102 @@ def test_clashing_columns_pass_through(spark, vocabulary):
     assert same(language.predict(frame, model), {"Score"})
     assert same(decontaminate.find(frame, spark.createDataFrame([(1, "text")], "item_id long, text string")), {"spans"})
     assert minhash.near_duplicates(frame).count() == licenses.scan(frame).count() == 20
+
+
+def thue_morse(n, letters="ab"):
+    word = letters[0]
+    swap = str.maketrans(letters, letters[::-1])
+    while len(word) < n:
+        word += word.translate(swap)
+    return word
+
+
+def test_words_that_defeat_polynomial_hashes(spark, vocabulary):
+    """Two long words of equal polynomial hash modulo 2**64, whatever the base, stay two words."""
+    a, b = thue_morse(2048), thue_morse(2048, "ba")
+    assert a != b and len({*textbytes.words(pa.array([f"{a} {b}"])).hashes().tolist()}) == 2
+    coder = packing.WordTokenizer(vocabulary)
+    ids, bounds = coder.encode(pa.array([a, b]))
+    assert [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:])] == [coder.coder.encode(t, add_special_tokens=False).ids for t in (a, b)]
+    rows = minhash.near_duplicates(spark.createDataFrame([(1, a, 0, ""), (2, b, 0, "")], SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 2)}
+
+
+def brute_language(rows, teaches):
+    """Posterior of each text over counts of all n-grams in a plain dictionary of buckets."""
+
+    def grams(text):
+        low = f" {text.lower()} "
+        for order in language.ORDERS:
+            for i in range(len(low) - order + 1):
+                h = 0
+                for k in range(order):
+                    h = (h * 0x01000193 + (ord(low[i + k]) + k + 1) * 0x9E3779B1) % 2**32
+                yield ((h ^ (h >> 15)) * 0x85EBCA77 % 2**32) >> (32 - language.BITS)
+
+    counts, docs = {}, collections.Counter()
+    for d, text, _, lang in rows:
+        if teaches(d) and text and lang is not None:
+            docs[lang] += 1
+            counts.setdefault(lang, collections.Counter()).update(grams(text))
+    total = {la: sum(c.values()) + 0.1 * 2**language.BITS for la, c in counts.items()}
+    out = {}
+    for d, text, _, _ in rows:
+        if text and any(map(str.isalpha, text)):
+            bag = collections.Counter(grams(text))
+            logs = {la: np.log(docs[la] / sum(docs.values())) + sum(k * np.log((c[g] + 0.1) / total[la]) for g, k in bag.items()) for la, c in counts.items()}
+            top = max(logs.values())
+            out[d] = (max(sorted(logs), key=logs.get), 1 / sum(np.exp(v - top) for v in logs.values()))
+        else:
+            out[d] = ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 17])
+def test_language_posterior_equals_plain_counts(spark, monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
+    rng = random.Random(8)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 30)))
+    rows = [(i, make("abc ß") if i % 2 else make("abD É"), 0, "xx" if i % 2 else "yy") for i in range(120)]
+    rows += [(200, None, 0, "xx"), (201, "", 0, "yy"), (202, "12 !", 0, None), (203, "ΑΣ Σ", 0, None)]
+    texts = [t for _, t, _, _ in rows]
+    want = brute_language(rows, lambda d: d % 3 > 0)
+    buckets = [np.sort(np.concatenate([b[o == i] for b, o in language.parts_of(texts)])).tolist() for i in (0, 203 - 200 + 120)]
+    monkeypatch.setattr(language, "PIECE", 1 << 17)
+    assert buckets == [np.sort(next(language.parts_of([texts[i]]))[0]).tolist() for i in (0, 123)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = language.train(frame.where("doc_id % 3 > 0"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(frame, model).collect()}
+    assert {d: a for d, (a, _) in got.items()} == {d: a for d, (a, _) in want.items()}
+    assert all(abs(got[d][1] - want[d][1]) < 1e-9 for d in got)
+
+
+def test_long_text_has_all_its_grams():
+    text = "abcdefg hij" * 30_000
+    n = sum(len(b) for b, _ in language.parts_of([text]))
+    assert n == 3 * (len(text) + 2) - 3
+
+
+def test_queries_keep_their_contracts(spark, tmp_path):
+    """Columns, types, law, folds and checksums of the registered queries."""
+    rows = [(i, f"text number {i} of a small table, " * (1 + i % 5), "s", "en") for i in range(60)] + [(60, None, "s", None), (61, "", "s", "en"), (61, "twice é", "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = str(tmp_path)
+    one = queries.op1_histogram_shards(spark, folder)
+    assert dict(one.dtypes) == dict(doc_id="bigint", size="bigint", text_crc32="bigint", law="string", shard="int", slot="bigint", grown_shard="int")
+    one = one.collect()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in one) == sorted((d, 16 + len((t or "").encode()), crc(t)) for d, t, _, _ in rows)
+    assert {r.law for r in one} == {"bytes"} and {r.grown_shard for r in one} == {None} and all(0 <= r.shard < 40 for r in one)
+    for shard in {r.shard for r in one}:
+        assert sorted(r.slot for r in one if r.shard == shard) == list(range(sum(r.shard == shard for r in one)))
+    two = queries.op2_power_of_two_packing(spark, folder).collect()
+    assert sum(r.length for r in two) == sum({r.doc_id: r.doc_tokens for r in two if r.doc_id != 61}.values()) + sum(r.length for r in two if r.doc_id == 61)
+    assert len({(r.sequence_id, r.offset) for r in two}) == len(two)
+    ten = queries.op10_language_id(spark, folder)
+    assert dict(ten.dtypes) == dict(doc_id="bigint", held_out="boolean", lang_pred="string", score="double")
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in ten.collect())
+    nine = queries.op9_near_dedup(spark, folder).collect()
+    want, _ = brute_components([(i, t, 0, "") for i, (d, t, _, _) in enumerate(rows)], 4)
+    by_row = sorted((rows[i][0], rows[c][0]) for i, c in want.items())
+    assert sorted((r.doc_id, r.component_id) for r in nine) == by_row
