@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskweave.llm import decontaminate, language, line_dedup, minhash, packing
+from riskweave.llm.tables import free_name
 from riskweave.session import materialise, tune
 
 
@@ -12,27 +14,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled documents teach; texts without a letter and undecided ones go."""
     tune(spark)
     model = language.train(docs.where(language.in_training(docs["doc_id"])))
+    answer, share = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")
+    found = language.answered(docs, model, "text", answer, share)
     # A posterior of one half or more: one language is likelier than all others together.
-    return language.predict(docs, model).where(f"lang_pred <> '{language.UNKNOWN}' and score >= 0.5").select(*docs.columns)
+    return found.where((F.col(answer) != language.UNKNOWN) & (F.col(share) >= 0.5)).select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat or nearly repeat an earlier line; those left without text go."""
-    found = line_dedup.find(docs)
-    return _counted(line_dedup.remove(found), docs)
+    """Documents without lines that repeat or nearly repeat an earlier line; those left without text go.
+
+    Every line that is not blank is judged, those of fewer than 30 characters as exact repeats only.
+    """
+    found = line_dedup.find(_packed(docs), exact_chars=1)
+    return _unpacked(_counted(line_dedup.remove(found), docs), docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
-    groups = minhash.near_duplicates(docs)
-    gone = materialise(groups.where("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontaminate.remove(found).select(*docs.columns)
+    found = decontaminate.find(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _unpacked(decontaminate.remove(found), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +47,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents' own columns, ``n_chars`` counted anew."""
-    from pyspark.sql import functions as F
+#: The documents' other columns travel as one, out of reach of the operators' own column names.
+REST = "document_columns"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]).alias(REST))
 
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+
+def _unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"{REST}.`{c}`") for c in docs.columns])
+
+
+def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``n_chars``, if the documents have it, counted anew."""
+    if "n_chars" not in docs.columns:
+        return changed
+    return changed.withColumn(REST, F.col(REST).withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 STAGES = [
