@@ -208,6 +208,15 @@ def _one(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
 
 
+def _squeezed(numbers: np.ndarray) -> pa.Array:
+    """A binary of small numbers, coded by how often each byte stands: frequent words take few bits."""
+    return pa.array([pa.compress(numbers.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+
+
+def _loose(column: pa.Array, row: int, kind, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(column[row].as_buffer(), size * np.dtype(kind).itemsize, codec="zstd"), kind)
+
+
 def _hash(words: pa.Array) -> np.ndarray:
     """32 bits for each word."""
     return (textbytes.hashes_of(words) >> np.uint64(32)).astype(np.int64)
@@ -238,11 +247,11 @@ def _blocks(docs: DataFrame, row_id: str, text: str, teaches: Column) -> DataFra
                 taught = np.bincount(tokens[learnt], minlength=len(distinct))
                 words = distinct.take(pa.array(order))
                 columns = [pa.array([number], pa.int64()), _one(part.column(0)), _one(part.column(2)), _one(pa.array(sizes, pa.int64()))]
-                columns += [pa.array([tokens.tobytes()], pa.binary()), _one(words), _one(pa.array(taught, pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "teaches", "sizes", "tokens", "words", "taught"])
+                columns += [_squeezed(tokens), _squeezed(_classes(words).astype(np.uint16)), _one(words), _one(pa.array(taught, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "teaches", "sizes", "tokens", "kinds", "words", "taught"])
                 number += 1
 
-    return frame.mapInArrow(run, f"block long, ids array<{id_kind}>, teaches array<boolean>, sizes array<long>, tokens binary, words array<binary>, taught array<long>")
+    return frame.mapInArrow(run, f"block long, ids array<{id_kind}>, teaches array<boolean>, sizes array<long>, tokens binary, kinds binary, words array<binary>, taught array<int>")
 
 
 def _classes(words: pa.Array) -> np.ndarray:
@@ -283,7 +292,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
         first = lambda column: pa.array([column.tolist()] + [None] * (len(sizes) - 1), pa.list_(pa.int64()))
         return pa.table([table.column("block"), table.column("part"), counts, first(met), first(sums[met]), first(distinct[met])], names=["block", "part", "c", "classes", "sums", "distinct"])
 
-    slices = blocks.select("block", "words", "taught").mapInArrow(cut, "block long, part int, words array<binary>, taught array<long>")
+    slices = blocks.select("block", "words", "taught").mapInArrow(cut, "block long, part int, words array<binary>, taught array<int>")
     return slices.groupBy("part").applyInArrow(count, "block long, part int, c array<long>, classes array<long>, sums array<long>, distinct array<long>")
 
 
@@ -292,21 +301,22 @@ def _sequences(blocks: DataFrame, counted: DataFrame, weight: np.ndarray, total:
     held = blocks.sparkSession.sparkContext.broadcast(np.log10(weight))
     id_kind = blocks.schema["ids"].dataType.simpleString()
     known = counted.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "c"))), lambda x: x["c"])).alias("c"))
-    both = blocks.select("block", "ids", "teaches", "sizes", "tokens", "words").join(known, "block")
+    both = blocks.select("block", "ids", "teaches", "sizes", "tokens", "kinds").join(known, "block")
 
     def run(batches):
         for batch in batches:
             for row in range(len(batch)):
                 sizes = np.asarray(batch.column("sizes")[row].values)
-                tokens = np.frombuffer(batch.column("tokens")[row].as_py(), np.uint32)
-                c, kind = np.asarray(batch.column("c")[row].values), _classes(batch.column("words")[row].values)
+                c = np.asarray(batch.column("c")[row].values)
+                tokens = _loose(batch.column("tokens"), row, np.uint32, int(sizes.sum()))
+                kind = _loose(batch.column("kinds"), row, np.uint16, len(c)).astype(np.int64)
                 first = np.cumsum(sizes) - sizes
                 base = np.log10((c + 1) / total)
                 inside = np.where(kind > 0, np.log10(c + 1.0) - held.value[kind], 0.0)
                 sums = [np.add.reduceat(v[tokens], first) for v in ((c > 0).astype(np.int64), base, inside)]
                 columns = [batch.column(name).slice(row, 1) for name in ("ids", "teaches", "sizes")]
                 columns += [_one(pa.array(v)) for v in sums]
-                columns.append(pa.array([kind.astype(np.uint16)[tokens].tobytes()], pa.binary()))
+                columns.append(_squeezed(kind.astype(np.uint16)[tokens]))
                 yield pa.RecordBatch.from_arrays(columns, names=["ids", "teaches", "sizes", "known", "base", "inside", "classes"])
 
     return both.mapInArrow(run, f"ids {id_kind}, teaches array<boolean>, sizes array<long>, known array<long>, base array<double>, inside array<double>, classes binary")
@@ -314,7 +324,8 @@ def _sequences(blocks: DataFrame, counted: DataFrame, weight: np.ndarray, total:
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for row in range(len(batch)):
-        yield row, np.frombuffer(batch.column("classes")[row].as_py(), np.uint16).astype(np.int64), np.asarray(batch.column("sizes")[row].values)
+        sizes = np.asarray(batch.column("sizes")[row].values)
+        yield row, _loose(batch.column("classes"), row, np.uint16, int(sizes.sum())).astype(np.int64), sizes
 
 
 def _round(sequences: DataFrame, model: Model, prior: np.ndarray, pinch: float) -> Model:
@@ -336,10 +347,10 @@ def _round(sequences: DataFrame, model: Model, prior: np.ndarray, pinch: float)
             values = np.concatenate([total.start[None], total.move, total.emit[used]])
             # Negative keys: the start, then the moves out of each state.
             keys = np.concatenate([-1 - np.arange(1 + k), used])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(values[:, i]) for i in range(k))], names=["key", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(values[:, i], pa.float32()) for i in range(k))], names=["key", *names])
 
-    rows = sequences.select("teaches", "sizes", "classes").mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names))
-    # At most one row for each class and state.
+    rows = sequences.select("teaches", "sizes", "classes").mapInArrow(run, "key int, " + ", ".join(f"{n} float" for n in names))
+    # At most one row for each class and state; sums of floats are doubles.
     summed = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     keys = summed.column("key").to_numpy()
     values = np.stack([summed.column(n).to_numpy() for n in names], axis=1) if len(keys) else np.zeros((0, k))

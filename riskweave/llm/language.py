@@ -32,7 +32,8 @@ COLUMNS = 16
 
 
 def parts_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(buckets, owner)`` of all n-grams of the texts, lower-cased, with a blank at each end, some ``PIECE`` characters at a time."""
+    """``(buckets, owner)`` of all n-grams of the texts, lower-cased, with a blank at each end: some ``PIECE`` characters
+    and one order at a time, owners ascending."""
     waiting: list[tuple[int, str, int]] = []  # text number, characters, how many of them may begin an n-gram
     size = 0
     for i, text in enumerate(texts):
@@ -44,20 +45,20 @@ def parts_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
             waiting.append((i, padded[at : at + begins + max(ORDERS) - 1], begins))
             size += begins
             if size >= PIECE:
-                yield _buckets(waiting)
+                yield from _buckets(waiting)
                 waiting, size = [], 0
     if waiting:
-        yield _buckets(waiting)
+        yield from _buckets(waiting)
 
 
-def _buckets(parts: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _buckets(parts: list[tuple[int, str, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     code = np.frombuffer("".join(p for _, p, _ in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(p) for _, p, _ in parts])
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(len(code))  # characters from here to the end of the part
     may = np.repeat(np.array([b for _, _, b in parts]) - sizes, sizes) + left > 0
     owner = np.repeat(np.array([i for i, _, _ in parts]), sizes)
-    found, owners, h = [], [], np.zeros(len(code), np.uint32)
+    h = np.zeros(len(code), np.uint32)
     for order in range(1, max(ORDERS) + 1):
         if len(code) < order:
             break
@@ -65,12 +66,8 @@ def _buckets(parts: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]
         if order in ORDERS:
             whole = may[: len(h)] & (left[: len(h)] >= order)
             mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
-            found.append((mixed >> np.uint32(32 - BITS))[whole].astype(np.int64))
-            owners.append(owner[: len(h)][whole])
-    # By text, so that the sums are over neighbours.
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(found)[order], owner[order]
+            if whole.any():
+                yield (mixed >> np.uint32(32 - BITS))[whole].astype(np.int64), owner[: len(h)][whole]
 
 
 @dataclass
