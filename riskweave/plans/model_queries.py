@@ -1,16 +1,19 @@
 """Queries on models: fitted on the supplied tables.
 
-A fitted model has no SQL counterpart.  Where a call's contract is countable (rows scored, probabilities
-that sum to one, a reloaded model that agrees), the query counts it and the count is checked.
+A fitted model has no SQL counterpart, its contract has: which rows are scored, that labels are known, that
+probabilities and importances sum to one, that attributions add up.  Queries give the rows with those checks beside
+them, and SQL gives the same rows from the tables.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskweave.operators import attribution, evaluate, evidence, features, matrix, models, rules
 from riskweave.plans.flows import materialise_vectors
+from riskweave.plans.oracle import with_findings
 from riskweave.plans.registry import query
 from riskweave.session import materialise, scratch_dir, spread
 from riskweave.sources.corpus import corpus_table, table
@@ -65,6 +68,19 @@ def _beats_majority(scored):
     return labels.agg((F.sum("hits") > F.max("n")).alias("beats_majority"))
 
 
+def _share(value):
+    return value.between(0, 1)
+
+
+def _importance(table):
+    """Number of features, how many have a share of nought or more, and whether the shares sum to one."""
+    value = F.col("importance")
+    return table.agg(F.count("*").alias("n_features"), F.count_if(value >= 0).alias("n_valid"), (F.abs(F.sum(value) - 1.0) < 1e-6).alias("sums_to_one"))
+
+
+_WIDTH = "SELECT max(len(embedding))::BIGINT AS n_features, max(len(embedding))::BIGINT AS n_valid, true AS sums_to_one FROM embeddings"
+
+
 def _contract(scored, fitted):
     """Rows scored, and rows whose probabilities sum to one with a known label predicted."""
     total = F.aggregate("proba", F.lit(0.0), lambda t, p: t + p)
@@ -87,50 +103,67 @@ _kind("l01c_logistic_regression", "logistic_regression")
 _kind("l01d_neural_network", "neural_network")
 
 
-@query("l02_predict")
+@query("l02_predict", f"WITH {_TEST} SELECT id, label, true AS known FROM test")
 def _(spark, folder):
     train, test = parts(vectors(spark, folder))
-    return fit(train, "logistic_regression").predict(test).select("id", "label", "prediction")
+    return fit(train, "logistic_regression").predict(test).select("id", "label", F.col("prediction").between(0, 9).alias("known"))
 
 
-@query("l02a_predict_on_findings")
+@query("l02a_predict_on_findings", with_findings("SELECT file_id, finding_no, rule_id, true AS known, true AS confident FROM found"))
 def _(spark, folder):
     samples = matrix.labelled(corpus_table(spark, folder)).withColumnRenamed("file_id", "id")
     rows = materialise_vectors(matrix.assemble(samples, features.ALL_FEATURES).select("id", "features", "label"))
     detector = fit(rows, "random_forest", names=list(features.ALL_FEATURES))
     found = rules.findings(corpus_table(spark, folder))
-    return models.predict_findings(found, detector).select("file_id", "finding_no", "rule_id", "ml_prediction", "ml_confidence")
+    known = F.col("ml_prediction").isin(detector.classes).alias("known")
+    # The likeliest of k classes has a share of 1 / k at least.
+    confident = F.col("ml_confidence").between(1 / len(detector.classes) - 1e-9, 1).alias("confident")
+    return models.predict_findings(found, detector).select("file_id", "finding_no", "rule_id", known, confident)
 
 
-@query("l03_predict_proba")
+@query("l03_predict_proba", f"WITH {_TEST} SELECT id, k::INTEGER AS label, true AS valid, true AS sums_to_one FROM test, range(10) AS r(k)")
 def _(spark, folder):
     train, test = parts(vectors(spark, folder))
     scored = fit(train, "logistic_regression").predict_proba(test)
-    return scored.select("id", F.posexplode("proba").alias("label", "probability"))
+    whole = F.abs(F.aggregate("proba", F.lit(0.0), lambda t, p: t + p) - 1.0) < 1e-6
+    rows = scored.select("id", whole.alias("sums_to_one"), F.posexplode("proba").alias("label", "probability"))
+    return rows.select("id", "label", _share(F.col("probability")).alias("valid"), "sums_to_one")
 
 
-@query("l04_feature_importance")
+@query("l04_feature_importance", _WIDTH)
 def _(spark, folder):
     train, _ = parts(vectors(spark, folder))
-    return fit(train, "random_forest").importance_table(spark)
+    return _importance(fit(train, "random_forest").importance_table(spark))
 
 
-@query("l04b_feature_importance_permutation")
+@query("l04b_feature_importance_permutation", _WIDTH.replace(", true AS sums_to_one", ""))
 def _(spark, folder):
     train, _ = parts(vectors(spark, folder))
-    return fit(train, "neural_network").importance_table(spark)
+    # Losses of accuracy: from nought on, without a common sum.
+    return _importance(fit(train, "neural_network").importance_table(spark)).drop("sums_to_one")
+
+
+_SECTIONS = f"""WITH {_TEST}, classes AS (
+  SELECT label::VARCHAR AS class, count(*)::DOUBLE AS support FROM test GROUP BY label
+  UNION ALL SELECT c, (SELECT count(*) FROM test) FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS v(c))
+SELECT 'classification_report' AS section, class, metric, CASE WHEN metric = 'support' THEN support END AS support, true AS valid
+FROM classes, (VALUES ('precision'), ('recall'), ('f1'), ('support')) AS m(metric)
+UNION ALL SELECT 'accuracy', '', 'accuracy', NULL, true"""
 
 
-@query("l05_evaluate")
+@query("l05_evaluate", _SECTIONS)
 def _(spark, folder):
     train, test = parts(vectors(spark, folder))
-    return fit(train, "logistic_regression").evaluate(test)
+    found = fit(train, "logistic_regression").evaluate(test)
+    is_support = F.col("metric") == "support"
+    return found.select("section", "class", "metric", F.when(is_support, F.col("value")).alias("support"), (is_support | _share(F.col("value"))).alias("valid"))
 
 
-@query("l06_cross_validation")
+@query("l06_cross_validation", "SELECT f::INTEGER AS fold, true AS valid FROM range(5) AS r(f)")
 def _(spark, folder):
     rows = vectors(spark, folder)
-    return models.VulnerabilityDetector("logistic_regression").cross_validate(rows)
+    scores = models.VulnerabilityDetector("logistic_regression").cross_validate(rows)
+    return scores.select("fold", _share(F.col("accuracy")).alias("valid"))
 
 
 def _ranker(spark, folder):
@@ -139,26 +172,34 @@ def _ranker(spark, folder):
     return found, models.VulnerabilityRanker().fit(found)
 
 
-@query("l07_ranker_fit")
+_RANKED = f"SELECT {len(features.ALL_FEATURES) + 2}::BIGINT AS n_features, {len(features.ALL_FEATURES) + 2}::BIGINT AS n_valid, true AS sums_to_one"
+
+
+@query("l07_ranker_fit", _RANKED)
 def _(spark, folder):
     _, ranker = _ranker(spark, folder)
-    return ranker.detector.importance_table(spark)
+    return _importance(ranker.detector.importance_table(spark))
+
+
+# Priorities are the severities' labels, so an expected one lies between the least and the greatest of them.
+_SCORED = "SELECT file_id, finding_no, rule_id, true AS valid FROM found"
 
 
-@query("l08_rank_findings")
+@query("l08_rank_findings", with_findings(_SCORED))
 def _(spark, folder):
     found, ranker = _ranker(spark, folder)
-    return ranker.rank_vulnerabilities(found).select(
-        "file_id", "finding_no", "rule_id", "priority_score", "priority_confidence"
-    )
+    classes = ranker.detector.classes
+    valid = F.col("priority_score").between(min(classes) - 1e-9, max(classes) + 1e-9) & _share(F.col("priority_confidence"))
+    return ranker.rank_vulnerabilities(found).select("file_id", "finding_no", "rule_id", valid.alias("valid"))
 
 
-@query("l09_attach_prediction")
+@query("l09_attach_prediction", with_findings("SELECT file_id, finding_no, severity, true AS known FROM found"))
 def _(spark, folder):
     rows = code_vectors(spark, folder)
     detector = fit(rows, "logistic_regression", {"reg_param": 0.01}, list(features.ALL_FEATURES))
     found = rules.findings(corpus_table(spark, folder))
-    return models.predict_findings(found, detector).select("file_id", "finding_no", "severity", "ml_prediction")
+    known = F.col("ml_prediction").isin(detector.classes).alias("known")
+    return models.predict_findings(found, detector).select("file_id", "finding_no", "severity", known)
 
 
 @query("s13_model_save_load", f"WITH {_TEST} SELECT count(*) AS n_rows, count(*) AS n_same, true AS beats_majority FROM test")
@@ -176,23 +217,33 @@ def _(spark, folder):
     return counts.join(_beats_majority(again.predict(train)))  # one row each
 
 
-@query("e18_robustness")
+@query("e18_robustness", "SELECT e::DOUBLE AS epsilon, true AS valid, true AS drop_adds_up FROM (VALUES (0.01), (0.05), (0.1), (0.2)) AS v(e)")
 def _(spark, folder):
     train, test = parts(vectors(spark, folder))
-    return evaluate.robustness(fit(train, "logistic_regression"), test)
+    detector = fit(train, "logistic_regression")
+    found = evaluate.robustness(detector, test)
+    # The baseline is the accuracy on the rows as they are, found without the noise levels: one row.
+    clean = detector.predict(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("clean"))
+    adds_up = F.abs(F.col("clean") - F.col("accuracy") - F.col("accuracy_drop")) < 1e-9
+    return found.crossJoin(F.broadcast(clean)).select("epsilon", _share(F.col("accuracy")).alias("valid"), adds_up.alias("drop_adds_up"))
 
 
-@query("e21_top_features")
+@query("e21_top_features", "SELECT count(*) AS n_features, count(*) AS n_top FROM range(15)")
 def _(spark, folder):
     train, _ = parts(vectors(spark, folder))
-    detector = fit(train, "random_forest")
-    return evaluate.top_features(detector.importance_table(spark), 15)
+    table = fit(train, "random_forest").importance_table(spark)
+    top = evaluate.top_features(table, 15)
+    # None that is left out is greater than one that is kept.
+    least = top.agg(F.min("importance").alias("least"))
+    above = table.crossJoin(F.broadcast(least)).agg(F.count_if(F.col("importance") >= F.col("least")).alias("n_top"))
+    return top.agg(F.count("*").alias("n_features")).crossJoin(above)  # one row each
 
 
-@query("e23_ranker_summary")
+@query("e23_ranker_summary", with_findings("SELECT count(*) AS total_ranked, true AS valid FROM found"))
 def _(spark, folder):
     found, ranker = _ranker(spark, folder)
-    return evaluate.ranking_summary(ranker.rank_vulnerabilities(found))
+    summary = evaluate.ranking_summary(ranker.rank_vulnerabilities(found))
+    return summary.select("total_ranked", _share(F.col("avg_confidence")).alias("valid"))
 
 
 def _means(rows):
@@ -202,27 +253,73 @@ def _means(rows):
     return rows.select(Summarizer.mean(F.col("features"))).first()[0]
 
 
-@query("xs1_attribution_linear")
+def _adds_up(explained, raw):
+    """``id, n_top, adds_up``: features kept, and whether base value and all values make the model's own output."""
+    total = F.aggregate("shap_values", F.col("base_value"), lambda t, v: t + v)
+    rows = explained.join(raw, "id")
+    return rows.select("id", F.size("feature_importance").alias("n_top"), (F.abs(total - F.col("raw")) < 1e-9).alias("adds_up"))
+
+
+def _margin(detector, rows, k=attribution.POSITIVE_CLASS):
+    """``id, raw``: the linear margin of a class, by the model itself."""
+    model = detector.models[0].copy().setRawPredictionCol("_raw")
+    return model.transform(rows.select("id", "features")).select("id", vector_to_array("_raw")[k].alias("raw"))
+
+
+@query("xs1_attribution_linear", f"WITH {_TEST} SELECT id, 10 AS n_top, true AS adds_up FROM test")
 def _(spark, folder):
     train, test = parts(vectors(spark, folder))
     detector = fit(train, "logistic_regression")
-    explained = attribution.linear_attribution(detector, test, _means(train))
-    return explained.select("id", F.explode("feature_importance").alias("feature", "value"), "base_value", "prediction")
+    return _adds_up(attribution.linear_attribution(detector, test, _means(train)), _margin(detector, test))
 
 
-@query("xs2_attribution_batch")
+@query("xs2_attribution_batch", "SELECT doc_id AS id, 10 AS n_top, true AS adds_up FROM documents ORDER BY doc_id LIMIT 10")
 def _(spark, folder):
     rows = code_vectors(spark, folder)
     detector = fit(rows, "random_forest", names=list(features.ALL_FEATURES))
-    explained = attribution.explain_batch(detector, rows)
-    return explained.select("id", F.explode("feature_importance").alias("feature", "value"), "base_value", "prediction")
+    return _adds_up(attribution.explain_batch(detector, rows), attribution.raw_output(detector, rows))
+
 
+@query("xs3_tree_attribution", "SELECT vec_id AS id, 10 AS n_top, true AS adds_up FROM embeddings")
+def _(spark, folder):
+    """Exact attributions of a forest for every row."""
+    rows = vectors(spark, folder)
+    detector = fit(parts(rows)[0], "random_forest")
+    return _adds_up(attribution.tree_attribution(detector, rows), attribution.raw_output(detector, rows))
 
-@query("xe3b_explain_with_attribution")
+
+@query("xs3b_boosted_attribution", "SELECT doc_id AS id, 10 AS n_top, true AS adds_up FROM documents")
+def _(spark, folder):
+    """Exact attributions of boosted trees for every file, safe ones against the rest."""
+    rows = code_vectors(spark, folder).withColumn("label", (F.col("label") > 0).cast("int"))
+    detector = fit(rows, "gradient_boosting", {"n_estimators": 20, "max_depth": 4}, list(features.ALL_FEATURES))
+    return _adds_up(attribution.tree_attribution(detector, rows), attribution.raw_output(detector, rows))
+
+
+@query(
+    "xe3b_explain_with_attribution",
+    with_findings("""SELECT 'total_explanations' AS metric, '' AS key, count(*)::DOUBLE AS total, true AS valid FROM found
+  UNION ALL SELECT 'avg_confidence', '', NULL, true UNION ALL SELECT 'rule_evidence_count', '', NULL, true
+  UNION ALL SELECT 'top_features', 'feature ' || k, NULL, true FROM range(1, 11) AS r(k)"""),
+)
 def _(spark, folder):
     rows = code_vectors(spark, folder)
     names = list(features.ALL_FEATURES)
     detector = fit(rows, "logistic_regression", {"reg_param": 0.01}, names)
     values = attribution.linear_attribution(detector, rows, _means(rows)).withColumnRenamed("id", "file_id")
     explained = evidence.explain(corpus_table(spark, folder), scope="file", attributions=values)
-    return evidence.explanation_summary(explained)
+    found = evidence.explanation_summary(explained)
+    is_top, is_total = F.col("metric") == "top_features", F.col("metric") == "total_explanations"
+    # The ten strongest, by their place: which they are depends on the fit.
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "key"))
+    return found.withColumn("place", place).select(
+        "metric", F.when(is_top, F.concat(F.lit("feature "), "place")).otherwise(F.lit("")).alias("key"),
+        F.when(is_total, F.col("value")).alias("total"), (F.col("value") >= 0).alias("valid"),
+    )
+
+
+def _means(rows):
+    """Mean of each feature: one row of the vector's width."""
+    from pyspark.ml.stat import Summarizer
+
+    return rows.select(Summarizer.mean(F.col("features"))).first()[0]
