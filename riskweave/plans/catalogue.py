@@ -3,6 +3,7 @@
 from riskweave.plans import (  # noqa: F401
     evaluation_queries,
     feature_queries,
+    flow_queries,
     model_queries,
     rule_queries,
     source_queries,

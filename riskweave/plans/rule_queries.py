@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweave.operators import lines, nodes, rules, summary
+from riskweave.operators import lines, many_rules, nodes, rules, summary
 from riskweave.plans import golden
 from riskweave.plans.golden import values
-from riskweave.plans.oracle import STRIP, corpus_cte, with_corpus, with_findings
+from riskweave.plans.oracle import LINES_CTE, STRIP, corpus_cte, parses_cte, with_corpus, with_findings
 from riskweave.plans.registry import query
 from riskweave.session import materialise
 from riskweave.sources.corpus import corpus_table
@@ -195,3 +195,32 @@ def _(spark, folder):
 @query("a08_findings_per_file", with_findings("SELECT file_path, count(*) AS n_findings FROM found GROUP BY file_path"))
 def _(spark, folder):
     return summary.per_file(_found(spark, folder))
+
+
+_LETTERS = "etaonirshdlucmfw"
+
+
+def _generated(n: int = 5000) -> list[rules.LineRule]:
+    """Rules for runs of four letters, by counting; each may be followed by an s."""
+    out = []
+    for i in range(n):
+        number = i * 13 % len(_LETTERS) ** 4
+        word = "".join(_LETTERS[number // len(_LETTERS) ** k % len(_LETTERS)] for k in range(4))
+        out.append(rules.LineRule(f"run_{word}", word + "s?", ("low", "medium", "high")[i % 3], f"letters {word}", 0.5, (word,)))
+    return out
+
+
+def _generated_oracle():
+    words = [(r.literals[0], r.severity) for r in _generated()]
+    return (
+        f"WITH {corpus_cte()}, {LINES_CTE}, {parses_cte()}, {values('runs', ['word', 'severity'], words)}, "
+        "grams AS (SELECT DISTINCT file_id, line_number, lower(substr(line, i, 4)) AS word "
+        "FROM (SELECT file_id, line_number, line, unnest(range(1, length(line) - 2)) AS i FROM line_table JOIN parses USING (t, c) WHERE ok)) "
+        "SELECT file_id, line_number, 'RUN_' || upper(word) AS rule_id, severity FROM grams JOIN runs USING (word)"
+    )
+
+
+@query("r18b_many_rules", _generated_oracle)
+def _(spark, folder):
+    """Five thousand rules in one pass over every file."""
+    return many_rules.findings(corpus_table(spark, folder), _generated()).select("file_id", "line_number", "rule_id", "severity")
