@@ -210,7 +210,10 @@ def left_over(text: Column, gone: Column) -> Column:
     """The text without the lines of these numbers; a text that loses none is not taken apart."""
     lines = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(F.size(gone) == 0, text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    # Bound to a variable, so that the text is split once and not for every line.
+    bound = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))
+    joined = F.transform(bound, lambda s: F.array_join(F.transform(s["kept"], lambda i: F.get(s["lines"], i)), "\n"))
+    return F.when(F.size(gone) == 0, text).otherwise(F.get(joined, F.lit(0)))
 
 
 def remove(found: DataFrame, text: str = "text") -> DataFrame:
