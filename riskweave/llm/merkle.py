@@ -26,6 +26,8 @@ from riskweave.operators.ranks import join_null_safe
 from riskweave.session import materialise
 
 FANOUT = 8
+#: Leaves that meet one copy of a run; copies are shuffled at every level of the climb, so they should be few.
+SHARED = 512
 #: Number of the tree above the groups' trees, which are numbered from 0.
 TOP = -1
 
@@ -104,13 +106,18 @@ def _built(nodes: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
     return levels, reduce(DataFrame.unionByName, ends)
 
 
+def _salts(level: int, most: int) -> int:
+    """Copies of a run of this level: one for every ``SHARED`` leaves below it."""
+    return min(max(1, FANOUT**level // SHARED), most)
+
+
 def _links(level: int, many: bool, salts: int) -> list[Column]:
     """The run that a node of this level belongs to: in its own tree, or above it if it is the tree's last."""
     last = F.col("n") == 1
     top = F.lit(TOP) if many else F.lit(None)
     above = F.when(~last, F.col("tree")).otherwise(F.when(F.col("tree") != TOP, top))
     # A run of level k has at most FANOUT ** k leaves below it; a run of the top tree may have any number.
-    below = min(FANOUT**level, salts)
+    below = _salts(level + 1, salts)
     own_top = F.when(F.col("tree") == TOP, F.lit(salts)).otherwise(F.lit(below))
     return [
         above.cast("int").alias("up_tree"),
@@ -144,7 +151,7 @@ def manifest(leaves: DataFrame, group: str, key: str) -> tuple[DataFrame, DataFr
 
     many = n_trees > 1
     rows = [(k, levels[k - 1]) for k in range(1, len(levels) + 1)] + [(k, top_levels[k - 1]) for k in range(1, len(top_levels) + 1)]
-    runs = [r.select(F.col("tree").alias("at_tree"), F.lit(k).alias("at_level"), F.col("idx").alias("at_idx"), "children", "digest", *_links(k, many, salts), F.lit(min(FANOUT ** (k - 1), salts)).alias("own_salts")) for k, r in rows]
+    runs = [r.select(F.col("tree").alias("at_tree"), F.lit(k).alias("at_level"), F.col("idx").alias("at_idx"), "children", "digest", *_links(k, many, salts), F.lit(_salts(k, salts)).alias("own_salts")) for k, r in rows]
     empty = "at_tree int, at_level int, at_idx long, children binary, digest binary, up_tree int, up_level int, up_idx long, up_pos int, up_salts int, own_salts int"
     runs = reduce(DataFrame.unionByName, runs) if runs else spark.createDataFrame([], empty)
     runs = runs.withColumn("own_salts", F.when(F.col("at_tree") == TOP, F.lit(salts)).otherwise(F.col("own_salts")))
