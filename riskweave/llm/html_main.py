@@ -28,7 +28,7 @@ DROPPED = RAW | frozenset("head nav header footer aside form button select svg c
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 #: Names of parts that are not main text. A class or id counts if it consists of such names alone: "ad", "cookie-notice", but not "with-sidebar".
 _PART = (
-    r"(?:ad|ads|advert\w*?|adsense|banner|sponsor\w*?|promo\w*?|cookie\w*?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|"
+    r"(?:ad|ads|advert\w*+|adsense|banner|sponsor\w*+|promo\w*+|cookie\w*+|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|"
     r"breadcrumbs?|sidebar|side-bar|footer|masthead|comments?|commentlist|disqus|respond|share|sharing|social|related|recommended|widget|pagination|pager|skip-link|toolbar|login)"
 )
 PARTS = re.compile(rf"(?:^|(?<=\s)){_PART}(?:[_-]{_PART})*(?=$|\s)", re.IGNORECASE)
@@ -38,11 +38,19 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
     "option": {"option", "optgroup"}, "head": {"body"},
 }
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select", "datalist"}}
+CLOSERS = {tag: [open_ for open_, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
 INLINE = frozenset("a abbr b big cite code em font i kbd mark q s samp small span strike strong sub sup tt u var".split())
+#: Running text: its id is an anchor that readers jump to, and names no part of the page.
+PROSE = frozenset("p blockquote pre".split())
 #: Never taken for a part of the site on their own, only with a recurring element around them.
 LONE = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot blockquote q pre caption figcaption legend summary".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.DOTALL)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag up to its end, quoted parts whole; nothing else is tried where it stops.
+TAG_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
+#: Decimal references whose digits are more than the interpreter reads as one number.
+LONG_NUMBER = re.compile(r"&#([0-9]{9,});?")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLANKS = re.compile(r"\s+")
 
@@ -54,58 +62,117 @@ class Node:
     children: list = field(default_factory=list)  # nodes and strings
 
 
+def unescape(text: str) -> str:
+    """Character references decoded; a number of any length is read, one past Unicode becomes U+FFFD."""
+    if "&#" in text:
+        text = LONG_NUMBER.sub(lambda m: f"&#{digits};" if len(digits := m[1].lstrip("0") or "0") < 9 else "\ufffd", text)
+    return html.unescape(text)
+
+
+class OpenElements:
+    """The elements open at a place, and where each tag, block and limit stands among them.
+
+    With those places an end tag or an implied end is found in constant time, however deep elements nest.
+    """
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.limits: list[int] = [0]  # open elements that no implied end reaches across
+
+    def push(self, node: Node) -> None:
+        at, tag = len(self.stack), node.tag
+        self.stack.append(node)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
+        if tag not in INLINE and tag not in CLOSED_BY:
+            self.limits.append(at)
+
+    def cut(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        del self.stack[at:]
+        for places in (self.blocks, self.limits):
+            while places and places[-1] >= at:
+                places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the nearest element of its tag; one of an inline element does not reach across blocks."""
+        at = self.last(tag)
+        if at and not (tag in INLINE and self.blocks and self.blocks[-1] > at):
+            self.cut(at)
+
+    def imply_ends(self, tag: str) -> None:
+        """Close what a start tag closes, up to the nearest limit."""
+        openers = CLOSERS.get(tag, ())
+        while openers and (at := max(map(self.last, openers))) > self.limits[-1]:
+            self.cut(at)
+
+
 def parse(source: str) -> Node:
-    """A tree of elements and texts; never fails, and needs no closing tags.
+    """A tree of elements and texts in linear time; never fails, and needs no closing tags.
 
-    Elements nest in lists, not in calls, so depth has no limit.
+    Elements nest in lists, not in calls, so depth has no limit. Where a quote in a tag is open to the end of the
+    page, that tag and all later ones end at their first ``>``; a tag without any is text.
     """
     root = Node("html")
-    stack, pos, n = [root], 0, len(source)
-    while pos < n:
-        m = TOKEN.search(source, pos)
-        text = source[pos : m.start() if m else n]
-        if text:
-            stack[-1].children.append(html.unescape(text))
-        if not m:
-            break
-        pos = m.end()
-        if not m[2]:
+    opened, pos, shown, n, quotes = OpenElements(root), 0, 0, len(source), True
+    last_end = source.rfind(">")
+
+    def text_until(end: int) -> None:
+        if shown < end:
+            opened.stack[-1].children.append(unescape(source[shown:end]))
+
+    while (at := source.find("<", pos)) >= 0:
+        if source.startswith("<!--", at):
+            text_until(at)
+            m = COMMENT_END.search(source, at + 4)
+            pos = shown = m.end() if m else n
+            continue
+        name = NAME.match(source, at)
+        if not name:
+            if source.startswith(("<!", "<?", "</"), at):
+                text_until(at)
+                end = source.find(">", at)
+                pos = shown = end + 1 if end >= 0 else n
+            else:
+                pos = at + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at and not (tag in INLINE and any(x.tag in BLOCKS for x in stack[at + 1 :])):
-                del stack[at:]
+        if name.end() > last_end:
+            break
+        end = TAG_REST.match(source, name.end()).end() if quotes else n
+        if end >= n or source[end] != ">":
+            quotes, end = False, source.find(">", name.end())
+        text_until(at)
+        pos = shown = end + 1
+        tag, rest = name[2].lower(), source[name.end() : end]
+        if name[1]:
+            opened.end(tag)
             continue
-        _imply_end(stack, tag)
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
+        opened.imply_ends(tag)
+        node = Node(tag, rest)
+        opened.stack[-1].children.append(node)
+        if tag in VOID or rest.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, pos)
-            node.children.append(source[pos : end.start() if end else n])
-            pos = end.end() if end else n
+            m = RAW_END[tag].search(source, pos)
+            node.children.append(source[pos : m.start() if m else n])
+            end = source.find(">", m.end()) if m else -1
+            pos = shown = end + 1 if end >= 0 else n
             continue
-        stack.append(node)
+        opened.push(node)
+    text_until(n)
     return root
 
 
-def _imply_end(stack: list[Node], tag: str) -> None:
-    while len(stack) > 1:
-        for i in range(len(stack) - 1, 0, -1):
-            open_ = stack[i].tag
-            if tag in CLOSED_BY.get(open_, ()):
-                del stack[i:]
-                break
-            if open_ in SCOPES.get(tag, ()) or open_ not in INLINE and open_ not in CLOSED_BY:
-                return
-        else:
-            return
-
-
 def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
 def is_main(node: Node) -> bool:
@@ -123,7 +190,8 @@ def is_dropped(node: Node) -> bool:
     a = attributes(node.attributes)
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    return a.get("role", "").lower() in DROPPED_ROLES or bool(PARTS.search(a.get("class", "")) or PARTS.search(a.get("id", "")))
+    names = [a.get("class", "")] if node.tag in PROSE else [a.get("class", ""), a.get("id", "")]
+    return a.get("role", "").lower() in DROPPED_ROLES or any(map(PARTS.search, names))
 
 
 def _walk(root: Node):

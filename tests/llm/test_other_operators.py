@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -88,12 +89,39 @@ def page(body):
         (page("<article><div class='comment'>c</div><p class=address>kept</p><p class='ad'>gone</p></article>"), "kept"),
         ("", ""),
         ("<script>never closed <p>x</p>", ""),
+        ('<article><p class="x>Hello</p><p>there</p></article>', "Hello\nthere"),
+        ("<p title='a > b'>in</p> <p title=\"it's\">quotes</p>", "in\nquotes"),
+        ("a<!-->b--> c<!--->d<!-- > -->e", "ab--> cde"),
+        ("<article><p id='share'>Share price rose</p><div id='share'>Tell others</div></article>", "Share price rose"),
+        ("<p>&#" + "0" * 6000 + "65;&#" + "9" * 6000 + ";</p>", "A\ufffd"),
+        ("<p class='" + "advert_" * 40 + "!'>kept</p>", "kept"),
+        ("<script>x</script <p>y", "y"),
+        ("<b><div>one</b>two</div>", "onetwo"),
     ],
 )
 def test_main_text_of_one_page(source, text):
     assert html_main.main_text(html_main.parse(source), frozenset()) == text
 
 
+@pytest.mark.parametrize(
+    "unit", ["<a ", "<b>", "<div>", '<a "> "', "<ul><li>", "<table><tr><td>", "<b><p>", "</x>", "<!--", "<script </script ", "<x a='", "&#1", "<p a=b c>"]
+)
+def test_hostile_pages_take_linear_time(unit):
+    """Twice the page takes about twice the time: far from the fourfold of a quadratic parser."""
+
+    def seconds(n):
+        best = []
+        for _ in range(3):
+            start = time.process_time()
+            html_main.parse(unit * (n // len(unit)) + "</x>" * (n // 40))
+            best.append(time.process_time() - start)
+        return min(best)
+
+    assert seconds(400_000) < 3.2 * seconds(200_000) + 0.1
+    root = html_main.parse(unit * (100_000 // len(unit)))
+    html_main.main_text(root, {1})
+
+
 def test_site_templates_go_and_repeated_pages_stay(spark):
     pages, want = [], []
     for i in range(30):
