@@ -27,6 +27,7 @@ MODEL_TYPES = ("gradient_boosting", "random_forest", "logistic_regression", "neu
 DETECTOR_CONFIG = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "random_state": 42, "max_classes": 1000}
 RANKER_CONFIG = {"n_estimators": 50, "learning_rate": 0.05, "max_depth": 4, "random_state": 42}
 CV_FOLDS = 5
+LEARNING_FRACTIONS = (0.1, 0.325, 0.55, 0.775, 1.0)
 
 _MODELS = {
     "gradient_boosting": GBTClassificationModel,
@@ -254,6 +255,46 @@ def cross_validation_summary(scores: DataFrame) -> DataFrame:
     )
 
 
+def in_prefix(fraction: float):
+    """Whether a row of ``shuffled_rank`` is among the first ``fraction`` of its group; a larger fraction holds a smaller one's rows."""
+    return F.col("rank") <= F.ceil(F.lit(float(fraction)) * F.col("group_size"))
+
+
+def learning_curve(
+    rows: DataFrame, model_type: str = "gradient_boosting", config: dict | None = None, fractions=LEARNING_FRACTIONS,
+    folds: int = CV_FOLDS, id_col: str = "id",
+) -> DataFrame:
+    """``fraction, fold, n_train, train_accuracy, test_accuracy`` of models fitted on ever larger nested sets.
+
+    Rows stand in the order of a hash within their label.  The fold says which are held out, the place in that
+    order from which fraction on a row is learnt from.  A fraction without a row to learn from has null scores.
+    """
+    seed = {**DETECTOR_CONFIG, **(config or {})}["random_state"]
+    placed = shuffled_rank(rows.select(id_col, "features", "label"), ["label"], seed, id_col)
+    placed = placed.withColumn("fold", (F.col("rank") % folds).cast("int")).persist()
+
+    def score(task):
+        fraction, fold = task
+        held = F.col("fold") == fold
+        learn = placed.where(~held & in_prefix(fraction))
+        if learn.isEmpty():
+            return float(fraction), fold, 0, None, None
+        model = VulnerabilityDetector(model_type, config).fit(learn)
+        hit = (F.col("prediction") == F.col("label")).cast("double")
+        scored = model.transform(placed.where(held | in_prefix(fraction)))
+        got = scored.agg(F.count_if(~held), F.avg(F.when(~held, hit)), F.avg(F.when(held, hit))).first()
+        return float(fraction), fold, *got
+
+    tasks = [(fraction, fold) for fraction in fractions for fold in range(folds)]
+    try:
+        # The driver only waits, the fits share the cluster.
+        with ThreadPool(min(len(tasks), (config or {}).get("parallelism", 4))) as pool:
+            found = pool.map(inheritable_thread_target(rows.sparkSession)(score), tasks, chunksize=1)
+    finally:
+        placed.unpersist()
+    return rows.sparkSession.createDataFrame(found, "fraction double, fold int, n_train bigint, train_accuracy double, test_accuracy double")
+
+
 class VulnerabilityRanker:
     """Orders findings by expected priority: snippet features, severity and type into the detector."""
 

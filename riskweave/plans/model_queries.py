@@ -228,6 +228,18 @@ def _(spark, folder):
     return found.crossJoin(F.broadcast(clean)).select("epsilon", _share(F.col("accuracy")).alias("valid"), adds_up.alias("drop_adds_up"))
 
 
+@query(
+    "e24_learning_curve",
+    f"""WITH ranked AS (SELECT row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS place,
+  count(*) OVER (PARTITION BY label) AS size FROM embeddings)
+SELECT f AS fraction, k::INTEGER AS fold, count(*) FILTER (place <= ceil(f * size) AND place % 5 <> k) AS n_train, true AS valid
+FROM ranked, (VALUES {", ".join(f"({f}::DOUBLE)" for f in models.LEARNING_FRACTIONS)}) AS v(f), range(5) AS r(k) GROUP BY f, k""",
+)
+def _(spark, folder):
+    curve = models.learning_curve(vectors(spark, folder), "logistic_regression", {"reg_param": 0.01})
+    return curve.select("fraction", "fold", "n_train", (_share(F.col("train_accuracy")) & _share(F.col("test_accuracy"))).alias("valid"))
+
+
 @query("e21_top_features", "SELECT count(*) AS n_features, count(*) AS n_top FROM range(15)")
 def _(spark, folder):
     train, _ = parts(vectors(spark, folder))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskweave.functions import table_functions
 from riskweave.operators import lines, many_rules, nodes, rules, summary
 from riskweave.plans import golden
 from riskweave.plans.golden import values
@@ -39,6 +40,18 @@ def _(spark, folder):
     )
 
 
+@query("p02b_node_function", _node_oracle)
+def _(spark, folder):
+    """The node table by the table function, called for each file in a FROM clause."""
+    table_functions.register(spark)
+    return spark.sql(
+        """SELECT file_id, node_id, parent_id, depth, node_type, lineno, col_offset,
+             CASE WHEN node_type = 'Name' THEN name ELSE str_value END AS node_text
+           FROM {files} AS files, LATERAL parse_python(files.code)""",
+        files=corpus_table(spark, folder),
+    )
+
+
 def _error_oracle():
     rows = [
         (t, c, e.lineno, e.offset, e.msg)

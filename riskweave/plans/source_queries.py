@@ -14,7 +14,7 @@ from riskweave.plans.registry import query
 from riskweave.plans.rule_queries import FINDING
 from riskweave.plans.text_queries import AT, _audit, _audit_sql, documents
 from riskweave.session import scratch_dir
-from riskweave.sources import datasets, files
+from riskweave.sources import datasets, files, incremental
 from riskweave.sources.corpus import corpus_table, table
 
 _FINDING = FINDING.split(", ")
@@ -195,3 +195,48 @@ def _(spark, folder):
     path = scratch_dir(spark, "audit")
     datasets.append_audit(audit.analysis_start(corpus_table(spark, folder), at=AT), path)
     return _audit(spark.read.parquet(path))
+
+
+@query("s14b_audit_once", with_findings(_audit_sql("ANALYSIS_START", "'File: ' || file_path") + "corpus"))
+def _(spark, folder):
+    """Two batches, each of them sent twice."""
+    path = scratch_dir(spark, "audit")
+    events = audit.analysis_start(corpus_table(spark, folder), at=AT)
+    first = F.xxhash64("message") % 2 == 0
+    for batch, wanted in (("even", first), ("odd", ~first), ("even", first), ("odd", ~first)):
+        datasets.append_audit_once(events.where(wanted), path, batch)
+    return _audit(datasets.read_audit(spark, path))
+
+
+def _snapshots(spark, folder):
+    """The state after scans of two snapshots of a tree.
+
+    The second lacks every seventh file, has every eleventh as a new one, and every fifth begins with an empty line.
+    """
+    rows = corpus_table(spark, folder)
+    state = scratch_dir(spark, "state")
+    old = rows.where("file_id % 11 <> 0")
+    new = rows.where("file_id % 7 <> 0").withColumn("code", F.expr("if(file_id % 5 = 0, concat('\\n', code), code)"))
+    for snapshot in (old, new):
+        root = scratch_dir(spark, "snapshot")
+        files.export_files(snapshot.select("file_path", "code"), root)
+        incremental.scan_changes(spark, root, state)
+    return state
+
+
+_STATUS = """CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 11 <> 0 THEN 'removed' END
+  WHEN doc_id % 11 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'changed' END"""
+
+
+@query("s15_changed_files", f"SELECT 'src/' || source || '/f' || doc_id || '.py' AS path, {_STATUS} AS status FROM documents WHERE {_STATUS} IS NOT NULL")
+def _(spark, folder):
+    return incremental.changes(spark, _snapshots(spark, folder))
+
+
+@query(
+    "s15b_current_findings",
+    with_findings("SELECT file_path, rule_id, line_number + (file_id % 5 = 0)::INTEGER AS line_number FROM found WHERE file_id % 7 <> 0"),
+)
+def _(spark, folder):
+    """Findings of the second snapshot, most of them kept from the first scan."""
+    return incremental.current_findings(spark, _snapshots(spark, folder)).select("file_path", "rule_id", "line_number")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.session import materialise
+from riskweave.sources.commits import commit, committed, is_committed
 
 logger = logging.getLogger(__name__)
 
@@ -26,6 +28,7 @@ DOWNLOAD_COLUMNS = {
     "confidence": "Confidence",
     "code_snippet": "Code",
 }
+AUDIT_SCHEMA = "ts timestamp, level string, event_type string, fields map<string,string>, user_id string, message string, event_date date"
 # Code holds line ends, quotes and backslashes: quote by doubling, never by backslash.
 _CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
 # Leading and trailing blanks and empty strings are part of the text.
@@ -109,3 +112,29 @@ def append_audit(events: DataFrame, path: str) -> str:
     """Append events to a Parquet table kept by day."""
     events.write.mode("append").partitionBy("event_date").parquet(path)
     return path
+
+
+def append_audit_once(events: DataFrame, path: str, batch: str) -> bool:
+    """Add the events of a batch, by day, unless the table at ``path`` has that batch; tells whether it was added.
+
+    The batch's name is committed after its events.  What an attempt left that died before is overwritten, and
+    ``read_audit`` does not see it.
+    """
+    if not batch:
+        raise ValueError("a batch needs a name")
+    spark = events.sparkSession
+    if is_committed(spark, path, batch):
+        return False
+    events.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/events/batch={quote(batch, safe='')}")
+    commit(spark, path, batch)
+    return True
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Events of the committed batches with their ``batch``."""
+    schema = AUDIT_SCHEMA + ", batch string"
+    done = committed(spark, path).select(F.col("name").alias("batch")).distinct()
+    if done.isEmpty():
+        return spark.createDataFrame([], schema)
+    events = spark.read.schema(schema).parquet(f"{path}/events")
+    return events.join(done, "batch", "left_semi")

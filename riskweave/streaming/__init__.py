@@ -1,6 +1 @@
-"""No streaming operators.
-
-The work this library covers has no stream source, window, watermark or state, so none is
-invented here.  ``operators.rules.scan`` holds no shuffle and no state and therefore accepts a
-streaming DataFrame of files as it is.
-"""
+"""Streams: the scan is a map and takes a streaming DataFrame as it is; sinks that must not repeat are here."""
