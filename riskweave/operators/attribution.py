@@ -133,6 +133,8 @@ def tree_paths(detector, spark: SparkSession, class_index: int = POSITIVE_CLASS)
     The trees are the fitted model's own, which the driver holds; they are read back from its saved form.
     """
     k = min(class_index, len(detector.classes) - 1)
+    if detector.softmax:
+        return _padded([({}, float(detector.softmax.prior[k])), *(leaf for r in detector.softmax.rounds for leaf in _round_paths(r, k))])
     boosted = detector.model_type == "gradient_boosting"
     model = detector.models[k if boosted and len(detector.models) > 1 else 0]
     path = scratch_dir(spark, "trees")
@@ -147,6 +149,25 @@ def tree_paths(detector, spark: SparkSession, class_index: int = POSITIVE_CLASS)
         return node["prediction"] if boosted else stats[k] / sum(stats)
 
     leaves = [leaf for t, nodes in sorted(trees.items()) for leaf in _tree_paths(nodes, weights[t], leaf_value)]
+    return _padded(leaves)
+
+
+def _round_paths(r, k: int) -> list[tuple[dict, float]]:
+    """Leaves of class ``k``'s tree of one round of boosting under a softmax loss."""
+    out, stack = [], [(k, {})]
+    while stack:
+        node, path = stack.pop()
+        f, cut, left = r.feature[node], r.threshold[node], r.left[node]
+        if f < 0:
+            out.append((path, r.value[node]))
+            continue
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((left, (low, min(high, cut))), (left + 1, (max(low, cut), high))):
+            stack.append((child, {**path, f: (*bounds, share * r.rows[child] / r.rows[node])}))
+    return out
+
+
+def _padded(leaves: list[tuple[dict, float]]) -> Paths:
     d = max(1, max(len(path) for path, _ in leaves))
     feature, low, high = np.zeros((len(leaves), d), np.int64), np.full((len(leaves), d), -np.inf), np.full((len(leaves), d), np.inf)
     share = np.ones((len(leaves), d))
@@ -188,6 +209,8 @@ def tree_attribution(detector, rows: DataFrame, class_index: int = POSITIVE_CLAS
 def raw_output(detector, rows: DataFrame, class_index: int = POSITIVE_CLASS) -> DataFrame:
     """``id, raw``: what tree attributions add up to, by the model itself."""
     k = min(class_index, len(detector.classes) - 1)
+    if detector.softmax:
+        return rows.select("id", detector.softmax.margins(rows.sparkSession, "features")[k].alias("raw"))
     if detector.model_type != "gradient_boosting":
         return detector.transform(rows).select("id", F.get(F.col("proba"), F.lit(k)).alias("raw"))
     model = detector.models[k if len(detector.models) > 1 else 0].copy().setRawPredictionCol("_raw")

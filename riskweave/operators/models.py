@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators import evaluate
+from riskweave.operators.boosting import SoftmaxBoosting
 from riskweave.operators.features import ALL_FEATURES, all_features
 from riskweave.operators.matrix import assemble
 from riskweave.operators.ranks import shuffled_rank
@@ -24,8 +25,8 @@ from riskweave.operators.rules import severity_label
 
 # Model names, defaults of detector and ranker, folds.
 MODEL_TYPES = ("gradient_boosting", "random_forest", "logistic_regression", "neural_network")
-DETECTOR_CONFIG = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "random_state": 42, "max_classes": 1000}
-RANKER_CONFIG = {"n_estimators": 50, "learning_rate": 0.05, "max_depth": 4, "random_state": 42}
+DETECTOR_CONFIG = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "random_state": 42, "max_classes": 1000, "multi_class": "softmax"}
+RANKER_CONFIG = {"n_estimators": 50, "learning_rate": 0.05, "max_depth": 4, "random_state": 42, "multi_class": "one_vs_rest"}
 CV_FOLDS = 5
 LEARNING_FRACTIONS = (0.1, 0.325, 0.55, 0.775, 1.0)
 
@@ -38,7 +39,11 @@ _MODELS = {
 
 
 class VulnerabilityDetector:
-    """A classifier over a ``features`` vector and an integer ``label`` column."""
+    """A classifier over a ``features`` vector and an integer ``label`` column.
+
+    Boosting with more than two classes grows its trees under one softmax loss, or with config ``multi_class`` of
+    ``one_vs_rest`` fits one model per class.
+    """
 
     def __init__(self, model_type: str = "gradient_boosting", config: dict | None = None):
         if model_type not in MODEL_TYPES:
@@ -84,7 +89,10 @@ class VulnerabilityDetector:
         data = rows.select("features", place.cast("double").alias("label")).persist()
         try:
             estimator = self._estimator(n_features)
-            if self.model_type == "gradient_boosting":
+            if self.model_type == "gradient_boosting" and len(self.classes) > 2 and self.config["multi_class"] == "softmax":
+                c = self.config
+                self.models = [SoftmaxBoosting(len(self.classes), c["n_estimators"], c["learning_rate"], c["max_depth"]).fit(data)]
+            elif self.model_type == "gradient_boosting":
                 self.models = self._fit_per_class(estimator, data)
             else:
                 self.models = [estimator.fit(data)]
@@ -95,8 +103,13 @@ class VulnerabilityDetector:
         self.is_fitted = True
         return self
 
+    @property
+    def softmax(self) -> SoftmaxBoosting | None:
+        """The boosted trees of several classes, if that is what was fitted."""
+        return self.models[0] if self.models and isinstance(self.models[0], SoftmaxBoosting) else None
+
     def _fit_per_class(self, estimator, data: DataFrame) -> list:
-        """Boosting is binary: one model per class against the rest (one model for two classes)."""
+        """This boosting is binary: one model per class against the rest (one model for two classes)."""
         targets = [1] if len(self.classes) <= 2 else range(len(self.classes))
 
         def fit(k):
@@ -112,7 +125,12 @@ class VulnerabilityDetector:
         """Add ``proba`` (one entry per class, summing to one) and ``prediction`` (a label)."""
         if not self.models:
             raise ValueError("the detector must be fitted first")
-        if self.model_type == "gradient_boosting":
+        if self.softmax:
+            out = rows.withColumn("_raw", self.softmax.margins(rows.sparkSession, "features"))
+            out = out.withColumn("_e", F.transform("_raw", lambda v: F.exp(v - F.array_max("_raw"))))
+            total = F.aggregate("_e", F.lit(0.0), lambda t, v: t + v)
+            proba = F.transform("_e", lambda v: v / total)
+        elif self.model_type == "gradient_boosting":
             out, shares = rows, []
             for i, model in enumerate(self.models):
                 model = model.copy()
@@ -186,6 +204,8 @@ class VulnerabilityDetector:
                 self._importance = self._permutation_importance(self._fitted_on)
             elif self.model_type == "logistic_regression":
                 weights = abs(self.models[0].coefficientMatrix.toArray()).mean(axis=0)
+            elif self.softmax:
+                weights = self.softmax.importances
             else:
                 weights = sum(m.featureImportances.toArray() for m in self.models) / len(self.models)
             if self._importance is None:
@@ -230,10 +250,13 @@ class VulnerabilityDetector:
     def save_model(self, spark: SparkSession, path: str) -> None:
         about = {
             "model_type": self.model_type, "config": self.config, "classes": self.classes,
-            "feature_names": self.feature_names, "n_models": len(self.models),
+            "feature_names": self.feature_names, "n_models": len(self.models), "softmax": self.softmax is not None,
             "importance": self.get_feature_importance(),
         }
         spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        if self.softmax:
+            self.softmax.save(spark, f"{path}/softmax")
+            return
         for i, model in enumerate(self.models):
             model.write().overwrite().save(f"{path}/model{i}")
 
@@ -244,7 +267,7 @@ class VulnerabilityDetector:
         out.classes, out.feature_names = about["classes"], about["feature_names"]
         out._importance = about["importance"]
         kind = _MODELS[out.model_type]
-        out.models = [kind.load(f"{path}/model{i}") for i in range(about["n_models"])]
+        out.models = [SoftmaxBoosting.load(spark, f"{path}/softmax")] if about.get("softmax") else [kind.load(f"{path}/model{i}") for i in range(about["n_models"])]
         out.is_fitted = True
         return out
 
