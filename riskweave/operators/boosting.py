@@ -3,7 +3,8 @@
 A round grows one tree a class.  All trees of a round grow together, level by level, and a level is one aggregate:
 tasks add up gradients, curvatures and rows by (feature, open node, bin), the sums are shuffled by feature, a row for
 each feature and task, and every task of the second half gives its best split of each node.  The driver holds the trees, one row for a node and
-task, and the cuts; their sizes come from the parameters and the number of classes, not from the rows.
+task, and the cuts; their sizes come from the parameters and the number of classes, not from the rows.  Nor do the sums
+of a task, so the first half has as many tasks as there are cores, however many rows, and what is shuffled stays the same.
 
 Gradients are whole multiples of 2**-24 and are added as whole numbers, so the order of tasks or a repeated task changes
 no tree.  Rows carry their margins up to the last written round; the trees since then are walked anew, and every
@@ -28,6 +29,8 @@ UNIT = float(1 << 24)
 # Cells of node, feature and bin that a task holds, and nodes; a level with more takes several aggregates.
 CELLS = 2_000_000
 NODES = 2048
+# Rows below which another task costs more than it saves.
+TASK_ROWS = 512
 # Cells of row and tree worked on at a time.
 WALKS = 1_000_000
 
@@ -139,7 +142,28 @@ def best_splits(cells: np.ndarray, n_cuts: int, l2: float, min_weight: float) ->
     return at, gain[np.arange(len(at)), at]
 
 
-SUMS = "feature int, place binary, cells binary"
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the largest takes, after the number of bytes: all lowest bytes, all next ones and so on."""
+    values = np.asarray(values, np.int64)
+    folded = (values << 1) ^ (values >> 63)  # the sign to the lowest bit
+    width = max(1, (int(folded.max()).bit_length() + 7) // 8)
+    return bytes([width]) + folded.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> list[np.ndarray]:
+    """The arrays of ``n`` numbers that stand end to end in ``data``."""
+    out, at = [], 0
+    while at < len(data):
+        width = data[at]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n).T
+        folded = wide.view("<i8").ravel()
+        out.append((folded >> 1) ^ -(folded & 1))
+        at += 1 + width * n
+    return out
+
+
+SUMS = "feature int, met int, cells binary"
 SPLITS = "slot int, feature int, bin int, gain double, left binary, whole binary"
 
 
@@ -180,8 +204,9 @@ def _add_up(held, first_round: bool, slots_from: int, n_slots: int, width: int,
 
 
 def _sums(f: int, place: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
-    row = (f, place.astype(np.int32).tobytes(), np.rint(cells).astype(np.int64).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary())], ["feature", "place", "cells"])
+    """Sums of one feature: the steps from place to place, then gradients, curvatures and rows."""
+    packed = b"".join(_planes(column) for column in (np.diff(place, prepend=0), *np.rint(cells).T))
+    return pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([len(place)], pa.int32()), pa.array([packed], pa.binary())], ["feature", "met", "cells"])
 
 
 def _choose(n_cuts: np.ndarray, n_slots: int, slots_from: int, bins: int, l2: float, min_weight: float):
@@ -190,10 +215,11 @@ def _choose(n_cuts: np.ndarray, n_slots: int, slots_from: int, bins: int, l2: fl
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for f, place, cells in zip(*(batch[c].to_pylist() for c in ("feature", "place", "cells"))):
+            for f, met, cells in zip(*(batch[c].to_pylist() for c in ("feature", "met", "cells"))):
                 if f not in total:
                     total[f] = np.zeros((n_slots * bins, 3), np.int64)
-                total[f][np.frombuffer(place, np.int32)] += np.frombuffer(cells, np.int64).reshape(-1, 3)
+                steps, *sums = _from_planes(cells, met)
+                total[f][np.cumsum(steps)] += np.stack(sums, axis=1)
         if -1 in total:
             yield _splits([-1], [-1], [0], [0.0], total[-1][:1], total.pop(-1)[:1])
         if not total:
@@ -291,16 +317,15 @@ class SoftmaxBoosting:
         self.prior = np.log(np.maximum(share, 0.5) / share.sum())
         self.width = len(rows.select("x").first()[0])
         cuts = cut_points(rows, self.width, self.max_bins)
-        # Binned rows are small: as many tasks as their bytes ask for.
-        state = materialise(rows.mapInArrow(_binned(cuts, self.prior), STATE).hint("rebalance"), "boosting-state")
-        one_split = state.rdd.getNumPartitions() == 1
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, sum(counts.values()) // TASK_ROWS))
+        state = materialise(rows.mapInArrow(_binned(cuts, self.prior), STATE).repartition(tasks), "boosting-state").coalesce(tasks)
         written = 0
         for t in range(self.n_estimators):
             if t - written == WRITE_ROUNDS:
                 moved = spark.sparkContext.broadcast(Walker(self.rounds[written:], self.n_classes, True))
-                state = materialise(state.mapInArrow(_moved(moved, self.width), STATE), "boosting-state")
+                state = materialise(state.mapInArrow(_moved(moved, self.width), STATE), "boosting-state").coalesce(tasks)
                 written = t
-            self.rounds.append(self._grow(spark, state, self.rounds[written:], cuts, one_split))
+            self.rounds.append(self._grow(spark, state, self.rounds[written:], cuts, tasks == 1))
         return self
 
     def _grow(self, spark: SparkSession, state: DataFrame, recent: list[Round], cuts: list[np.ndarray], one_split: bool) -> Round:

@@ -150,3 +150,33 @@ def test_detector_and_attribution(spark, data, tmp_path):
     again = models.VulnerabilityDetector.load_model(spark, str(tmp_path / "m"))
     assert np.array_equal(margins_of(spark, detector.softmax, rows), margins_of(spark, again.softmax, rows))
     assert again.softmax.losses == detector.softmax.losses
+
+
+def test_sums_take_few_bytes_and_come_back_whole():
+    rng = np.random.default_rng(5)
+    place = np.flatnonzero(rng.random(4000) < 0.6)
+    cells = np.stack([rng.integers(-(1 << 26), 1 << 26, len(place)), rng.integers(1, 1 << 25, len(place)), rng.integers(1, 50, len(place))], axis=1)
+    cells[7, 0], cells[8, 0] = -(1 << 26), (1 << 26) - 1
+    sent = boosting._sums(3, place, cells.astype(float))
+    assert sum(len(v) for c in sent.columns for v in c.to_pylist() if isinstance(v, bytes)) < 12 * len(place)
+    steps, *back = boosting._from_planes(sent["cells"][0].as_py(), sent["met"][0].as_py())
+    assert (np.cumsum(steps) == place).all() and (np.stack(back, axis=1) == cells).all()
+    extremes = np.array([0, -1, 1, (1 << 61) - 1, -(1 << 61)])
+    assert (boosting._from_planes(boosting._planes(extremes), 5)[0] == extremes).all()
+
+
+@pytest.mark.parametrize("n, parts", [(3000, 40), (6000, 3), (60, 5)])
+def test_a_level_has_as_many_tasks_as_cores_whatever_the_rows(spark, monkeypatch, n, parts):
+    tune(spark)
+    seen = []
+    plain = boosting.SoftmaxBoosting._level
+
+    def level(self, spark, state, *rest):
+        seen.append(state.rdd.getNumPartitions())
+        return plain(self, spark, state, *rest)
+
+    monkeypatch.setattr(boosting.SoftmaxBoosting, "_level", level)
+    monkeypatch.setattr(boosting, "WRITE_ROUNDS", 1)
+    x, y = make(n)
+    boosting.SoftmaxBoosting(3, n_estimators=2, max_depth=1).fit(table(spark, x, y, parts))
+    assert set(seen) == {max(1, min(spark.sparkContext.defaultParallelism, n // boosting.TASK_ROWS))}
