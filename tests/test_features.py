@@ -168,3 +168,44 @@ def test_tf_idf_keeps_the_most_frequent_runs(spark):
     for size in (5, 12):
         kept = sorted(counts, key=lambda t: (-counts[t], t))[:size]
         assert {r.term for r in matrix.tf_idf(docs, "id", "text", size).collect()} == set(kept)
+
+
+def test_tf_idf_counts_only_what_goes_on_from_kept_terms(spark, monkeypatch):
+    """Ties, short and missing texts, repeated and null ids; long runs of rare words are never counted."""
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(v)}" for v in rng.geometric(0.3, 40)) + f" one{i} two{i} three{i}" for i in range(30)]
+    texts += ["Äa äa x äa", "", None, "z", "w1 w1"]
+    ids = [None if i % 9 == 4 else i // 2 for i in range(len(texts))]
+    counts, by_id = Counter(), {}
+    for key, text in zip(ids, texts):
+        words = [w for w in (text or "").lower().split() if len(w) > 1]
+        for n in (1, 2, 3):
+            found = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+            counts.update(found)
+            by_id.setdefault(key, Counter()).update(found)
+    counted = []
+    plain = matrix._run_counts
+
+    def run_counts(words, held, n):
+        out = plain(words, held, n)
+        counted.extend(r.term for r in out.where(F.lit(n > 1)).collect())
+        return out
+
+    monkeypatch.setattr(matrix, "_run_counts", run_counts)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "id int, text string").repartition(3)
+    for size in (4, 30, 100_000):
+        counted.clear()
+        kept = set(sorted(counts, key=lambda t: (-counts[t], t))[:size])
+        weights = {}
+        for key, found in by_id.items():
+            idf = {t: np.log((len(texts) + 1) / (sum(t in f for f in by_id.values()) + 1)) + 1 for t in found if t in kept}
+            norm = np.sqrt(sum((found[t] * idf[t]) ** 2 for t in idf))
+            weights |= {(key, t): found[t] * idf[t] / norm for t in idf}
+        got = {(r.id, r.term): r.weight for r in matrix.tf_idf(docs, "id", "text", size).collect()}
+        assert got == pytest.approx(weights)
+        if size == 4:
+            assert counted and not any("one" in t or "two" in t for t in counted)
+    none = spark.createDataFrame([], "id int, text string")
+    assert matrix.tf_idf(none, "id", "text").collect() == []
