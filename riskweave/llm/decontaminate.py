@@ -112,7 +112,7 @@ def _scan_group(docs: DataFrame, held, text: str) -> DataFrame:
                     [new_columns.get(f, part.column(f)) for f in fields], schema=batch.schema
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textbytes.released(run), schema)
 
 
 def find(
@@ -172,4 +172,4 @@ def cut_spans(found: DataFrame, text: str = "text") -> DataFrame:
             columns[at] = pa.array(out, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(textbytes.released(run), found.schema)

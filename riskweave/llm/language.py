@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.llm import textbytes
 from riskweave.llm.tables import free_name
 from riskweave.session import materialise
 
@@ -137,7 +138,7 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", max_l
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(buckets, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
 
     kept = labelled.select(F.col(text).alias("t"), F.col(language).cast("string").alias("l")).where("t is not null and l is not null and t <> ''")
-    partial = kept.mapInArrow(count, "lang string, bucket int, n long")
+    partial = kept.mapInArrow(textbytes.released(count), "lang string, bucket int, n long")
     summed = materialise(partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "buckets")
     names = summed.where("bucket < 0").select("lang").limit(max_languages + 1).collect()
     if len(names) > max_languages:
@@ -178,10 +179,10 @@ def answered(docs: DataFrame, model: Model, text: str, language: str, posterior:
             for part in _batches(batch, at):
                 names, scores = held.value.answers(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*part.schema.names, language, posterior])
-            pa.default_memory_pool().release_unused()
+            textbytes.release()
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(language, T.StringType()), T.StructField(posterior, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textbytes.released(run), schema)
 
 
 def in_training(doc_id) -> F.Column:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.tables import BROADCAST_BYTES, free_name, small_side, text_key
+from riskweave.llm import textbytes
 from riskweave.llm.textbytes import mix, powers
 from riskweave.session import materialise
 
@@ -144,7 +145,7 @@ def _near(lines: DataFrame, places: DataFrame, classes: DataFrame) -> DataFrame:
     keyed = texts.select("h1", "h2", F.explode(_quarter_keys(F.col("line"), F.length("line"))).alias("k")).select("h1", "h2", "k.part", "k.size", "k.value")
     parts = _shared(keyed, "value", "quarters").groupBy("h1", "h2").agg(F.collect_set(F.struct("part", "size")).alias("parts"))
     texts = materialise(texts.join(parts, ["h1", "h2"]), "survivor_texts")
-    variants = texts.select("h1", "h2", "line", "parts").mapInPandas(_variants, "h1 long, h2 long, variant long, place long, whole boolean")
+    variants = texts.select("h1", "h2", "line", "parts").mapInPandas(textbytes.released(_variants), "h1 long, h2 long, variant long, place long, whole boolean")
     variants = materialise(variants.join(texts.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
     member = F.struct("first", "h1", "h2")
     swapped = variants.where("place >= 0")

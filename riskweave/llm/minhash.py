@@ -105,9 +105,9 @@ def sketch_table(docs: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
                     ],
                     names=["id", "t", "n_shingles", "h1", "h2", "bands", "mark"],
                 )
-            pa.default_memory_pool().release_unused()
+            textbytes.release()
 
-    return _keyed(docs, row_id, text).mapInArrow(run, "id long, t long, n_shingles long, h1 long, h2 long, bands array<long>, mark binary")
+    return _keyed(docs, row_id, text).mapInArrow(textbytes.released(run), "id long, t long, n_shingles long, h1 long, h2 long, bands array<long>, mark binary")
 
 
 def _keyed(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -130,7 +130,7 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     sized = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return sized.select("a", "b", "mark_a", "mark_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "mark_a", "mark_b").mapInArrow(textbytes.released(run), "a long, b long")
 
 
 def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +200,7 @@ def _by_block(rows: DataFrame, function, schema: str, tasks: int) -> DataFrame:
         if held is not None and len(held):
             yield function(held)
 
-    return rows.repartition(tasks, *BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInPandas(run, schema)
+    return rows.repartition(tasks, *BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInPandas(textbytes.released(run), schema)
 
 
 def _across(placed: DataFrame, narrow: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int, n: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], n: int
     kept = texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     with_a = pairs.join(kept.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(kept.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(textbytes.released(run), "a long, b long")
 
 
 def grouped(docs: DataFrame, row_id: str, text: str, n: int, percent: int) -> DataFrame:

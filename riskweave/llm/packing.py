@@ -182,7 +182,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", longest: int = 40
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
     schema = frame.drop(given).withColumns({"start": F.lit(0).cast("long"), "length": F.lit(0).cast("long"), "ids": F.lit(b""), "doc_tokens": F.lit(0).cast("long")}).schema
-    pieces = frame.mapInArrow(run, schema)
+    pieces = frame.mapInArrow(textbytes.released(run), schema)
     return pieces.select(
         "*",
         F.log2("length").cast("int").alias("bucket"),

@@ -303,3 +303,28 @@ def test_hidden_markov_of_nothing(spark):
 def test_manifest_equals_sql(spark):
     folder = "/root/testdata/sf0.001"
     assert compare(queries.op11_merkle_manifest(spark, folder), database(folder), queries.ORACLES["op11_merkle_manifest"]) is None
+
+
+def test_a_task_leaves_no_freed_memory_with_its_worker():
+    import gc
+    import numpy as np
+    import psutil
+    from riskweave.llm import textbytes
+
+    def held():
+        gc.collect()
+        return psutil.Process().memory_info().rss >> 20
+
+    def run(batches):
+        for n in batches:
+            # Small blocks, every fiftieth of which stays, so that the heap cannot shrink from its end.
+            blocks = [np.ones(8000, np.uint8) for _ in range(n)]
+            stay.extend(blocks[::50])
+            yield len(blocks)
+
+    sizes = []
+    for function in (run, textbytes.released(run)):
+        stay, before = [], held()
+        assert list(function(iter([20000, 20000]))) == [20000, 20000]
+        sizes.append(held() - before)
+    assert sizes[1] < max(sizes[0] / 2, 40)
