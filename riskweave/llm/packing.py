@@ -8,20 +8,23 @@ bucket has sequences of equal length, so there is nothing to pad.
 from __future__ import annotations
 
 import functools
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm import textbytes
 from riskweave.llm.tables import free_name
 
-#: Words whose ids a worker remembers.
-KNOWN_WORDS = 2_000_000
+#: Words whose ids a worker remembers, and new ones encoded at once; an encoding takes some hundred bytes a token.
+KNOWN_WORDS = 500_000
+NEW_WORDS = 8192
 #: Bytes of text encoded at once.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: One run of letters, none of which composes with another: exactly one unit of the splitter.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 UNIT_END = "</w>"
@@ -67,8 +70,8 @@ def units(column: pa.Array) -> textbytes.Words:
 class WordTokenizer:
     """Ids of whole texts for a vocabulary that drops blanks and folds case: ids of the words, end to end.
 
-    Blanks never reach the merges of such a vocabulary, so each word is encoded once and remembered by its bytes.
-    New words are encoded many at a time.
+    Blanks never reach the merges of such a vocabulary, so each word is encoded once and remembered by its bytes,
+    in flat arrays of some sixty bytes a word, since a worker keeps them. New words are encoded many at a time.
     """
 
     def __init__(self, path: str):
@@ -81,7 +84,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
+        self.words, self.hashes, self.places = pa.array([], pa.large_binary()), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,23 +108,40 @@ class WordTokenizer:
         out[~is_plain] = np.fromiter((i for c in coded for i in c), np.uint32)
         return out, sizes
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids, sizes = self._encoded([w.decode() for w in words])
-        self.places.update(zip(words, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(words))))
-        self.ids = np.concatenate([self.ids, ids])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+    def _known(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Places of words among the remembered ones, -1 for others; a place found by hash holds the same bytes."""
+        if not len(self.hashes):
+            return np.full(len(words), -1, np.int64)
+        place = self.places[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)].astype(np.int64)
+        same = pc.equal(self.words.take(pa.array(place)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, place, -1)
+
+    def _learn(self, words: pa.Array, hashes: np.ndarray) -> None:
+        ids, bounds = [self.ids], [self.bounds]
+        for first in range(0, len(words), NEW_WORDS):
+            own, sizes = self._encoded([w.decode() for w in words.slice(first, NEW_WORDS).to_pylist()])
+            ids.append(own)
+            bounds.append(bounds[-1][-1] + np.cumsum(sizes))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, (len(self.words) + order).astype(np.int32))
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids, self.bounds = np.concatenate(ids), np.concatenate(bounds)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's bounds in them (null: empty)."""
         found = units(texts)
-        code, column = found.distinct()
-        distinct = column.to_pylist()
-        if len(self.places) + len(distinct) > KNOWN_WORDS:
+        code, distinct = found.distinct()
+        if len(self.words) + len(distinct) > KNOWN_WORDS:
             self._forget()
-        new = [w for w in distinct if w not in self.places]
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[code]
+        hashes = textbytes.hashes_of(distinct)
+        place = self._known(distinct, hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.words) + np.arange(len(new))
+            self._learn(distinct.take(pa.array(new)), hashes[new])
+        place = place[code]
         sizes = self.bounds[place + 1] - self.bounds[place]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -132,6 +152,7 @@ class WordTokenizer:
 @functools.cache
 def word_tokenizer(path: str) -> WordTokenizer:
     """One per worker process and vocabulary, with what it remembers."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return WordTokenizer(path)
 
 

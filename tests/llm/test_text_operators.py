@@ -162,6 +162,35 @@ def test_word_cache_forgets_without_harm(vocabulary, monkeypatch):
         assert ids.tolist() == coder.coder.encode(text, add_special_tokens=False).ids
 
 
+def test_remembered_words_take_little_memory(vocabulary, monkeypatch):
+    """A worker keeps them over tasks and stages, beside whatever these need; new ones are encoded some at a time."""
+    import gc
+    import tracemalloc
+
+    coder = packing.WordTokenizer(vocabulary)
+    encoded, most = coder._encoded, []
+    monkeypatch.setattr(coder, "_encoded", lambda words: most.append(len(words)) or encoded(words))
+    texts = pa.array([" ".join(f"w{i}" for i in range(a, a + 1000)) for a in range(0, 40000, 1000)])
+    tracemalloc.start()
+    gc.collect()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    coder.encode(texts)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 100 * 40000 and max(most) < 10000
+    ids, bounds = coder.encode(texts.slice(7, 1))
+    assert sum(most) == 40000 and ids.tolist() == coder.coder.encode(texts[7].as_py(), add_special_tokens=False).ids
+
+
+def test_words_of_equal_hash_keep_their_own_ids(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing.textbytes, "hashes_of", lambda column: np.zeros(len(column), np.uint64))
+    coder = packing.WordTokenizer(vocabulary)
+    for text in ("some words here", "here other words", "some other words", "words here"):
+        ids, _ = coder.encode(pa.array([text]))
+        assert ids.tolist() == coder.coder.encode(text, add_special_tokens=False).ids
+
+
 def test_cut_is_the_binary_expansion():
     for n in [*range(1, 300), 4095, 4096, 4097, 12289]:
         parts = packing.cut(n, 4096)
