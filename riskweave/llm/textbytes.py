@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from riskweave.session import release, released  # noqa: F401
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Texts are hashed in pieces of about this many bytes, cut between words.
@@ -42,29 +43,6 @@ ALNUM = _alnum_table()
 NON_BLANK = _blank_table()
 
 
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-
-
-def release() -> None:
-    """Give freed memory back to the system.
-
-    Spark keeps a task's Python worker for later tasks and stages; without this each keeps the most it ever held.
-    """
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
-
-
-def released(run: Callable) -> Callable:
-    """A task's function over batches, which leaves no freed memory with its worker."""
-
-    def to_the_end(batches):
-        yield from run(batches)
-        release()
-
-    return to_the_end
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit over the whole word (a fresh array)."""
     h = h ^ (h >> np.uint64(30))

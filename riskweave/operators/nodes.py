@@ -9,12 +9,15 @@ from __future__ import annotations
 import ast
 import functools
 import warnings
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.session import release
+
 NODE = T.StructType(
     [
         T.StructField("node_id", T.IntegerType()),
@@ -112,28 +115,36 @@ def _struct_array(fields, rows, mask=None):
     return pa.StructArray.from_arrays(arrays, names=[name for name, _ in fields], mask=mask)
 
 
+def _trees(codes: pa.Array, only) -> pa.Array:
+    errors, rows, offsets, parts = [], [], [0], []
+    for code in codes:
+        error, found = _parse(code.as_py() or "", only)
+        errors.append(error)
+        offsets.append(offsets[-1] + len(found))
+        rows.extend(found)
+        if len(rows) >= FLUSH_NODES:
+            parts.append(_struct_array(_NODE_ARROW, rows))
+            rows = []
+    parts.append(_struct_array(_NODE_ARROW, rows))
+    failed = _struct_array(
+        _ERROR_ARROW,
+        [error or (None,) * 4 for error in errors],
+        pa.array([error is None for error in errors], pa.bool_()),
+    )
+    nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(parts))
+    return pa.StructArray.from_arrays([failed, nodes], names=["error", "nodes"])
+
+
 @functools.lru_cache(maxsize=None)
 def _tree_udf(only):
-    def trees(codes: pa.Array) -> pa.Array:
-        errors, rows, offsets, parts = [], [], [0], []
+    def trees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            for code in codes:
-                error, found = _parse(code.as_py() or "", only)
-                errors.append(error)
-                offsets.append(offsets[-1] + len(found))
-                rows.extend(found)
-                if len(rows) >= FLUSH_NODES:
-                    parts.append(_struct_array(_NODE_ARROW, rows))
-                    rows = []
-        parts.append(_struct_array(_NODE_ARROW, rows))
-        failed = _struct_array(
-            _ERROR_ARROW,
-            [error or (None,) * 4 for error in errors],
-            pa.array([error is None for error in errors], pa.bool_()),
-        )
-        nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(parts))
-        return pa.StructArray.from_arrays([failed, nodes], names=["error", "nodes"])
+            for codes in batches:
+                yield _trees(codes, only)
+                del codes
+                release()
+        release()
 
     # Marked non-deterministic so that the optimizer never evaluates it twice for one file.
     return F.arrow_udf(trees, TREE).asNondeterministic()

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.text import content_hash, has_extension
 from riskweave.operators.ranks import top_per_group
-from riskweave.session import materialise
+from riskweave.session import materialise, released
 
 # Fixed value: the suffix of files that are scanned.
 SOURCE_SUFFIX = ".py"
 
 # Files read into one Arrow batch, in bytes.
-READ_BYTES = 8 << 20
+READ_BYTES = 2 << 20
 
 _ENTRY = "path string, is_dir boolean, size bigint, problem string"
 _ENTRY_ARROW = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("problem", pa.string())])
@@ -132,7 +132,7 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
     while True:
         width = max(1, spark.sparkContext.defaultParallelism)
         listed = materialise(
-            level.repartition(width, "path").mapInArrow(_list_folders, _ENTRY), "listing"
+            level.repartition(width, "path").mapInArrow(released(_list_folders), _ENTRY), "listing"
         )
         found.append(listed.where("not is_dir").select("path", "size", "problem"))
         level = listed.where("is_dir").select("path")
@@ -179,7 +179,7 @@ def read_files(paths: DataFrame, partitions: int | None = None) -> DataFrame:
     """``path, content, problem``: bytes read on executors; an unreadable file keeps its reason."""
     width = partitions or 4 * paths.sparkSession.sparkContext.defaultParallelism
     return paths.select("path").repartition(width, "path").mapInArrow(
-        _read_paths, "path string, content binary, problem string"
+        released(_read_paths), "path string, content binary, problem string"
     )
 
 
@@ -261,10 +261,9 @@ def with_extension(files: DataFrame, extensions, path: str = "path") -> DataFram
 
 def _write_texts(batches):
     for batch in batches:
-        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        sizes = []
-        for name, text in zip(names, texts):
-            data = text.encode("utf-8")
+        names, sizes = batch.column(0).to_pylist(), []
+        for name, text in zip(names, batch.column(1)):
+            data = text.as_py().encode("utf-8")
             if _is_remote(name):
                 system, inner = _store(name)
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
@@ -283,4 +282,4 @@ def export_files(files: DataFrame, root: str) -> int:
     """Write ``file_path, code`` rows as files below ``root``; returns how many."""
     root = qualified(files.sparkSession, root)
     rows = files.select(F.concat(F.lit(root.rstrip("/") + "/"), "file_path").alias("path"), "code")
-    return rows.mapInArrow(_write_texts, "path string, size bigint").count()
+    return rows.mapInArrow(released(_write_texts), "path string, size bigint").count()

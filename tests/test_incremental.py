@@ -148,3 +148,22 @@ def test_training_sets_are_nested(spark):
     assert all(curve[1.0, k].train_accuracy == 1.0 == curve[1.0, k].test_accuracy for k in (0, 1))
     lone = models.learning_curve(rows.where("id < 3"), "logistic_regression", {"reg_param": 0.01}, (1.0,), 2).collect()
     assert sorted((r.n_train, r.train_accuracy is None) for r in lone) == [(0, True), (3, False)]
+
+
+def test_workers_hold_little_of_the_files(tmp_path, monkeypatch):
+    """Two Python workers a core read and parse; each holds a few megabytes and gives them back."""
+    import pyarrow as pa
+
+    from riskweave.sources import files
+
+    paths = []
+    for i in range(12):
+        paths.append(str(tmp_path / f"{i}.py"))
+        (tmp_path / f"{i}.py").write_bytes(b"x = 1\n" + b"# " + b"a" * (1 << 20))
+    read = list(files._read_paths([pa.record_batch([pa.array(paths)], names=["path"])]))
+    assert sum(len(b) for b in read) == 12 and max(b.nbytes for b in read) < 5 << 20
+    freed = []
+    monkeypatch.setattr(nodes, "release", lambda: freed.append(1))
+    trees = nodes._tree_udf(frozenset({"Call"})).func
+    out = list(trees(pa.array(["f()", "def ("]) for _ in range(3)))
+    assert len(freed) >= 3 and all(t.to_pylist()[0]["error"] is None and t.to_pylist()[1]["error"]["kind"] == "SyntaxError" for t in out)
