@@ -9,6 +9,10 @@ of a task, so the first half has as many tasks as there are cores, however many
 Gradients are whole multiples of 2**-24 and are added as whole numbers, so the order of tasks or a repeated task changes
 no tree.  Rows carry their margins up to the last written round; the trees since then are walked anew, and every
 ``WRITE_ROUNDS`` rounds the margins are written.
+
+A level is a job, which takes longer to start than to run on a table of some ten thousand rows.  The trees of a round
+ask nothing of each other, so a table of at most ``HELD`` bytes is broadcast once, binned, and a task grows all levels of
+a class's tree: a round is one job, and nothing is shuffled.  Both ways give the same trees, bit by bit.
 """
 
 from __future__ import annotations
@@ -31,8 +35,13 @@ CELLS = 2_000_000
 NODES = 2048
 # Rows below which another task costs more than it saves.
 TASK_ROWS = 512
-# Cells of row and tree worked on at a time.
+# Cells of row and tree worked on at a time, and of node, feature and bin.
 WALKS = 1_000_000
+SCORES = 100_000
+# Bytes of a table that a worker holds: bins, margins, shares.  A larger one grows its trees level by level.
+HELD = 64 << 20
+# A split's gain is more than this.
+LEAST_GAIN = 1e-9
 
 
 @dataclass
@@ -62,22 +71,27 @@ class Walker:
         starts = np.cumsum([0, *[len(r.feature) for r in rounds]])
         self.n_classes = n_classes
         self.roots = (starts[:-1, None] + np.arange(n_classes)).ravel().astype(np.int64)
-        self.feature = np.array([f for r in rounds for f in r.feature], np.int64)
-        self.cut = np.array([c for r in rounds for c in (r.cut if on_bins else r.threshold)], np.float64)
-        self.left = np.array([c + s if c >= 0 else -1 for r, s in zip(rounds, starts) for c in r.left], np.int64)
+        feature = np.array([f for r in rounds for f in r.feature], np.int64)
+        cut = np.array([c for r in rounds for c in (r.cut if on_bins else r.threshold)], np.float64)
+        left = np.array([c + s if c >= 0 else -1 for r, s in zip(rounds, starts) for c in r.left], np.int64)
         self.value = np.array([v for r in rounds for v in r.value], np.float64)
+        self.depth, at = 0, self.roots
+        while len(at := at[feature[at] >= 0]):
+            self.depth, at = self.depth + 1, np.concatenate([left[at], left[at] + 1])
+        # Nothing is greater than a leaf's cut, so a row stays there.
+        inner = feature >= 0
+        self.feature = np.where(inner, feature, 0)
+        self.left = np.where(inner, left, np.arange(len(left)))
+        self.cut = np.where(inner, cut, 255).astype(np.uint8) if on_bins else np.where(inner, cut, np.inf)
 
     def ends(self, x: np.ndarray) -> np.ndarray:
         """Rows x trees: where each row ends; what is not a number goes right."""
+        cells = (x if x.dtype == np.uint8 else np.where(np.isnan(x), np.inf, x)).ravel()  # cuts are finite
         at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
-        rows = np.arange(len(x))[:, None]
-        while True:
-            f = self.feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            right = ~(x[rows, np.maximum(f, 0)] <= self.cut[at])
-            at = np.where(inner, self.left[at] + right, at)
+        row = np.arange(len(x))[:, None] * x.shape[1]
+        for _ in range(self.depth):
+            at = self.left.take(at) + (cells.take(self.feature.take(at) + row) > self.cut.take(at))
+        return at
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Rows x classes: what the rounds add."""
@@ -120,13 +134,21 @@ def _from_bytes(column: pa.Array, dtype, width: int) -> np.ndarray:
 def gradients(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivative of the loss by row and class, in units of 2**-24."""
     p = _softmax(margins)
-    g = p.copy()
-    g[np.arange(len(y)), y] -= 1.0
-    return np.rint(g * UNIT), np.maximum(np.rint(p * (1 - p) * UNIT), 1.0)
+    return gradients_of(p, y[:, None] == np.arange(p.shape[1]))
+
+
+def gradients_of(p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of shares of classes, beside whether the class is the row's."""
+    return np.rint((p - own) * UNIT), np.maximum(np.rint(p * (1 - p) * UNIT), 1.0)
 
 
-def best_splits(cells: np.ndarray, n_cuts: int, l2: float, min_weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(bin, gain)`` of a feature's best cut in each node (nodes x bins x gradient, curvature, rows); gain 0: there is none."""
+def total_loss(p: np.ndarray, y: np.ndarray) -> int:
+    """Sum of the rows' log-losses in units of 2**-24."""
+    return int(np.rint(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)) * UNIT).sum())
+
+
+def best_splits(cells: np.ndarray, n_cuts, l2: float, min_weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(bin, gain)`` of a feature's best cut in each node (nodes x bins x gradient, curvature); gain 0: there is none."""
     left = np.cumsum(cells, axis=1)
     whole = left[:, -1:, :]
     right = whole - left
@@ -180,7 +202,7 @@ def _add_up(held, first_round: bool, slots_from: int, n_slots: int, width: int,
             x = _from_bytes(batch["bins"], np.uint8, width)
             y = batch["y"].to_numpy()
             margins = _matrix(batch["margin"]) + done.margins(x)
-            loss += int(np.rint(-np.log(np.maximum(_softmax(margins)[np.arange(len(y)), y], 1e-300)) * UNIT).sum())
+            loss += total_loss(_softmax(margins), y)
             n += len(y)
             g, h = gradients(margins, y)
             slot = slot_of[growing.ends(x)] - slots_from
@@ -244,6 +266,104 @@ def _splits(slot, feature, cut, gain, left, whole) -> pa.RecordBatch:
         ["slot", "feature", "bin", "gain", "left", "whole"])
 
 
+class Table:
+    """All rows of a table, and their shares of each class after the rounds met so far.
+
+    A worker keeps it from round to round, so it walks the trees that are new to it only.
+    """
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, prior: np.ndarray):
+        self.bins, self.y, self.prior = bins, y, prior
+        self.met, self.kept = -1, None
+
+    @staticmethod
+    def size(n: int, width: int, n_classes: int) -> int:
+        """Bytes that a worker takes: bins by row and by feature, five cells of row and class, a few of the row."""
+        return n * (2 * width + 40 * n_classes + 64)
+
+    def shares(self, rounds: list) -> np.ndarray:
+        """Rows x classes; margins are added in the order in which they are written level by level."""
+        if not 0 <= self.met <= len(rounds):
+            self.by_feature = np.ascontiguousarray(self.bins.T)
+            written = np.tile(self.prior, (len(self.y), 1))
+            met, recent, p = 0, np.zeros_like(written), None
+        else:
+            met, (written, recent, p) = self.met, self.kept
+        if met < len(rounds) or p is None:
+            for t in range(met, len(rounds)):
+                if t and t % WRITE_ROUNDS == 0:
+                    written, recent = written + recent, np.zeros_like(written)
+                recent = recent + rounds[t].value.margins(self.bins)
+            p = _softmax(written + recent)
+        self.met, self.kept = len(rounds), (written, recent, p)
+        return p
+
+    def tree(self, p: np.ndarray, k: int, n_cuts: np.ndarray, bins: int, depth: int, l2: float, min_weight: float) -> list:
+        """Class ``k``'s next tree, a list of ``(feature, bin, gain, left, whole)`` of its open nodes for each level."""
+        g, h = (v[:, 0] for v in gradients_of(p[:, k : k + 1], (self.y == k)[:, None]))
+        rows, cells, levels = [np.arange(len(g))], None, []
+        cells = self.sums(rows, g, h, bins)
+        for level in range(depth):
+            splits, deeper, counted, whole_of = self.splits(rows, cells, n_cuts, l2, min_weight), [], [], []
+            levels.append(splits)
+            for node, (f, cut, gain, left, _) in enumerate(splits):
+                if gain > LEAST_GAIN:
+                    goes = self.by_feature[f].take(rows[node]) <= cut
+                    deeper += [rows[node][goes], rows[node][~goes]]
+                    left[2] = len(deeper[-2])
+                    counted.append(int(len(deeper[-1]) < len(deeper[-2])))
+                    whole_of.append(node)
+            if not deeper or level + 1 == depth:
+                break
+            # The rows of the smaller side are added up, the other side is what is left of the whole.
+            fewer = self.sums([deeper[2 * i + side] for i, side in enumerate(counted)], g, h, bins)
+            side = np.array(counted)
+            both = np.empty((len(whole_of), 2, *cells.shape[1:]))
+            both[np.arange(len(side)), side], both[np.arange(len(side)), 1 - side] = fewer, cells[whole_of] - fewer
+            rows, cells = deeper, both.reshape(-1, *cells.shape[1:])
+        return levels
+
+    def sums(self, rows: list[np.ndarray], g: np.ndarray, h: np.ndarray, bins: int) -> np.ndarray:
+        """Nodes x features x bins x gradient, curvature, of these rows of each node; whole numbers all."""
+        row = np.concatenate(rows)
+        place = np.repeat(np.arange(len(rows)) * bins, [len(r) for r in rows])
+        g, h = g.take(row), h.take(row)
+        total = np.empty((len(rows), len(self.by_feature), bins, 2))
+        for f, column in enumerate(self.by_feature):
+            at = place + column.take(row)
+            total[:, f, :, 0] = np.bincount(at, g, len(rows) * bins).reshape(-1, bins)
+            total[:, f, :, 1] = np.bincount(at, h, len(rows) * bins).reshape(-1, bins)
+        return total
+
+    def splits(self, rows: list[np.ndarray], cells: np.ndarray, n_cuts: np.ndarray, l2: float, min_weight: float) -> list:
+        """Best split of each node, the smaller feature and cut among equal ones; rows of its left side are not counted yet."""
+        nodes, width, bins, _ = cells.shape
+        out = []
+        step = max(1, SCORES // (width * bins))
+        for a in range(0, nodes, step):
+            part = cells[a : a + step]
+            at, gain = best_splits(part.reshape(-1, bins, 2), np.tile(n_cuts, len(part))[:, None], l2, min_weight)
+            at, gain = at.reshape(-1, width), gain.reshape(-1, width)
+            feature = gain.argmax(axis=1)
+            for i, f in enumerate(feature.tolist()):
+                cut, own = int(at[i, f]), part[i, f]
+                left, whole = own[: cut + 1].sum(axis=0), own.sum(axis=0)
+                out.append((f, cut, float(gain[i, f]), [int(left[0]), int(left[1]), 0], [int(whole[0]), int(whole[1]), len(rows[a + i])]))
+        return out
+
+
+def _class_trees(held, rounds: list, n_cuts: np.ndarray, bins: int, depth: int, l2: float, min_weight: float):
+    """One round: the tree of each class of a task, and the sum of losses before it beside the first class's."""
+
+    def run(classes):
+        table = held.value
+        p = table.shares(rounds)
+        for k in classes:
+            yield k, None if k else total_loss(p, table.y), table.tree(p, k, n_cuts, bins, depth, l2, min_weight)
+
+    return run
+
+
 def cut_points(rows: DataFrame, width: int, bins: int = MAX_BINS) -> list[np.ndarray]:
     """Increasing cuts of each feature between its ``bins`` quantiles; without infinite ones, so no path asks for them."""
     cells = rows.select(F.posexplode("x").alias("feature", "v")).where(~F.isnan("v"))
@@ -317,7 +437,12 @@ class SoftmaxBoosting:
         self.prior = np.log(np.maximum(share, 0.5) / share.sum())
         self.width = len(rows.select("x").first()[0])
         cuts = cut_points(rows, self.width, self.max_bins)
-        tasks = max(1, min(spark.sparkContext.defaultParallelism, sum(counts.values()) // TASK_ROWS))
+        n = sum(counts.values())
+        most_nodes = min(1 << (self.max_depth - 1), n) if self.max_depth > 0 else 1
+        # A round of one level is one job either way.
+        if self.max_depth > 1 and Table.size(n, self.width, self.n_classes) <= HELD and most_nodes * self.width * self.max_bins <= CELLS:
+            return self._fit_held(spark, rows, cuts)
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, n // TASK_ROWS))
         state = materialise(rows.mapInArrow(_binned(cuts, self.prior), STATE).repartition(tasks), "boosting-state").coalesce(tasks)
         written = 0
         for t in range(self.n_estimators):
@@ -325,35 +450,61 @@ class SoftmaxBoosting:
                 moved = spark.sparkContext.broadcast(Walker(self.rounds[written:], self.n_classes, True))
                 state = materialise(state.mapInArrow(_moved(moved, self.width), STATE), "boosting-state").coalesce(tasks)
                 written = t
-            self.rounds.append(self._grow(spark, state, self.rounds[written:], cuts, tasks == 1))
+            done = Walker(self.rounds[written:], self.n_classes, True)
+
+            def splits(level, tree, open_nodes):
+                found = self._level(spark, state, done, tree, open_nodes, cuts, level == 0, tasks == 1)
+                return [(r["feature"], r["bin"], r["gain"], *(np.frombuffer(r[c], np.int64).tolist() for c in ("left", "whole")))
+                        for r in map(found.get, range(len(open_nodes)))]
+
+            self.rounds.append(self._grow(cuts, splits))
+        return self
+
+    def _fit_held(self, spark: SparkSession, rows: DataFrame, cuts: list[np.ndarray]) -> "SoftmaxBoosting":
+        """A job a round, a task a class; for at most ``HELD`` bytes, which bound what the driver collects and sends too."""
+        context = spark.sparkContext
+        binned = rows.mapInArrow(_binned(cuts, self.prior), STATE).select("bins", "y").toArrow()
+        y = binned["y"].to_numpy()
+        held = context.broadcast(Table(_from_bytes(binned["bins"], np.uint8, self.width), y, self.prior))
+        n_cuts = np.array([len(c) for c in cuts])
+        classes = context.parallelize(range(self.n_classes), self.n_classes)
+        walkers: list = []
+        try:
+            for _ in range(self.n_estimators):
+                run = _class_trees(held, walkers, n_cuts, self.max_bins, self.max_depth, self.l2, self.min_weight)
+                found = sorted(classes.mapPartitions(run).collect())  # a row a class, of a tree's nodes
+                self.losses.append(float(found[0][1] / UNIT / len(y)))
+                levels = [[split for _, _, tree in found for split in tree[level : level + 1]] for level in range(self.max_depth)]
+                self.rounds.append(self._grow(cuts, lambda level, *_: sum(levels[level], [])))
+                walkers.append(context.broadcast(Walker(self.rounds[-1:], self.n_classes, True)))
+        finally:
+            for sent in (held, *walkers):
+                sent.destroy()
         return self
 
-    def _grow(self, spark: SparkSession, state: DataFrame, recent: list[Round], cuts: list[np.ndarray], one_split: bool) -> Round:
-        done = Walker(recent, self.n_classes, True)
+    def _grow(self, cuts: list[np.ndarray], splits) -> Round:
+        """Trees of a round, level by level; ``splits`` gives the best split of each open node, the classes one after another."""
         tree = Round()
         for _ in range(self.n_classes):
             tree.add(0.0, 0)
         open_nodes = list(range(self.n_classes))
         for level in range(max(1, self.max_depth)):
-            splits = self._level(spark, state, done, tree, open_nodes, cuts, level == 0, one_split)
             deeper = []
-            for slot, node in enumerate(open_nodes):
-                r = splits[slot]
-                left, whole = np.frombuffer(r["left"], np.int64), np.frombuffer(r["whole"], np.int64)
-                tree.value[node], tree.rows[node] = self._step(whole), int(whole[2])
-                if r["gain"] <= 1e-9 or not self.max_depth:
+            for node, (feature, cut, gain, left, whole) in zip(open_nodes, splits(level, tree, open_nodes), strict=True):
+                tree.value[node], tree.rows[node] = self._step(whole), whole[2]
+                if gain <= LEAST_GAIN or not self.max_depth:
                     continue
-                tree.feature[node], tree.cut[node], tree.gain[node] = r["feature"], r["bin"], r["gain"]
-                tree.threshold[node], tree.left[node] = float(cuts[r["feature"]][r["bin"]]), len(tree.feature)
-                for part in (left, whole - left):
+                tree.feature[node], tree.cut[node], tree.gain[node] = feature, cut, gain
+                tree.threshold[node], tree.left[node] = float(cuts[feature][cut]), len(tree.feature)
+                for part in (left, [a - b for a, b in zip(whole, left)]):
                     deeper.append(len(tree.feature))
-                    tree.add(self._step(part), int(part[2]))
+                    tree.add(self._step(part), part[2])
             open_nodes = deeper
             if not open_nodes:
                 break
         return tree
 
-    def _step(self, sums: np.ndarray) -> float:
+    def _step(self, sums: list[int]) -> float:
         return float(-self.learning_rate * (sums[0] / UNIT) / (sums[1] / UNIT + self.l2))
 
     def _level(self, spark, state, done, tree, open_nodes, cuts, first, one_split) -> dict:

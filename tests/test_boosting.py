@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskweave.operators import attribution, boosting, models
@@ -180,3 +180,88 @@ def test_a_level_has_as_many_tasks_as_cores_whatever_the_rows(spark, monkeypatch
     x, y = make(n)
     boosting.SoftmaxBoosting(3, n_estimators=2, max_depth=1).fit(table(spark, x, y, parts))
     assert set(seen) == {max(1, min(spark.sparkContext.defaultParallelism, n // boosting.TASK_ROWS))}
+
+
+def odd_table(n=700):
+    x, y = make(n, width=6, n_classes=4)
+    x[::19, 2], x[::23, 2], x[:, 5] = np.inf, -np.inf, 4.0
+    return x, (y + np.arange(n) // 5) % 4
+
+
+def test_held_and_level_by_level_grow_the_same_trees(spark, monkeypatch):
+    """Past a write of the margins, with several splits and blocks, values that are infinite or no number, equal ones and equal rows."""
+    tune(spark)
+    x, y = odd_table()
+    rows = table(spark, np.concatenate([x, x[:90]]), np.concatenate([y, y[:90]])).cache()
+    cuts = boosting.cut_points(rows.select(vector_to_array("features").alias("x")), 6)
+    monkeypatch.setattr(boosting, "cut_points", lambda *_: cuts)
+    held = boosting.SoftmaxBoosting(4, 12, 0.4, 4).fit(rows)
+    levels = []
+    plain = boosting.SoftmaxBoosting._level
+    monkeypatch.setattr(boosting.SoftmaxBoosting, "_level", lambda *a: levels.append(a) or plain(*a))
+    monkeypatch.setattr(boosting, "HELD", 0)
+    monkeypatch.setattr(boosting, "NODES", 5)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    by_level = boosting.SoftmaxBoosting(4, 12, 0.4, 4).fit(rows)
+    assert len(levels) == 48
+    assert [r.columns() for r in held.rounds] == [r.columns() for r in by_level.rounds] and held.losses == by_level.losses
+    assert np.array_equal(margins_of(spark, held, rows), margins_of(spark, by_level, rows))
+
+
+def test_a_round_of_a_table_that_a_worker_holds_is_one_job(spark):
+    tune(spark)
+    x, y = odd_table()
+    rows = table(spark, x, y).cache()
+    rows.count()
+    spark.sparkContext.setJobGroup("boosting-held", "")
+    try:
+        model = boosting.SoftmaxBoosting(4, 30, 0.1, 6).fit(rows)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("boosting-held")
+    assert len(model.losses) == 30 and all(b < a for a, b in zip(model.losses, model.losses[1:]))
+    assert 30 <= len(jobs) <= 45
+
+
+@pytest.mark.parametrize("depth, bins, held", [(6, 32, True), (20, 256, False)])
+def test_trees_of_too_many_cells_grow_level_by_level(spark, monkeypatch, depth, bins, held):
+    tune(spark)
+    x, y = make(3000)
+    taken = []
+    monkeypatch.setattr(boosting.SoftmaxBoosting, "_fit_held", lambda self, *_: taken.append("held"))
+    monkeypatch.setattr(boosting.SoftmaxBoosting, "_grow", lambda self, *_: taken.append("level") or boosting.Round())
+    boosting.SoftmaxBoosting(3, 1, max_depth=depth, max_bins=bins).fit(table(spark, x, y))
+    assert taken == (["held"] if held else ["level"])
+
+
+def test_a_worker_walks_only_the_trees_that_are_new_to_it():
+    x, y = odd_table(200)
+    bins = np.nan_to_num(x, posinf=9, neginf=0).clip(0, 9).astype(np.uint8)
+    rng = np.random.default_rng(1)
+
+    class Sent:
+        asked = 0
+
+        def __init__(self):
+            tree = boosting.Round()
+            for _ in range(4):
+                tree.add(float(rng.normal()), 1)
+            tree.feature[1], tree.cut[1], tree.left[1] = 3, 1, 4
+            tree.add(float(rng.normal()), 1)
+            tree.add(float(rng.normal()), 1)
+            self.walker = boosting.Walker([tree], 4, True)
+
+        @property
+        def value(self):
+            self.asked += 1
+            return self.walker
+
+    rounds = [Sent() for _ in range(25)]
+    kept = boosting.Table(bins, y, np.zeros(4))
+    for t in (0, 1, 2, 9, 10, 11, 11, 25):
+        fresh = boosting.Table(bins, y, np.zeros(4)).shares([r for r in rounds[:t]])
+        assert np.array_equal(kept.shares(rounds[:t]), fresh)
+    assert np.array_equal(kept.shares(rounds[:3]), boosting.Table(bins, y, np.zeros(4)).shares(rounds[:3]))  # a task of an earlier round, repeated
+    before = rounds[0].asked
+    kept.shares(rounds[:4])
+    assert rounds[0].asked == before and np.allclose(kept.shares([]), 0.25)
