@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.session import materialise
+from riskweave.session import materialise, release
 
 MAX_BINS = 32
 WRITE_ROUNDS = 10
@@ -38,8 +38,10 @@ TASK_ROWS = 512
 # Cells of row and tree worked on at a time, and of node, feature and bin.
 WALKS = 1_000_000
 SCORES = 100_000
-# Bytes of a table that a worker holds: bins, margins, shares.  A larger one grows its trees level by level.
-HELD = 64 << 20
+# Rows worked on at a time.
+BLOCK = 16_384
+# Bytes of a table that a worker, and the driver for a moment, hold.  A larger one grows its trees level by level.
+HELD = 256 << 20
 # A split's gain is more than this.
 LEAST_GAIN = 1e-9
 
@@ -128,9 +130,25 @@ def _bytes(values: np.ndarray) -> pa.Array:
 
 
 def _from_bytes(column: pa.Array, dtype, width: int) -> np.ndarray:
+    if pa.types.is_binary(column.type):  # cells lie end to end
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype).reshape(-1, width)
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
+def _blocks(batches, width: int):
+    """Bins, labels and margins of ``BLOCK`` rows or some more at a time."""
+    held: list = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append((_from_bytes(batch["bins"], np.uint8, width), batch["y"].to_numpy(), _matrix(batch["margin"])))
+        if sum(len(y) for _, y, _ in held) >= BLOCK:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def gradients(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivative of the loss by row and class, in units of 2**-24."""
     p = _softmax(margins)
@@ -196,20 +214,16 @@ def _add_up(held, first_round: bool, slots_from: int, n_slots: int, width: int,
         done, growing, slot_of = held.value
         total = np.zeros((width, 3, n_slots * bins))
         loss = n = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _from_bytes(batch["bins"], np.uint8, width)
-            y = batch["y"].to_numpy()
-            margins = _matrix(batch["margin"]) + done.margins(x)
+        for x, y, margins in _blocks(batches, width):
+            margins = margins + done.margins(x)
             loss += total_loss(_softmax(margins), y)
             n += len(y)
             g, h = gradients(margins, y)
             slot = slot_of[growing.ends(x)] - slots_from
             row, k = np.nonzero((slot >= 0) & (slot < n_slots))
             place, g, h = slot[row, k] * bins, g[row, k], h[row, k]
-            for f in range(width):
-                at = place + x[row, f]
+            for f, column in enumerate(np.ascontiguousarray(x.T)):
+                at = place + column.take(row)
                 total[f, 0] += np.bincount(at, g, n_slots * bins)
                 total[f, 1] += np.bincount(at, h, n_slots * bins)
                 total[f, 2] += np.bincount(at, None, n_slots * bins)
@@ -267,59 +281,64 @@ def _splits(slot, feature, cut, gain, left, whole) -> pa.RecordBatch:
 
 
 class Table:
-    """All rows of a table, and their shares of each class after the rounds met so far.
+    """All rows of a table: bins by feature, labels and margins after the rounds met so far.
 
     A worker keeps it from round to round, so it walks the trees that are new to it only.
     """
 
     def __init__(self, bins: np.ndarray, y: np.ndarray, prior: np.ndarray):
-        self.bins, self.y, self.prior = bins, y, prior
-        self.met, self.kept = -1, None
+        self.by_feature, self.y, self.prior = np.ascontiguousarray(bins.T), y, prior
+        self.met, self.written, self.recent = -1, None, None
 
     @staticmethod
     def size(n: int, width: int, n_classes: int) -> int:
-        """Bytes that a worker takes: bins by row and by feature, five cells of row and class, a few of the row."""
-        return n * (2 * width + 40 * n_classes + 64)
-
-    def shares(self, rounds: list) -> np.ndarray:
-        """Rows x classes; margins are added in the order in which they are written level by level."""
-        if not 0 <= self.met <= len(rounds):
-            self.by_feature = np.ascontiguousarray(self.bins.T)
-            written = np.tile(self.prior, (len(self.y), 1))
-            met, recent, p = 0, np.zeros_like(written), None
-        else:
-            met, (written, recent, p) = self.met, self.kept
-        if met < len(rounds) or p is None:
-            for t in range(met, len(rounds)):
-                if t and t % WRITE_ROUNDS == 0:
-                    written, recent = written + recent, np.zeros_like(written)
-                recent = recent + rounds[t].value.margins(self.bins)
-            p = _softmax(written + recent)
-        self.met, self.kept = len(rounds), (written, recent, p)
-        return p
-
-    def tree(self, p: np.ndarray, k: int, n_cuts: np.ndarray, bins: int, depth: int, l2: float, min_weight: float) -> list:
-        """Class ``k``'s next tree, a list of ``(feature, bin, gain, left, whole)`` of its open nodes for each level."""
-        g, h = (v[:, 0] for v in gradients_of(p[:, k : k + 1], (self.y == k)[:, None]))
-        rows, cells, levels = [np.arange(len(g))], None, []
+        """Bytes: four copies of the bins, which the driver has on their way, two margins of each row and class, a dozen cells of each row while a tree grows."""
+        return n * (4 * width + 16 * n_classes + 96)
+
+    def forward(self, rounds: list) -> None:
+        """Margins after these rounds, added in the order in which they are written level by level."""
+        met, self.met = self.met, -1
+        if not 0 <= met <= len(rounds):
+            met, self.written = 0, np.tile(self.prior, (len(self.y), 1))
+            self.recent = np.zeros_like(self.written)
+        for t in range(met, len(rounds)):
+            if t and t % WRITE_ROUNDS == 0:
+                self.written += self.recent
+                self.recent[:] = 0.0
+            for a in range(0, len(self.y), BLOCK):
+                self.recent[a : a + BLOCK] += rounds[t].value.margins(np.ascontiguousarray(self.by_feature[:, a : a + BLOCK].T))
+        self.met = len(rounds)
+
+    def slopes(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Gradients and curvatures of class ``k``, and the sum of all rows' losses."""
+        g, h, loss = np.empty(len(self.y)), np.empty(len(self.y)), 0
+        for a in range(0, len(self.y), BLOCK):
+            part = slice(a, a + BLOCK)
+            p, y = _softmax(self.written[part] + self.recent[part]), self.y[part]
+            g[part], h[part] = gradients_of(p[:, k], y == k)
+            loss += total_loss(p, y)
+        return g, h, loss
+
+    def tree(self, g: np.ndarray, h: np.ndarray, n_cuts: np.ndarray, bins: int, depth: int, l2: float, min_weight: float) -> list:
+        """A class's next tree, a list of ``(feature, bin, gain, left, whole)`` of its open nodes for each level."""
+        rows, levels = [np.arange(len(g))], []
         cells = self.sums(rows, g, h, bins)
         for level in range(depth):
-            splits, deeper, counted, whole_of = self.splits(rows, cells, n_cuts, l2, min_weight), [], [], []
+            splits, deeper, fewer, parents = self.splits(rows, cells, n_cuts, l2, min_weight), [], [], []
             levels.append(splits)
             for node, (f, cut, gain, left, _) in enumerate(splits):
                 if gain > LEAST_GAIN:
                     goes = self.by_feature[f].take(rows[node]) <= cut
                     deeper += [rows[node][goes], rows[node][~goes]]
                     left[2] = len(deeper[-2])
-                    counted.append(int(len(deeper[-1]) < len(deeper[-2])))
-                    whole_of.append(node)
+                    fewer.append(int(len(deeper[-1]) < len(deeper[-2])))
+                    parents.append(node)
             if not deeper or level + 1 == depth:
                 break
             # The rows of the smaller side are added up, the other side is what is left of the whole.
-            fewer = self.sums([deeper[2 * i + side] for i, side in enumerate(counted)], g, h, bins)
-            side = np.array(counted)
-            both = np.empty((len(whole_of), 2, *cells.shape[1:]))
-            both[np.arange(len(side)), side], both[np.arange(len(side)), 1 - side] = fewer, cells[whole_of] - fewer
+            part = self.sums([deeper[2 * i + side] for i, side in enumerate(fewer)], g, h, bins)
+            both, i, side = np.empty((len(parents), 2, *cells.shape[1:])), np.arange(len(parents)), np.array(fewer)
+            both[i, side], both[i, 1 - side] = part, cells[parents] - part
             rows, cells = deeper, both.reshape(-1, *cells.shape[1:])
         return levels
 
@@ -353,13 +372,15 @@ class Table:
 
 
 def _class_trees(held, rounds: list, n_cuts: np.ndarray, bins: int, depth: int, l2: float, min_weight: float):
-    """One round: the tree of each class of a task, and the sum of losses before it beside the first class's."""
+    """One round: the sum of losses before it and the tree of each class of a task."""
 
     def run(classes):
         table = held.value
-        p = table.shares(rounds)
+        table.forward(rounds)
         for k in classes:
-            yield k, None if k else total_loss(p, table.y), table.tree(p, k, n_cuts, bins, depth, l2, min_weight)
+            g, h, loss = table.slopes(k)
+            yield k, loss, table.tree(g, h, n_cuts, bins, depth, l2, min_weight)
+        release()
 
     return run
 
@@ -465,7 +486,9 @@ class SoftmaxBoosting:
         context = spark.sparkContext
         binned = rows.mapInArrow(_binned(cuts, self.prior), STATE).select("bins", "y").toArrow()
         y = binned["y"].to_numpy()
-        held = context.broadcast(Table(_from_bytes(binned["bins"], np.uint8, self.width), y, self.prior))
+        bins = np.concatenate([_from_bytes(chunk, np.uint8, self.width) for chunk in binned["bins"].chunks])
+        held = context.broadcast(Table(bins, y, self.prior))
+        del binned, bins
         n_cuts = np.array([len(c) for c in cuts])
         classes = context.parallelize(range(self.n_classes), self.n_classes)
         walkers: list = []
@@ -514,13 +537,14 @@ class SoftmaxBoosting:
         held = spark.sparkContext.broadcast((done, Walker([tree], self.n_classes, True), slot_of))
         n_cuts = np.array([len(c) for c in cuts])
         block = max(1, min(NODES, CELLS // (self.width * self.max_bins)))
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # The sums do not grow with the rows, so more tasks than cores would only have to be started.
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), self.width, spark.sparkContext.defaultParallelism)
         found: dict = {}
         for a in range(0, len(open_nodes), block):
             size = min(block, len(open_nodes) - a)
             sums = state.mapInArrow(_add_up(held, first and a == 0, a, size, self.width, self.max_bins), SUMS)
             if not one_split:  # the sums of one task are whole already
-                sums = sums.repartition(min(tasks, self.width), "feature")
+                sums = sums.repartition(tasks, "feature")
             best = sums.mapInArrow(_choose(n_cuts, size, a, self.max_bins, self.l2, self.min_weight), SPLITS)
             for r in best.collect():  # nodes x tasks at most
                 if r["slot"] < 0:
